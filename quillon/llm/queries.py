@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm._spark import new_path
+from quillon.llm.minhash import near_duplicates
 from quillon.llm.packing import pack_documents
 from quillon.llm.sstable import read_shards, write_shards
 from quillon.llm.token_counts import count_tokens
+from quillon.session import ship
+
+
+def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, run with this package sent to the executors."""
+
+    @wraps(run)
+    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(ship(spark), sf_dir)
+
+    return call
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +34,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-shards")
     manifest = write_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
@@ -31,10 +48,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
     "op5_token_shards": op5_token_shards,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
+QUERIES = {name: _shipped(run) for name, run in _RUNS.items()}
+
 ORACLES: dict[str, str] = {}
