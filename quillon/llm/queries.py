@@ -8,6 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm import langid, mixing, outliers, pii
 from quillon.llm._spark import new_path
 from quillon.llm.minhash import near_duplicates
 from quillon.llm.packing import pack_documents
@@ -44,6 +45,22 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(manifest, folder)
 
 
+def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(_table(spark, sf_dir, "documents"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality(_table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -52,9 +69,15 @@ _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
     "op5_token_shards": op5_token_shards,
+    "op6_poisson_mixing": op6_poisson_mixing,
+    "op7_personal_data": op7_personal_data,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 QUERIES = {name: _shipped(run) for name, run in _RUNS.items()}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_poisson_mixing": mixing.ORACLE,
+}
