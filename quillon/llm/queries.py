@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import langid, mixing, outliers, pii
+from quillon.llm import langid, mixing, outliers, pii, topk
 from quillon.llm._spark import new_path
 from quillon.llm.minhash import near_duplicates
 from quillon.llm.packing import pack_documents
@@ -35,6 +35,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_maxscore_top_k": op2_maxscore_top_k,
     "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
     "op5_token_shards": op5_token_shards,
     "op6_poisson_mixing": op6_poisson_mixing,
@@ -79,5 +84,6 @@ _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 QUERIES = {name: _shipped(run) for name, run in _RUNS.items()}
 
 ORACLES: dict[str, str] = {
+    "op2_maxscore_top_k": topk.ORACLE,
     "op6_poisson_mixing": mixing.ORACLE,
 }
