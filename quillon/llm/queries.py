@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import langid, mixing, outliers, pii, topk
+from quillon.llm import langid, mixing, outliers, pii, ppm, topk
 from quillon.llm._spark import new_path
 from quillon.llm.minhash import near_duplicates
 from quillon.llm.packing import pack_documents
@@ -43,6 +43,10 @@ def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-shards")
     manifest = write_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
@@ -73,6 +77,7 @@ _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_maxscore_top_k": op2_maxscore_top_k,
     "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
+    "op4_ppm_scores": op4_ppm_scores,
     "op5_token_shards": op5_token_shards,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op7_personal_data": op7_personal_data,
