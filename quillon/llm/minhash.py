@@ -9,8 +9,9 @@ A document's set is its distinct shingles of five words (lower-cased A-Z; the wh
    a class is held against its best head, by the signatures' bit counts corrected for chance agreement, and the
    pair is confirmed on full sets.  The links give first components, which swallow groups of near copies without
    ever listing their pairs.
-3. Buckets that still hold several components list those pairs that cross components, in blocks and compared by
-   signatures in place; again each pair that may reach the threshold is confirmed on full sets.
+3. Buckets that still hold several components compare, in blocks, the classes that lie in different ones: by
+   signatures first, then those that may reach the threshold by full sets.  A bucket gives a link for each two
+   components at most.
 4. Components come from alternating large-star and small-star steps until nothing changes.
 
 Pairs inside a component are never listed, for they can change nothing.  No bucket, partner or candidate is
@@ -41,7 +42,7 @@ from quillon.llm._spark import cut
 WORDS = 5
 BANDS, ROWS = 50, 5
 HASHES, BITS = 256, 2
-BLOCK = 4096
+BLOCK = 2048
 _ODD = _scan.mix64(np.arange(64) + 77) | np.uint64(1)
 _A = (_scan.mix64(np.arange(HASHES) + 501) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (_scan.mix64(np.arange(HASHES) + 1501) >> np.uint64(32)).astype(np.uint32)
@@ -195,27 +196,35 @@ def _sets(bloom):
     return run
 
 
+def _similar(x: pa.Scalar, y: pa.Scalar, percent: int) -> bool:
+    p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both) and both > 0)
+            keep = [_similar(x, y, percent) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and set of the documents that ``ids`` (distinct, column id) names; kept in the checkpoint folder."""
+    ids = cut(ids)
+    bloom = documents.sparkSession.sparkContext.broadcast(bloom_filter(ids))
+    near = documents.where(F.col("doc_id").isNotNull()).mapInArrow(_sets(bloom), "id long, set binary")
+    return cut(near.join(ids, "id", "left_semi"))
+
+
 def confirm(documents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of doc_ids whose full sets reach the similarity; kept in the checkpoint folder."""
-    spark = documents.sparkSession
     pairs = cut(pairs)
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    bloom = spark.sparkContext.broadcast(bloom_filter(ids))
-    near = documents.where(F.col("doc_id").isNotNull()).mapInArrow(_sets(bloom), "id long, set binary")
-    sets = cut(near.join(ids, "id", "left_semi"))
+    sets = full_sets(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     held = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     return cut(held.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long").distinct())
 
@@ -270,49 +279,90 @@ def _bucket_pairs(label: np.ndarray, block: np.ndarray, sig: np.ndarray, bounds:
     return found
 
 
-def _crossing(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
-
-        def pairs(table: pa.Table) -> pa.RecordBatch:
-            table = table.combine_chunks()
-            group = [table.column(x).to_numpy() for x in ("key", "lo", "hi")]
-            new = np.ones(table.num_rows, bool)
-            new[1:] = np.logical_or.reduce([g[1:] != g[:-1] for g in group])
-            cid, sig = table.column("cid").to_numpy(), _matrix(table.column("sig").chunk(0))
-            block = np.where(group[1] == group[2], -1, table.column("block").to_numpy())
-            found = _bucket_pairs(table.column("label").to_numpy(), block, sig, np.append(np.flatnonzero(new), table.num_rows), least)
-            x, y = (np.concatenate([cid[f[k]] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+def _by_bucket(handle):
+    """Hands whole buckets (rows sorted by key, lo and hi) as tables to ``handle``; one bucket may lie in several batches."""
+
+    def groups(table: pa.Table) -> list[np.ndarray]:
+        return [table.column(x).to_numpy() for x in ("key", "lo", "hi")]
 
+    def whole(table: pa.Table) -> pa.RecordBatch:
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.logical_or.reduce([g[1:] != g[:-1] for g in groups(table)])
+        return handle(table.combine_chunks().to_batches()[0], np.append(np.flatnonzero(new), table.num_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([kept, table]) if kept is not None else table
-            group = [table.column(x).to_numpy() for x in ("key", "lo", "hi")]
-            same = np.logical_and.reduce([g == g[-1] for g in group])
-            start = int(np.argmax(same))  # of the last bucket, which may go on in the next batch
+            last = [g[-1] for g in groups(pa.Table.from_batches([batch]))]
+            if kept and [g[0] for g in groups(pa.Table.from_batches([kept[-1].slice(0, 1)]))] == last:
+                kept.append(batch)  # all of it goes on with the bucket that is kept
+                continue
+            table = pa.Table.from_batches([*kept, batch])
+            start = int(np.argmax(np.logical_and.reduce([g == v for g, v in zip(groups(table), last, strict=True)])))
             if start:
-                yield pairs(table.slice(0, start))
-            kept = table.slice(start)
-        if kept is not None:
-            yield pairs(kept)
+                yield whole(table.slice(0, start))
+            kept = table.slice(start).to_batches()
+        if kept:
+            yield whole(pa.Table.from_batches(kept))
 
     return run
 
 
-def _crossing_pairs(multi: DataFrame, labels: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of classes in one bucket and different components whose estimate reaches ``least``."""
+def _pairs_of(batch: pa.RecordBatch, bounds: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    lo, hi, block = (batch.column(x).to_numpy() for x in ("lo", "hi", "block"))
+    found = _bucket_pairs(batch.column("label").to_numpy(), np.where(lo == hi, -1, block), _matrix(batch.column("sig")), bounds, least)
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+
+
+_ACTIVE = ("key", "lo", "hi", "block", "cid", "label")
+
+
+def _active(least: float):
+    def handle(batch: pa.RecordBatch, bounds: np.ndarray) -> pa.RecordBatch:
+        rows = pa.array(np.unique(np.concatenate(_pairs_of(batch, bounds, least))))
+        return batch.select(_ACTIVE).take(rows)
+
+    return _by_bucket(handle)
+
+
+def _links(least: float, percent: int):
+    def handle(batch: pa.RecordBatch, bounds: np.ndarray) -> pa.RecordBatch:
+        x, y = _pairs_of(batch, bounds, least)
+        # a pair with several buckets in common belongs to the one with the smallest key
+        bands = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, BANDS)
+        first = np.concatenate([np.where(bands[x[i : i + 4096]] == bands[y[i : i + 4096]], bands[x[i : i + 4096]], np.iinfo(np.int64).max).min(axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+        own = first == batch.column("key").to_numpy()[x]
+        cid, label, sets = batch.column("cid").to_numpy(), batch.column("label").to_numpy(), batch.column("set")
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for i, j in zip(x[own].tolist(), y[own].tolist(), strict=True):
+            two = (min(label[i], label[j]), max(label[i], label[j]))
+            if two not in found and _similar(sets[i], sets[j], percent):  # one link joins two components
+                found[two] = (cid[i], cid[j])
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found.values()], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _by_bucket(handle)
+
+
+def _crossing_links(documents: DataFrame, multi: DataFrame, labels: DataFrame, classes: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one bucket and different components, confirmed where the buckets are.
+
+    First only signatures travel, and show which classes have a partner whose estimate reaches ``least``; then these
+    travel with their sets.  What comes out is a link for each two components of a bucket at most, never its pairs.
+    """
     known = multi.join(labels.withColumnRenamed("u", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
     mixed = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x != y")
-    rows = known.join(mixed.select("key", "m"), "key").join(sigs, "cid")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.expr("int(pmod(xxhash64(cid), blocks))"))
+    rows = known.join(mixed.select("key", "m"), "key").join(classes.select("cid", "sig"), "cid")
+    rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.expr("int(pmod(xxhash64(cid), blocks))"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cid", "label", "sig")
-    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return rows.mapInArrow(_crossing(least), "a long, b long").distinct()
+    order = ("key", "lo", "hi")
+    active = cut(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_active(least), "key long, lo int, hi int, block int, cid long, label long").distinct())
+    sets = full_sets(documents, active.select(F.col("cid").alias("id")).distinct())
+    rows = active.join(classes.select("cid", "sig", "bands"), "cid").join(sets.withColumnRenamed("id", "cid"), "cid")
+    rows = rows.select(*_ACTIVE, "sig", "bands", "set").repartition(*order).sortWithinPartitions(*order)
+    return cut(rows.mapInArrow(_links(least, percent), "a long, b long").distinct())
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
@@ -337,8 +387,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     links = confirm(documents, best, percent)
     labels = components(links)
 
-    crossing = _crossing_pairs(multi, labels, sigs, least)
-    more = confirm(documents, crossing, percent)
+    more = _crossing_links(documents, multi, labels, named, least, percent)
     versions = members.groupBy("doc_id").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x != y").select("doc_id")
     one_document = members.join(versions, "doc_id").select(F.col("doc_id").alias("a"), F.col("cid").alias("b"))
     final = components(labels.select(F.col("u").alias("a"), F.col("label").alias("b")).union(more).union(one_document))
