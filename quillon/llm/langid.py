@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _scan
@@ -137,32 +137,64 @@ class Comparer:
         return out, np.diff(bound) > 0
 
 
+class Predictor:
+    """Names and scores of texts, in a task."""
+
+    def __init__(self, names: list[str], vectors: np.ndarray) -> None:
+        self.names = np.array([*names, UNKNOWN], object)
+        self.comparer = Comparer(vectors) if names else None
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        pred, score = np.full(len(column), UNKNOWN, object), np.zeros(len(column))
+        if self.comparer is not None:
+            for i, j, data, off in _scan.chunks(column):
+                found, has = self.comparer.similarities(data, off)
+                found = np.maximum(found, 0.0)
+                rows = np.arange(j - i)
+                best = found.argmax(axis=1)
+                top = found[rows, best]
+                found[rows, best] = 0.0
+                with np.errstate(invalid="ignore"):
+                    score[i:j] = np.where(has, np.nan_to_num(top / (top + found.max(axis=1))), 0.0)
+                pred[i:j] = self.names[np.where(has, best, -1)]
+        return pred, score
+
+
 def predict(documents: DataFrame, names: list[str], vectors: np.ndarray) -> DataFrame:
-    """documents (doc_id, held_out, text) without text, with lang_pred and score."""
+    """doc_id and held_out of documents (which also have text), with lang_pred and score."""
     model = documents.sparkSession.sparkContext.broadcast((names, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, vectors = model.value
-        comparer = Comparer(vectors) if names else None
+        predictor = Predictor(*model.value)
         for batch in batches:
-            for i, j, data, off in _scan.chunks(batch.column("text")):
-                pred, score = np.full(j - i, UNKNOWN, object), np.zeros(j - i)
-                if comparer is not None:
-                    found, has = comparer.similarities(data, off)
-                    found = np.maximum(found, 0.0)
-                    best = found.argmax(axis=1)
-                    top = found[np.arange(j - i), best]
-                    found[np.arange(j - i), best] = 0.0
-                    with np.errstate(invalid="ignore"):
-                        score = np.where(has, np.nan_to_num(top / (top + found.max(axis=1))), 0.0)
-                    pred[has] = np.array(names, object)[best[has]]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+            pred, score = predictor(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return documents.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def _learning() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 0, F.lit(False))
+
+
+def keep_identified(documents: DataFrame, least_score: float) -> DataFrame:
+    """The documents whose language is told with at least this score, with all their columns and lang as predicted."""
+    names, vectors = prototypes(documents.where(_learning()).select("lang", "text"))
+    model = documents.sparkSession.sparkContext.broadcast((names, vectors))
+    columns = documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictor = Predictor(*model.value)
+        for batch in batches:
+            pred, score = predictor(batch.column("text"))
+            own = dict(zip(columns, batch.columns, strict=True)) | {"lang": pa.array(pred, pa.string())}
+            yield pa.RecordBatch.from_arrays([own[c] for c in columns], columns).filter(pa.array((pred != UNKNOWN) & (score >= least_score)))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def identify(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score; learns where crc32(doc_id as text) mod 5 is not 0."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True)))
+    rows = rows.withColumn("held_out", ~_learning())
     return predict(rows, *prototypes(rows.where("not held_out")))
