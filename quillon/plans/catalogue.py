@@ -1 +1,3 @@
 """The modules that register queries."""
+
+from quillon.plans import ordered_queries  # noqa: F401
