@@ -7,7 +7,9 @@ Segments are found and looked up by hash in numpy; the library encodes those not
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,10 @@ from tokenizers import Tokenizer
 
 from quillon.llm import _scan
 
-#: Distinct segments kept by a process; beyond it the table starts anew.
-KEPT = 1 << 20
+os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
+
+#: Distinct segments that a process keeps, the first that it meets; others are encoded for the few megabytes at hand.
+KEPT = 1 << 18
 _BATCH = 8192
 
 
@@ -43,29 +47,29 @@ class SegmentEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self._clear()
-
-    def _clear(self) -> None:
         self.index = _scan.HashIndex()
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, keys: np.ndarray, texts: pa.Array) -> None:
-        if len(self.index) + len(keys) > KEPT:
-            self._clear()
-        lengths = []
+    def _append(self, texts: pa.Array) -> None:
+        starts, lengths = [self.start], [self.length]
         for i in range(0, len(texts), _BATCH):
             found = [x.ids for x in self.library.encode_batch_fast(texts.slice(i, _BATCH).to_pylist(), add_special_tokens=False)]
-            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
-            new = np.fromiter((y for x in found for y in x), np.uint32, int(lengths[-1].sum()))
+            length = np.fromiter(map(len, found), np.int64, len(found))
+            new = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))
             if self.used + len(new) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * (self.used + len(new)))
+                self.ids = np.resize(self.ids, 3 * (self.used + len(new)) // 2)
             self.ids[self.used : self.used + len(new)] = new
+            starts.append(self.used + np.cumsum(length) - length)
+            lengths.append(length)
             self.used += len(new)
-        length = np.concatenate(lengths)
-        end = self.used - int(length.sum()) + np.cumsum(length)
-        self.start, self.length = np.concatenate([self.start, end - length]), np.concatenate([self.length, length])
-        self.index.add(keys)
+        self.start, self.length = np.concatenate(starts), np.concatenate(lengths)
+
+    def _forget(self) -> None:
+        """Drops the entries that the table has no room for."""
+        n = len(self.index)
+        self.start, self.length = self.start[:n], self.length[:n]
+        self.used = int(self.start[-1] + self.length[-1]) if n else 0
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the n + 1 places at which each text's begin."""
@@ -74,23 +78,17 @@ class SegmentEncoder:
         place = self.index.find(keys)
         new = np.flatnonzero(place < 0)
         if len(new):
-            distinct, at = np.unique(keys[new], return_index=True)
+            distinct, at, which = np.unique(keys[new], return_index=True, return_inverse=True)
+            place[new] = len(self.index) + which
             at = new[at]
-            before = len(self.index)
-            self._learn(distinct, _scan.strings(data, starts[at], ends[at]))
-            if len(self.index) == before + len(distinct):
-                place[new] = before + np.searchsorted(distinct, keys[new])
-            else:  # the table has started anew and lacks what it had
-                place = self.index.find(keys)
-                if (place < 0).any():
-                    distinct, at = np.unique(keys, return_index=True)
-                    self._clear()
-                    self._learn(distinct, _scan.strings(data, starts[at], ends[at]))
-                    place = np.searchsorted(distinct, keys)
+            self._append(_scan.strings(data, starts[at], ends[at]))
+            self.index.add(distinct[: max(0, KEPT - len(self.index))])
         lengths = self.length[place]
         bound = np.zeros(len(off), np.int64)
         np.cumsum(_scan.sum_by(lengths, first), out=bound[1:])
-        return _scan.gather(self.ids, self.start[place], lengths), bound
+        out = _scan.gather(self.ids, self.start[place], lengths)
+        self._forget()
+        return out, bound
 
 
 @lru_cache(maxsize=1)

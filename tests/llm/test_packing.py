@@ -38,7 +38,7 @@ def test_segment_ids_on_mixed_white_space(text):
 _MODEL, _LIBRARY = SegmentEncoder(PATH), Tokenizer.from_file(PATH)
 
 
-def test_encoder_starts_anew_when_its_table_is_full(monkeypatch):
+def test_encoder_beyond_its_table(monkeypatch):
     import quillon.llm._bpe as bpe
 
     monkeypatch.setattr(bpe, "KEPT", 4)
