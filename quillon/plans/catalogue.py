@@ -1,3 +1,3 @@
 """The modules that register queries."""
 
-from quillon.plans import ordered_queries  # noqa: F401
+from quillon.plans import catalog_queries, ordered_queries  # noqa: F401
