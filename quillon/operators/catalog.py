@@ -67,7 +67,7 @@ def lineage(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
     edges.createOrReplaceTempView("_lineage_edges")
     roots.createOrReplaceTempView("_lineage_roots")
     found = spark.sql(
-        f"""WITH RECURSIVE reach MAX RECURSION LEVEL {depth + 1} (root, node, depth) AS (
+        f"""WITH RECURSIVE reach (root, node, depth) MAX RECURSION LEVEL {depth + 2} AS (
           SELECT node, node, 0 FROM _lineage_roots
           UNION ALL SELECT r.root, e.parent, r.depth + 1 FROM reach r JOIN _lineage_edges e ON e.node = r.node WHERE r.depth < {depth}
         ) SELECT root, node, min(depth) AS depth FROM reach GROUP BY root, node"""
