@@ -185,3 +185,27 @@ def test_sky_on_known_directions(spark):
     az, el, reach = sky.look_angles(*lit(0, 0, 0, 0, 10))
     assert abs(value(az)) < 1e-9 and abs(value(el)) < 1e-9 and value(reach) == 10
     assert value(sky.element_checksum(F.lit("1 25544U 98067A   08264.51782528 -.00002182  00000-0 -11606-4 0  2927"))) == 7
+
+
+def _alias_points(spark, seed=3):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(60):
+        t = i / 10
+        for track, (slope, start) in enumerate([(20.0, 300.0), (-15.0, 1500.0)]):
+            v = start + slope * t + rng.gauss(0, 4) + 2273 * rng.choice([-1, 0, 1])
+            rows.append((1, track * 100 + i, t, v, 1.0))
+    return spark.createDataFrame(rows, "path int, id long, t double, v double, w double")
+
+
+def test_peeling_and_assignment_recover_aliased_lines(spark):
+    from quillon.operators import tracks
+
+    points = _alias_points(spark)
+    found = sorted((r.slope, r.intercept % 2273, r.n) for r in tracks.peeled(points, ["path"], [-30.0, -15.0, 0.0, 15.0, 30.0], 2273.0, 32, 60.0, 20, 5).collect())
+    assert len(found) == 2 and abs(found[0][0] + 15) < 1 and abs(found[0][1] - 1500) < 5 and abs(found[1][0] - 20) < 1 and abs(found[1][1] - 300) < 5 and found[0][2] == found[1][2] == 60
+    seeds = spark.createDataFrame([(1, 0, 10.0, 340.0), (1, 1, -10.0, 1480.0)], "path int, track int, slope double, intercept double")
+    lines, own = tracks.hard_assignment(points, seeds, ["path"], 2273.0, 200.0)
+    assert {(r.id // 100, r.track) for r in own.collect()} == {(0, 0), (1, 1)} and own.count() == 120
+    assert {r.track: round(r.slope) for r in lines.collect()} == {0: 20, 1: -15}
+    assert tracks.peeled(points.where("false"), ["path"], [0.0], 2273.0, 8, 10.0, 2, 3).collect() == []
