@@ -13,7 +13,8 @@ Spark joins them as a table, whose skew it splits.
 
 Defined results: a null source is a source of its own; a source whose weight is 0 or missing from given weights, or
 that has no bytes, gets no copies; null text has no bytes but its document is repeated as others of its source;
-rows that repeat a doc_id get equal counts; other columns stay; an empty table gives no rows.
+rows that repeat a doc_id get equal counts; other columns stay, but for copy and order_key where these are asked for; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def replicate(documents: DataFrame, weights: dict[str, float] | None = None, see
     table = table.select("src", "steps")
     if (size["bytes"] or 0) <= BROADCAST_BYTES:
         table = F.broadcast(table)
-    names = documents.columns
+    names = [c for c in documents.columns if not keep_keys or c.lower() not in ("copy", "order_key")]
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _source().alias("src"), uniform(seed, F.col("doc_id")).alias("u"))
     rows = rows.join(table, "src").withColumn("count", F.size(F.filter("steps", lambda x: x <= F.col("u"))))
     rows = rows.where("count > 0").select("row", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("copy"))

@@ -40,6 +40,8 @@ def test_given_weights_and_shares(spark):
         size[r.source] += len(r.text)
     assert got[0].asDict().keys() == {"doc_id", "text", "lang", "source", "copy"}
     assert abs(size["small"] / sum(size.values()) - 0.75) < 0.03 and abs(sum(size.values()) / sum(len(r[1]) for r in rows) - 1) < 0.05
+    keyed = replicate(frame, {"big": 1.0, "small": 3.0})
+    assert keyed.columns == ["doc_id", "text", "lang", "source", "copy", "order_key"] and keyed.count() == len(got)
     ids = [r.doc_id for r in got]
     assert sum(a < b for a, b in zip(ids, ids[1:], strict=False)) < 0.6 * len(ids)
 
