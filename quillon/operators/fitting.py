@@ -151,16 +151,23 @@ def kalman(t: np.ndarray, z: np.ndarray, q: float, r: float, gate: float) -> tup
     return out[:, 0], out[:, 1], taken
 
 
-def by_group(points: DataFrame, keys: list[str], schema: str, fit) -> DataFrame:
-    """``fit`` (a function of one key's rows as a pandas frame that gives the columns after the keys) for each key."""
+def by_group(points: DataFrame, keys: list[str], schema: str, fit, batch: str | None = None) -> DataFrame:
+    """``fit`` (a function of one key's rows as a pandas frame that gives the columns after the keys) for each key.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(fit(frame))
-        for k in reversed(keys):
-            found.insert(0, k, frame[k].iloc[0])
-        return found
+    batch: an expression of the last key; keys that share it go to a task together, which saves a call for each small group.
+    """
+    whole = keys[:-1] if batch else keys
 
-    return points.groupBy(*keys).applyInPandas(run, schema)
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, rows in frame.groupby(keys[-1], sort=True) if batch else [(None, frame)]:
+            out = pd.DataFrame(fit(rows))
+            for k in reversed(keys):
+                out.insert(0, k, rows[k].iloc[0])
+            found.append(out)
+        return pd.concat(found)
+
+    return points.groupBy(*whole, *([F.expr(batch)] if batch else [])).applyInPandas(run, schema)
 
 
 def potentials(edges: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def ransac_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         hits, slope, intercept = fitting.ransac_line(rows["t"].to_numpy(), rows["cents"].to_numpy(float), 1000.0, 2000.0)
         return {"n": [len(rows)], "inliers": [hits], "slope": [round(slope, 6)], "intercept": [round(intercept, 4)]}
 
-    return fitting.by_group(_daily(spark, sf_dir), ["path", "day"], "path long, day long, n long, inliers long, slope double, intercept double", fit)
+    return fitting.by_group(_daily(spark, sf_dir), ["path", "day"], "path long, day long, n long, inliers long, slope double, intercept double", fit, "day div 14")
 
 
 @query("k07_dp_tracks")
@@ -91,7 +91,7 @@ def dp_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         length, cost = fitting.best_chain(rows["t"].to_numpy(), rows["cents"].to_numpy(float), 12.0, 4000.0, 1.0, 0.1, 0.0002)
         return {"n": [len(rows)], "length": [length], "cost": [round(cost, 6)]}
 
-    return fitting.by_group(_daily(spark, sf_dir), ["path", "day"], "path long, day long, n long, length long, cost double", fit)
+    return fitting.by_group(_daily(spark, sf_dir), ["path", "day"], "path long, day long, n long, length long, cost double", fit, "day div 14")
 
 
 @query("k23_path_cover")
@@ -103,7 +103,7 @@ def path_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
         cost, follow = fitting.path_cover(len(t), edges, 4.0)
         return {"n": [len(t)], "edges": [sum(x >= 0 for x in follow)], "cost": [round(cost, 6)]}
 
-    return fitting.by_group(_daily(spark, sf_dir), ["path", "day"], "path long, day long, n long, edges long, cost double", fit)
+    return fitting.by_group(_daily(spark, sf_dir), ["path", "day"], "path long, day long, n long, edges long, cost double", fit, "day div 14")
 
 
 @query("k27_kalman_tracks")
