@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.shared import ensure_checkpoint_dir
+
 
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """A page of rows with total, the number of rows before paging."""
@@ -52,8 +54,12 @@ def retention(sessions: DataFrame, used: int, total: int, start: float = 0.70, t
 
 
 def running_sum(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """A running sum over all rows in order, without one task for all: sums within ranges, plus the sums of ranges before."""
-    dealt = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    """A running sum over all rows in order, without one task for all: sums within ranges, plus the sums of ranges before.
+
+    The dealt rows are kept in the checkpoint folder: ranges come from a sample, and both uses must see the same ones.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    dealt = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
     within = F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     inside = dealt.withColumn("_in", within)
     # one row a range
