@@ -216,6 +216,7 @@ def _confirmed(percent: int):
 def full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """id and set of the documents that ``ids`` (distinct, column id) names; kept in the checkpoint folder."""
     ids = cut(ids)
+    ids = fitted(ids, ids.count())
     bloom = documents.sparkSession.sparkContext.broadcast(bloom_filter(ids))
     near = documents.where(F.col("doc_id").isNotNull()).mapInArrow(_sets(bloom), "id long, set binary")
     return cut(near.join(ids, "id", "left_semi"))
@@ -224,6 +225,7 @@ def full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
 def confirm(documents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of doc_ids whose full sets reach the similarity; kept in the checkpoint folder."""
     pairs = cut(pairs)
+    pairs = fitted(pairs, pairs.count(), 20_000)
     sets = full_sets(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     held = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     return cut(held.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long").distinct())
@@ -232,21 +234,27 @@ def confirm(documents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 # --- components --------------------------------------------------------------------------------------------------
 
 
+def fitted(frame: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """The frame in no more partitions than its number of rows asks for: what goes over from one to the next is a file each."""
+    return frame.coalesce(max(2, -(-rows // each)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(u, label) for each node of the links (a, b) but the smallest of its component, which is the label."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    state = None
+    state, n = None, edges.count()
     while True:
+        edges = fitted(edges, n)
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.union(least).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        large = fitted(fitted(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), n).distinct(), n)
+        least = fitted(large.groupBy("u").agg(F.min("v").alias("m")), n)
+        small = fitted(large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")), n)
+        edges = cut(fitted(small.union(least).distinct(), n))
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select("u", F.col("v").alias("label"))
-        state = now
+        state, n = now, now["n"]
 
 
 # --- pairs that cross components ---------------------------------------------------------------------------------
