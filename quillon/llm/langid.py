@@ -32,6 +32,8 @@ DIMENSIONS = 4096
 UNKNOWN = "und"
 #: Trigrams whose dot products a process keeps, the first that it meets.
 KEPT = 1 << 17
+#: Tasks that may share a language's trigrams.
+PARTS = 8
 _SEED = 20_011
 _LETTER = np.full(0x110000, -1, np.int32)
 
@@ -100,13 +102,16 @@ def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prototypes(texts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their prototypes, from columns lang and text; as many vectors as there are languages come to the driver."""
+    """Languages in order and their prototypes, from columns lang and text; at most ``PARTS`` vectors a language come to the driver."""
     counts = texts.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_counted, "lang string, trigram long, n long")
     counts = counts.groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
-    # a language has at most as many rows here as there are trigrams, whatever the number of texts
-    found = counts.repartition("lang").sortWithinPartitions("lang", "trigram").mapInArrow(_bundled, "lang string, vector array<double>").collect()
-    found = sorted(((r["lang"], np.array(r["vector"])) for r in found), key=lambda x: x[0])
-    return [x for x, _ in found], np.array([v for _, v in found]).reshape(len(found), DIMENSIONS)
+    # sums of whole numbers, so a language's distinct trigrams may be bundled in parts
+    parts = counts.repartition("lang", F.pmod(F.col("trigram"), F.lit(PARTS))).mapInArrow(_bundled, "lang string, vector array<double>")
+    found: dict[str, np.ndarray] = {}
+    for row in parts.collect():
+        found[row["lang"]] = found.get(row["lang"], 0.0) + np.array(row["vector"])
+    names = sorted(found)
+    return names, np.array([found[x] for x in names]).reshape(len(names), DIMENSIONS)
 
 
 class Comparer:
