@@ -50,10 +50,11 @@ def rates(documents: DataFrame, weights: dict[str, float] | None = None, total_b
             raise ValueError("weights must not be negative, and some must be positive")
         known = documents.sparkSession.createDataFrame([(k if k is not None else _NULL, float(v)) for k, v in weights.items()], "src string, w double")
         weighed = have.join(F.broadcast(known), "src", "left").fillna(0.0, ["w"])
-    sums = weighed.agg(F.sum("bytes").cast("double").alias("all_bytes"), F.sum("w").alias("all_w"))
-    total = F.col("all_bytes") if total_bytes is None else F.lit(float(total_bytes))
-    rate = F.when((F.col("bytes") > 0) & (F.col("all_w") > 0), F.col("w") / F.col("all_w") * total / F.col("bytes")).otherwise(0.0)
-    return weighed.crossJoin(F.broadcast(sums)).select("src", rate.alias("rate"))  # one row of sums
+    weighed = cut(weighed)
+    sums = weighed.agg(F.sum("bytes").cast("double").alias("bytes"), F.sum("w").alias("w")).first()
+    total = float((sums["bytes"] or 0.0) if total_bytes is None else total_bytes)
+    rate = F.when((F.col("bytes") > 0) & (F.col("w") > 0), F.col("w") / F.lit(float(sums["w"] or 1.0)) * F.lit(total) / F.col("bytes")).otherwise(0.0)
+    return weighed.select("src", rate.alias("rate"))
 
 
 def steps(rate: Column) -> Column:
