@@ -10,8 +10,9 @@ A document's set is its distinct shingles of five words (lower-cased A-Z; the wh
    pair is confirmed on full sets.  The links give first components, which swallow groups of near copies without
    ever listing their pairs.
 3. Buckets that still hold several components compare, in blocks, the classes that lie in different ones: by
-   signatures first, then those that may reach the threshold by full sets.  A bucket gives a link for each two
-   components at most.
+   signatures first, then those that may reach the threshold by full sets.  Blocks of a bucket's largest component
+   meet only those of the others, so a huge group of near copies is not dealt out against itself.  A bucket gives a
+   link for each two components at most.
 4. Components come from alternating large-star and small-star steps until nothing changes.
 
 Pairs inside a component are never listed, for they can change nothing.  No bucket, partner or candidate is
@@ -360,10 +361,15 @@ def _crossing_links(documents: DataFrame, multi: DataFrame, labels: DataFrame, c
     travel with their sets.  What comes out is a link for each two components of a bucket at most, never its pairs.
     """
     known = multi.join(labels.withColumnRenamed("u", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
-    mixed = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x != y")
-    rows = known.join(mixed.select("key", "m"), "key").join(classes.select("cid", "sig"), "cid")
-    rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.expr("int(pmod(xxhash64(cid), blocks))"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    kinds = known.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = kinds.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    rows = known.join(mixed.select("key", "m", "most"), "key").join(classes.select("cid", "sig"), "cid")
+    # the component with the most members comes in blocks of its own, which meet the others' blocks but not each other
+    of_most, one = F.col("label") == F.col("most.label"), F.col("m") <= BLOCK
+    few, many = (F.ceil(x / BLOCK).cast("int") for x in (F.col("m") - F.col("most.n"), F.col("most.n")))
+    place = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    rows = rows.withColumn("block", F.when(one, 0).when(of_most, few + place(many)).otherwise(place(few)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(one, 0).when(of_most, few - 1).otherwise(few + many - 1))))
     rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cid", "label", "sig")
     order = ("key", "lo", "hi")
     active = cut(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_active(least), "key long, lo int, hi int, block int, cid long, label long").distinct())

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quillon.llm import _scan
+from quillon.llm import _scan, minhash
 from quillon.llm.minhash import components, least_estimate, minima, near_duplicates, one_of_each, pack, shingles, similarity
 
 
@@ -51,7 +51,9 @@ def test_real_documents(spark, sf_dir):
     assert got == brute([(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()])
 
 
-def test_a_large_group_of_near_copies_with_pairs_on_both_sides_of_the_threshold(spark):
+@pytest.mark.parametrize("block", [2048, 8])
+def test_a_large_group_of_near_copies_with_pairs_on_both_sides_of_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(3)
     base = " ".join(f"b{rng.randrange(10**6)}" for _ in range(150))
     other = " ".join(f"c{rng.randrange(10**6)}" for _ in range(150))
