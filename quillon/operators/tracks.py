@@ -70,3 +70,29 @@ def hard_assignment(points: DataFrame, lines: DataFrame, keys: list[str], period
         before = own
         lines = lifted_line(own, lines, [*keys, "track"], period, 1).checkpoint()
     return lines, before.select(*keys, "id", "track")
+
+
+def lifted_polynomial(points: DataFrame, keys: list[str], period: float, degree: int, rounds: int = 4, held: int = 5) -> DataFrame:
+    """Weighted least-squares polynomials of degree 1 or 2 in t - mean(t), joined with whole multiples of the period.
+
+    Each round lifts every point to the multiple nearest to the polynomial before (first: the value of the earliest point) and solves the normal
+    equations.  a0 is on the earliest point's multiple.  Points whose id is divisible by ``held`` take no part in the fit: held_rms is theirs.  a0, a1, a2, rms, held_rms, n,
+    bic (n ln(rss / n) + (degree + 1) ln n); keys with too few points for the degree have no row.
+    """
+    centre = points.groupBy(*keys).agg(F.avg("t").alias("ref"), F.min_by("v", F.struct("t", "id")).alias("a0")).withColumns({"a1": F.lit(0.0), "a2": F.lit(0.0)})
+    rows = points.join(centre.select(*keys, "ref"), keys).withColumn("x", F.col("t") - F.col("ref")).withColumn("own", F.col("id") % held != 0).drop("ref")
+    lines = centre.drop("ref")
+    residual = wrapped(F.col("v") - F.expr("a0 + a1 * x + a2 * x * x"), period)
+    for _ in range(rounds):
+        lifted = rows.where("own").join(lines, keys).withColumn("y", F.expr("a0 + a1 * x + a2 * x * x") + residual)
+        sums = lifted.groupBy(*keys).agg(*[F.sum(F.expr(f"w * pow(x, {i})")).alias(f"s{i}") for i in range(5)], *[F.sum(F.expr(f"w * y * pow(x, {i})")).alias(f"y{i}") for i in range(3)], F.count("*").alias("m")).where(F.col("m") > degree + 1)
+        det = {1: "s0 * s2 - s1 * s1", 2: "s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)"}[degree]
+        top = {
+            1: ("y0 * s2 - s1 * y1", "s0 * y1 - s1 * y0", "0D"),
+            2: ("y0 * (s2 * s4 - s3 * s3) - s1 * (y1 * s4 - s3 * y2) + s2 * (y1 * s3 - s2 * y2)", "s0 * (y1 * s4 - s3 * y2) - y0 * (s1 * s4 - s2 * s3) + s2 * (s1 * y2 - s2 * y1)", "s0 * (s2 * y2 - s3 * y1) - s1 * (s1 * y2 - s2 * y1) + y0 * (s1 * s3 - s2 * s2)"),
+        }[degree]
+        lines = sums.withColumn("det", F.expr(det)).where("abs(det) > 1e-9").select(*keys, *[F.expr(f"({x}) / det").alias(f"a{i}") for i, x in enumerate(top)])
+    left = rows.join(lines, keys).withColumn("r2", residual * residual)
+    fit, out = F.when(F.col("own"), F.col("r2")), F.when(~F.col("own"), F.col("r2"))
+    done = left.groupBy(*keys, "a0", "a1", "a2").agg(F.count(fit).alias("n"), F.sqrt(F.avg(fit)).alias("rms"), F.sqrt(F.avg(out)).alias("held_rms"))
+    return done.withColumn("bic", F.col("n") * F.log(F.greatest(F.col("rms") * F.col("rms"), F.lit(1e-12))) + (degree + 1) * F.log(F.col("n").cast("double")))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import sky
-from quillon.operators import aggregates, catalog, fitting, intervals, kernels, ordered
+from quillon.operators import aggregates, catalog, fitting, intervals, kernels, ordered, partitions, tracks
 from quillon.sources import tables
 
 
@@ -209,3 +209,32 @@ def test_peeling_and_assignment_recover_aliased_lines(spark):
     assert {(r.id // 100, r.track) for r in own.collect()} == {(0, 0), (1, 1)} and own.count() == 120
     assert {r.track: round(r.slope) for r in lines.collect()} == {0: 20, 1: -15}
     assert tracks.peeled(points.where("false"), ["path"], [0.0], 2273.0, 8, 10.0, 2, 3).collect() == []
+
+
+def test_polynomials_are_found_through_multiples_of_the_period(spark):
+    rows = []
+    for key, (a, b, c) in enumerate([(40.0, -2.0, -0.1), (10.0, 3.0, 0.0)]):
+        for i in range(101):
+            t = i / 10
+            noise = ((i * 37) % 11 - 5) / 50
+            rows.append((key, i, t, a + b * t + c * t * t + noise + 100.0 * (i % 2 + (i % 7 == 0)), 1.0 + i % 3))
+    rows.append((9, 1, 0.0, 5.0, 1.0))
+    points = spark.createDataFrame(rows, "key int, id long, t double, v double, w double")
+    for degree in (1, 2):
+        got = {r.key: r for r in tracks.lifted_polynomial(points, ["key"], 100.0, degree).collect()}
+        assert sorted(got) == [0, 1]
+        for key, r in got.items():
+            own = [(t, v - 100.0 * (i % 2 + (i % 7 == 0)), w) for k, i, t, v, w in rows if k == key and i % 5]
+            t, v, w = (np.array(x) for x in zip(*own, strict=True))
+            fit = np.polyfit(t - 5.0, v, degree, w=np.sqrt(w))[::-1]
+            fit[0] += 100.0 * round((r.a0 - fit[0]) / 100.0)  # which multiple the whole curve is on is left open
+            assert np.allclose([r.a0, r.a1, r.a2][: degree + 1], fit, atol=1e-6)
+    assert abs(got[0].a2 + 0.1) < 0.01 and got[0].held_rms < 0.2 and got[0].n == 80
+
+
+def test_set_partitions_are_all_and_each_once(spark):
+    got = partitions.set_partitions(spark.createDataFrame([(1, 1), (2, 4), (3, 0)], "g int, n int"), "n", 5).collect()
+    own = [tuple(r.blocks) for r in got if r.g == 2]
+    assert len(own) == len(set(own)) == 15 and [tuple(r.blocks) for r in got if r.g == 1] == [(0,)] and not [r for r in got if r.g == 3]
+    with pytest.raises(Exception, match="more than 2"):
+        partitions.set_partitions(spark.createDataFrame([(1, 3)], "g int, n int"), "n", 2).collect()
