@@ -8,6 +8,10 @@ doc_id and copy, over all partitions.
 
 Without weights, sources weigh as the square root of their bytes, and the mixture has as many bytes as the input.
 
+A small source among large ones has a large mean: with default weights it grows as the square root of the input.
+Means beyond ``MOST_RATE`` take part like all others.  Their sums begin 12 standard deviations below the mean (what lies
+below is under 2^-60), so that a source's table grows as the square root of its mean.
+
 Rates make a row for each source; they go to all tasks if their measured size is under ``BROADCAST_BYTES``, else
 Spark joins them as a table, whose skew it splits.
 
@@ -19,12 +23,15 @@ table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm._spark import cut
 
-#: Means beyond this would need a step table without bound; a mixture that repeats a source so often is refused.
+#: Up to this mean the distribution's sums begin at 0; beyond it, 12 standard deviations below the mean.  A given total_bytes
+#: that asks for more of a source is refused.
 MOST_RATE = 500.0
 BROADCAST_BYTES = 8 << 20
 _NULL = "\u0000null"
@@ -66,18 +73,37 @@ def steps(rate: Column) -> Column:
     return F.when(rate > 0, sums).otherwise(F.array(F.lit(1.0)))
 
 
+def far_steps(table: DataFrame) -> DataFrame:
+    """src, first and steps of sources (src, rate) with rates beyond MOST_RATE: P(first <= X <= k) for k = first, first + 1, ..."""
+    rate, k = F.col("rate"), F.col("k").cast("double")
+    reach = 12 * F.sqrt(rate) + 20
+    rows = table.select("src", "rate", F.floor(rate - reach).cast("int").alias("first"), F.ceil(rate + reach).cast("int").alias("last"))
+    rows = rows.select("src", "rate", "first", F.explode(F.sequence("first", "last")).alias("k"))
+    # Stirling's series: k is over 200 here, where what it leaves out is below 2^-60
+    log = k * F.log1p((rate - k) / k) + k - rate - 0.5 * F.log(2 * math.pi * k) - 1 / (12 * k) + 1 / (360 * k * k * k) - 1 / (1260 * F.pow(k, F.lit(5.0)))
+    upto = Window.partitionBy("src").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("s", F.sum(F.exp(log)).over(upto))
+    # sums never fall, so their order is that of k
+    return rows.groupBy("src", "first").agg(F.sort_array(F.collect_list("s")).alias("steps"))
+
+
 def replicate(documents: DataFrame, weights: dict[str, float] | None = None, seed: int = 1, total_bytes: float | None = None, keep_keys: bool = True) -> DataFrame:
     """documents, each row as often as its source's rate and its hash say, dealt out at random; with keep_keys also copy (from 0) and order_key."""
-    table = cut(rates(documents, weights, total_bytes).select("src", "rate", F.when(F.col("rate") <= MOST_RATE, steps(F.col("rate"))).alias("steps")))
-    size = table.agg(F.sum(8 * F.size("steps")).alias("bytes"), F.max("rate").alias("most")).first()
-    if (size["most"] or 0.0) > MOST_RATE:
-        raise ValueError(f"a source would be repeated {size['most']:.0f} times on average; at most {MOST_RATE:.0f} is allowed")
-    table = table.select("src", "steps")
+    rated = rates(documents, weights, total_bytes)
+    near = F.when(F.col("rate") <= MOST_RATE, steps(F.col("rate")))
+    table = cut(rated.select("src", "rate", F.lit(0).alias("first"), near.alias("steps")))
+    most = table.agg(F.max("rate").alias("most")).first()["most"] or 0.0
+    if most > MOST_RATE:
+        if total_bytes is not None:
+            raise ValueError(f"a source would be repeated {most:.0f} times on average; with total_bytes at most {MOST_RATE:.0f} is allowed")
+        table = cut(table.where(F.col("rate") <= MOST_RATE).select("src", "first", "steps").union(far_steps(table.where(F.col("rate") > MOST_RATE))))
+    size = table.agg(F.sum(8 * F.size("steps")).alias("bytes")).first()
+    table = table.select("src", "first", "steps")
     if (size["bytes"] or 0) <= BROADCAST_BYTES:
         table = F.broadcast(table)
     names = [c for c in documents.columns if not keep_keys or c.lower() not in ("copy", "order_key")]
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _source().alias("src"), uniform(seed, F.col("doc_id")).alias("u"))
-    rows = rows.join(table, "src").withColumn("count", F.size(F.filter("steps", lambda x: x <= F.col("u"))))
+    rows = rows.join(table, "src").withColumn("count", F.col("first") + F.size(F.filter("steps", lambda x: x <= F.col("u"))))
     rows = rows.where("count > 0").select("row", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("copy"))
     key = F.md5(F.concat_ws("/", F.lit(f"{seed}o"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
     dealt = rows.withColumn("order_key", key).repartition("order_key").sortWithinPartitions("order_key")

@@ -64,3 +64,27 @@ def test_edges(spark):
         replicate(frame, {"other": -1.0})
     with pytest.raises(ValueError):
         replicate(frame, {None: 1.0}, total_bytes=1e6)
+
+
+def test_small_source_beside_large_ones(spark):
+    # a source of 2 bytes among 3 of 8 MB each is repeated about 1 400 times, far beyond MOST_RATE
+    rows = [(i, "x" * 80_000, f"big{i % 3}") for i in range(300)] + [(1000, "a", "small"), (1001, "b", "small")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = Counter()
+    for _, text, source in rows:
+        size[source] += len(text)
+    rate = math.sqrt(2) / sum(math.sqrt(n) for n in size.values()) * sum(size.values()) / 2
+    assert rate > 2 * mixing.MOST_RATE
+    got = replicate(frame).select("doc_id", "copy").where("doc_id >= 1000").collect()
+    want = {d: _far(rate, _uniform(d)) for d in (1000, 1001)}
+    assert Counter(r.doc_id for r in got) == want
+    assert {(r.doc_id, r.copy) for r in got} == {(d, c) for d, n in want.items() for c in range(n)}
+
+
+def _far(rate, u):
+    k, total = 0, 0.0
+    while True:
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        if total > u:
+            return k
+        k += 1
