@@ -67,18 +67,32 @@ def running_sum(rows: DataFrame, order: list[str], value: str, name: str) -> Dat
     return inside.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn(name, F.col("_in") + F.col("_before")).drop("_p", "_in", "_before")
 
 
-def lineage(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
-    """(root, node, depth) of all that roots reach over edges (node, parent): a frontier a round, each node at its least depth."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_lineage_edges")
-    roots.createOrReplaceTempView("_lineage_roots")
-    found = spark.sql(
-        f"""WITH RECURSIVE reach (root, node, depth) MAX RECURSION LEVEL {depth + 2} AS (
-          SELECT node, node, 0 FROM _lineage_roots
-          UNION ALL SELECT r.root, e.parent, r.depth + 1 FROM reach r JOIN _lineage_edges e ON e.node = r.node WHERE r.depth < {depth}
-        ) SELECT root, node, min(depth) AS depth FROM reach GROUP BY root, node"""
-    )
-    return found
+def lineage(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node, depth) of all that roots reach over edges (node, parent), however deep, each node at its least depth.
+
+    A round goes as far ahead of what is known as the hops are long; hops double in length as long as they don't
+    outgrow the edges, so that chains take rounds as the logarithm of their length.  Ends when a round finds nothing new.
+    """
+    ensure_checkpoint_dir(edges.sparkSession)
+    hops = edges.select("node", "parent").where("node is not null and parent is not null").distinct().checkpoint()
+    most = 2 * hops.count()
+    reach = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct().checkpoint()
+    stride = known = 1  # depths below known are complete
+    rounds, growing = 0, True
+    while True:
+        ahead = reach.where(F.col("depth") >= known - stride).join(hops, "node").select("root", F.col("parent").alias("node"), (F.col("depth") + stride).alias("depth"))
+        ahead = ahead.groupBy("root", "node").agg(F.min("depth").alias("depth")).join(reach.select("root", "node"), ["root", "node"], "left_anti").checkpoint()
+        if ahead.isEmpty():
+            return reach
+        rounds += 1
+        reach = reach.union(ahead)
+        if rounds % 16 == 0:
+            reach = reach.checkpoint()
+        known += stride
+        if growing and known >= 2 * stride:
+            longer = hops.join(hops.select(F.col("node").alias("parent"), F.col("parent").alias("_p")), "parent").select("node", F.col("_p").alias("parent")).distinct().checkpoint()
+            growing = longer.count() <= most
+            hops, stride = (longer, 2 * stride) if growing else (hops, stride)
 
 
 def outcome(events: DataFrame, keys: list[str], order: list[str], transitions: dict[str, str]) -> DataFrame:

@@ -238,3 +238,38 @@ def test_set_partitions_are_all_and_each_once(spark):
     assert len(own) == len(set(own)) == 15 and [tuple(r.blocks) for r in got if r.g == 1] == [(0,)] and not [r for r in got if r.g == 3]
     with pytest.raises(Exception, match="more than 2"):
         partitions.set_partitions(spark.createDataFrame([(1, 3)], "g int, n int"), "n", 2).collect()
+
+
+def _reached(edges, roots):
+    out = {}
+    for root in roots:
+        depth, ahead = {root: 0}, [root]
+        while ahead:
+            ahead = list(dict.fromkeys(p for x in ahead for n, p in edges if n == x and p not in depth and not depth.update({p: depth[x] + 1})))
+        out |= {(root, node): d for node, d in depth.items()}
+    return out
+
+
+def test_lineage_has_no_greatest_depth(spark):
+    chain = [(i, i - 1) for i in range(1, 151)]
+    # a chain, side ways and a way back, so that nodes are met more than once and the graph has a cycle
+    dense = [(1000 + i, 1000 + j) for i in range(40) for j in range(max(0, i - 3), i)] + [(1000, 1010)]
+    edges, roots = [*chain, (150, 75), *dense], [150, 80, 1039, 5000]
+    got = catalog.lineage(spark.createDataFrame(edges, "node long, parent long"), spark.createDataFrame([(r,) for r in [*roots, 80]], "node long")).collect()
+    assert len(got) == len({(r.root, r.node) for r in got})
+    assert {(r.root, r.node): r.depth for r in got} == _reached(edges, roots)
+
+
+@pytest.mark.parametrize("name", ["u01_lineage_closure", "u02_closure_available"])
+def test_long_conversations(spark, tmp_path, name):
+    import duckdb
+
+    from quillon.plans import registry
+
+    # turn 3 is more than 64 steps from the last one
+    turns = [(1, t, "system" if t == 3 else "user", "x") for t in range(100)] + [(2, t, "user", "x") for t in range(5)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(db.execute(registry.oracle_sql()[name]).fetchall())
+    assert sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()) == want and len(want) in (2, 105)
