@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import langid, mixing, pii
 from quillon.llm._spark import new_path
-from quillon.llm.minhash import one_of_each
+from quillon.llm.minhash import one_of_each_text
 from quillon.llm.packing import pack_documents
 from quillon.session import ship
 
@@ -36,8 +36,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    return one_of_each(_sent(spark, docs))
+    """One row of each group of near duplicates: the one with the smallest doc_id, null last; null and repeated ids take part."""
+    return one_of_each_text(_sent(spark, docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -436,3 +436,35 @@ def one_of_each(documents: DataFrame, percent: int = 75) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in documents.columns if c != "doc_id"])
     again = rows.where("__pointed").drop("__pointed").join(gone, "doc_id", "left_anti").withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k")
     return clear.unionByName(again)
+
+
+def one_of_each_text(documents: DataFrame, percent: int = 75) -> DataFrame:
+    """One row of each group of near copies, with all its columns: that with the smallest doc_id, null last.
+
+    Rows go by a key of 63 bits from doc_id and text: a null doc_id hides no copy, and a doc_id with two texts has two
+    keys and joins no groups.  Of equal rows one stays; texts without a word are no copies of others, and rows without
+    a word and a doc_id all stay.
+    """
+    key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), 1)
+    keyed = documents.withColumn("__key", key)
+    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), percent)
+    found = found.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("component"), F.max("n_shingles").alias("n"), F.count("*").alias("rows"))
+    ids = keyed.groupBy("__key").agg(F.min(F.col("doc_id").cast("long")).alias("id"))
+    members = cut(found.join(ids, "__key"))
+    # a component's members are never dealt out by it: what stays is found by aggregation, what goes by the members' own keys
+    best = cut(members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("__key"))).alias("x")).select(F.col("x.__key").alias("__key")))
+    drop = cut(members.select("__key").join(best, "__key", "left_anti"))
+    twice = cut(members.where("rows > 1 and (n > 0 or id is not null)").select("__key").join(best, "__key", "left_semi").withColumn("__twice", F.lit(True)))
+    bloom = documents.sparkSession.sparkContext.broadcast(bloom_filter(drop.union(twice.select("__key")).select(F.col("__key").alias("id"))))
+
+    def pointed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = in_bloom(batch.column("__key").to_numpy(), *bloom.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "__pointed"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema) + ", `__pointed` boolean"
+    rows = keyed.mapInArrow(pointed, kinds)
+    order = Window.partitionBy("__key").orderBy(*[F.col(f"`{c}`") for c in documents.columns])
+    again = rows.where("__pointed").join(drop, "__key", "left_anti").join(twice, "__key", "left").withColumn("__k", F.row_number().over(order))
+    again = again.where("__k = 1 or __twice is null")
+    return rows.where("not __pointed").select(documents.columns).unionByName(again.select(documents.columns))

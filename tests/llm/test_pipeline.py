@@ -51,6 +51,20 @@ def test_run_is_the_stages_one_after_another(spark, tmp_path):
     assert rows(corpus_pipeline.run(spark, str(tmp_path))) == rows(want)
 
 
+def test_one_row_of_each_text_whatever_the_ids(spark, tmp_path):
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abc"}
+    a, b, c = texts.values()
+    # (5, a) and (5, b) are unrelated texts under one id; copies of a and c have no id
+    rows = [(3, a), (3, a), (5, a), (5, b), (7, b), (None, a), (None, c), (None, c), (None, c + " more"), (None, "lonely text here"), (None, ""), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "s0", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    got = sorted((str(r.doc_id), str(r.text)) for r in got.collect())
+    assert [g for g in got if g[0] != "None"] == [("3", a), ("5", b)]
+    others = [g[1] for g in got if g[0] == "None"]
+    assert len(others) == 5 and sorted(x for x in others if not x.startswith("c0")) == ["", "", "None", "lonely text here"]
+
+
 def test_empty_input(spark, tmp_path):
     _documents(spark).where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
