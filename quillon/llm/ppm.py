@@ -155,17 +155,23 @@ def pair_scores(pairs: DataFrame) -> DataFrame:
     steps = steps.join(edges, "edge", "left").join(nodes, "node", "left")
     columns = [F.max(F.when(F.col("k") == k, F.col(x))).alias(f"{x}{k}") for k in range(ORDER + 1) for x in ("c", "total", "distinct", "excluded")]
     wide = steps.groupBy("code").agg(*columns)
-    logp, open_ = F.lit(0.0), F.lit(True)
+    # what is left of each context's total and distinct symbols without those that the next longer one excludes
+    less = lambda x, k, y: F.col(f"{x}{k}") - (F.coalesce(F.col(f"{y}{k + 1}"), F.lit(0)) if k < ORDER else F.lit(0))
+    wide = wide.withColumns({f"t{k}": less("total", k, "excluded") for k in range(ORDER + 1)} | {f"d{k}": less("distinct", k, "distinct") for k in range(ORDER + 1)})
+    # each context's own cost and whether it has seen the symbol; the costs from the longest context to the first that has add up
+    costs, hits = {}, {}
+    for k in range(ORDER + 1):
+        total, distinct, c = F.col(f"t{k}"), F.col(f"d{k}"), F.col(f"c{k}")
+        here = total.isNotNull() & (distinct > 0)
+        costs[f"cost{k}"] = F.when(here, F.log10(F.coalesce(c, distinct) / (total + distinct))).otherwise(0.0)
+        hits[f"hit{k}"] = here & c.isNotNull()
+    wide = wide.withColumns(costs | hits)
+    wide = wide.withColumn("hit", F.coalesce(*[F.when(F.col(f"hit{k}"), F.lit(k)) for k in range(ORDER, -1, -1)], F.lit(-1)))
+    logp = F.lit(0.0)
     for k in range(ORDER, -1, -1):
-        out_of = lambda x, k=k: F.coalesce(F.col(f"{x}{k + 1}"), F.lit(0)) if k < ORDER else F.lit(0)
-        total = F.col(f"total{k}") - out_of("excluded")
-        distinct = F.col(f"distinct{k}") - out_of("distinct")
-        here = open_ & F.col(f"total{k}").isNotNull() & (distinct > 0)
-        hit = here & F.col(f"c{k}").isNotNull()
-        logp = F.when(hit, logp + F.log10(F.col(f"c{k}") / (total + distinct))).when(here, logp + F.log10(distinct / (total + distinct))).otherwise(logp)
-        open_ = open_ & ~hit
+        logp = logp + F.when(F.col("hit") <= k, F.col(f"cost{k}")).otherwise(0.0)
     left = F.lit(SYMBOLS) - F.coalesce(F.col("distinct0"), F.lit(0))
-    unknown = wide.select("code", F.when(open_, logp - F.log10(left.cast("double"))).otherwise(logp).alias("logp"))
+    unknown = wide.select("code", (logp - F.when(F.col("hit") < 0, F.log10(left.cast("double"))).otherwise(0.0)).alias("logp"))
     return known.union(unknown)
 
 
