@@ -130,24 +130,31 @@ def path_cover(n: int, edges: list[tuple[int, int, float]], ends: float) -> tupl
             v = free_next
 
 
+def kalman_start(z: float, r: float) -> tuple[float, ...]:
+    """The state after a first measurement: level, rate and the covariance's three entries."""
+    return float(z), 0.0, r, 0.0, 1e3
+
+
+def kalman_step(state: tuple[float, ...], dt: float, z: float, q: float, r: float, gate: float) -> tuple[tuple[float, ...], bool]:
+    """One step of a constant-velocity filter with a Joseph update, and whether the measurement was taken (within the gate)."""
+    level, rate, a, b, c = state
+    level += rate * dt
+    a, b, c = a + 2 * dt * b + dt * dt * c + q * dt**3 / 3, b + dt * c + q * dt**2 / 2, c + q * dt
+    y, s = z - level, a + r
+    if y * y > gate * gate * s:
+        return (level, rate, a, b, c), False
+    k, m = a / s, b / s
+    u = 1.0 - k
+    return (level + k * y, rate + m * y, u * u * a + r * k * k, u * b - u * m * a + r * k * m, c - 2 * m * b + m * m * a + r * m * m), True
+
+
 def kalman(t: np.ndarray, z: np.ndarray, q: float, r: float, gate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Constant-velocity filter with irregular steps and Joseph updates: level, rate and whether a measurement was taken (within the gate)."""
-    x, p = np.array([z[0], 0.0]), np.diag([r, 1e3])
-    h = np.array([[1.0, 0.0]])
+    """Constant-velocity filter with irregular steps: level, rate and whether a measurement was taken."""
     out, taken = np.zeros((len(t), 2)), np.zeros(len(t), bool)
+    state = kalman_start(z[0], r) if len(z) else ()
     for i in range(len(t)):
-        dt = t[i] - t[i - 1] if i else 0.0
-        f = np.array([[1.0, dt], [0.0, 1.0]])
-        x, p = f @ x, f @ p @ f.T + q * np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]])
-        s = (h @ p @ h.T)[0, 0] + r
-        y = z[i] - x[0]
-        if y * y <= gate * gate * s:
-            k = p @ h.T / s
-            x = x + k[:, 0] * y
-            a = np.eye(2) - k @ h
-            p = a @ p @ a.T + r * k @ k.T
-            taken[i] = True
-        out[i] = x
+        state, taken[i] = kalman_step(state, float(t[i] - t[i - 1]) if i else 0.0, float(z[i]), q, r, gate)
+        out[i] = state[:2]
     return out[:, 0], out[:, 1], taken
 
 

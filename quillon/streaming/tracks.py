@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from quillon.operators import fitting
 from quillon.sources.tables import micros
 
 
@@ -32,53 +33,80 @@ def sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:
     return found.select("path", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")
 
 
-class LevelFilter(StatefulProcessor):
-    """Level and rate of each path by a constant-gain filter; rows of a batch are taken in order of time, late ones counted and left out."""
+#: Process and measurement noise of the filter (values in hundredths, time in hours), and its gate in standard deviations.
+PROCESS, MEASUREMENT, GATE = 50.0, 4e6, 3.0
+FILTERED = "path long, id long, t_us long, level double, rate double, taken boolean, late boolean"
 
-    def __init__(self, alpha: float = 0.3, beta: float = 0.05) -> None:
-        self.alpha, self.beta = alpha, beta
+
+class TrackFilter(StatefulProcessor):
+    """Level and rate of each path by a Kalman filter over its rows in order of (t_us, id).
+
+    Rows wait in the state until the watermark has passed them, so files may come in any order within the allowed lateness.  A row
+    that comes after a later one of its path was filtered can't be put in order any more: it is given out at once, without level, and marked late.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("track", StructType([StructField("t", LongType()), StructField("level", DoubleType()), StructField("rate", DoubleType()), StructField("late", LongType())]))
+        self.handle = handle
+        self.track = handle.getValueState("track", "t long, id long, level double, rate double, a double, b double, c double")
+        self.waiting = handle.getListState("waiting", "t long, id long, z double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values(["t_us", "id"])
-        t, level, rate, late = self.state.get() if self.state.exists() else (None, 0.0, 0.0, 0)
-        out = []
-        for row_id, now, z in zip(frame["id"], frame["t_us"], frame["cents"], strict=True):
-            if t is not None and now < t:
-                late += 1
-                continue
-            dt = 0.0 if t is None else (now - t) / 3.6e9
-            level = float(z) if t is None else level + rate * dt
-            error = float(z) - level
-            level, rate, t = level + self.alpha * error, rate + (self.beta * error / dt if dt > 0 else 0.0), int(now)
-            out.append((key[0], int(row_id), level, rate))
-        self.state.update((t, level, rate, late))
-        yield pd.DataFrame(out, columns=["path", "id", "level", "rate"]).astype({"path": "int64", "id": "int64", "level": "float64", "rate": "float64"})
+        new = [(int(t), int(i), float(z)) for frame in rows for t, i, z in zip(frame["t_us"], frame["id"], frame["cents"], strict=True)]
+        last = self.track.get()[:2] if self.track.exists() else None
+        late = sorted(x for x in new if last is not None and x[:2] < last)
+        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        waiting += [x for x in new if last is None or x[:2] >= last]
+        yield self._passed(key, waiting, timerValues.getCurrentWatermarkInMs(), late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        yield self._passed(key, waiting, timerValues.getCurrentWatermarkInMs(), [])
+
+    def _passed(self, key, waiting: list[tuple], watermark: int, late: list[tuple]) -> pd.DataFrame:
+        """Filters what the watermark has passed, keeps the rest and asks to be called when the watermark reaches the first of it."""
+        waiting.sort()
+        ready = [x for x in waiting if x[0] <= watermark * 1000]
+        rest = waiting[len(ready) :]
+        out = [(key[0], i, t, None, None, None, True) for t, i, _ in late]
+        if ready:
+            held = self.track.get() if self.track.exists() else None
+            before, state = (held[0], tuple(held[2:])) if held else (ready[0][0], fitting.kalman_start(ready[0][2], MEASUREMENT))
+            for t, i, z in ready:
+                state, taken = fitting.kalman_step(state, (t - before) / 3.6e9, z, PROCESS, MEASUREMENT, GATE)
+                before = t
+                out.append((key[0], i, t, state[0], state[1], taken, False))
+            self.track.update((ready[-1][0], ready[-1][1], *state))
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(max(watermark + 1, rest[0][0] // 1000 + 1))
+        else:
+            self.waiting.clear()
+        return pd.DataFrame(out, columns=["path", "id", "t_us", "level", "rate", "taken", "late"]).astype({"level": "float64", "rate": "float64", "taken": "object", "late": "bool"})
 
     def close(self) -> None:
         pass
 
 
-FILTERED = "path long, id long, level double, rate double"
-
-
-def filtered(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("path").transformWithStateInPandas(LevelFilter(), FILTERED, "Append", "None")
+def filtered(stream: DataFrame, late: str = "2 hours") -> DataFrame:
+    """The filter over a stream of observations; rows that the watermark hasn't passed when a run ends stay in its state for the next."""
+    # the grouped rows carry no watermark column: with one, late rows would be dropped before the filter sees them
+    rows = stream.withWatermark("ts", late).select("path", "id", "cents", "t_us", F.unix_micros("ts").alias("ts_us"))
+    # the worker that sets up the state runs beside the driver and has no archive of this package: what it needs goes by value
+    modules = [importlib.import_module(x) for x in (__name__, fitting.__name__)]
+    for module in modules:
+        cloudpickle.register_pickle_by_value(module)
+    try:
+        return rows.groupBy("path").transformWithStateInPandas(TrackFilter(), FILTERED, "Append", "EventTime")
+    finally:
+        for module in modules:
+            cloudpickle.unregister_pickle_by_value(module)
 
 
-def filter_in_batch(frame: pd.DataFrame, alpha: float = 0.3, beta: float = 0.05) -> pd.DataFrame:
+def filter_in_batch(frame: pd.DataFrame) -> pd.DataFrame:
     """What the filter gives for one path's rows in order."""
     frame = frame.sort_values(["t_us", "id"])
-    t, level, rate, out = None, 0.0, 0.0, []
-    for row_id, now, z in zip(frame["id"], frame["t_us"], frame["cents"], strict=True):
-        dt = 0.0 if t is None else (now - t) / 3.6e9
-        level = float(z) if t is None else level + rate * dt
-        error = float(z) - level
-        level, rate, t = level + alpha * error, rate + (beta * error / dt if dt > 0 else 0.0), now
-        out.append((frame["path"].iloc[0], row_id, level, rate))
-    return pd.DataFrame(np.array(out, dtype=object), columns=["path", "id", "level", "rate"])
+    level, rate, taken = fitting.kalman(frame["t_us"].to_numpy() / 3.6e9, frame["cents"].to_numpy(float), PROCESS, MEASUREMENT, GATE)
+    return pd.DataFrame({"path": frame["path"], "id": frame["id"], "level": level, "rate": rate, "taken": taken})
 
 
 def drained(frame: DataFrame, path: str, mode: str = "append") -> DataFrame:
