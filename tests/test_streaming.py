@@ -56,7 +56,7 @@ def test_filter_with_state_whatever_the_order_of_files(spark, sf_dir, tmp_path,
 
 def test_late_rows_come_out_marked(spark, sf_dir, tmp_path):
     got = _filtered(spark, sf_dir, tmp_path, (1.1e9, 1.2e9, 1e9), "1 hour")
-    rows = tables.observations(spark, sf_dir).toPandas().merge(got, on=["path", "id"])
+    rows = tables.observations(spark, sf_dir).toPandas().merge(got, on=["path", "id", "t_us"])
     assert len(rows) == len(got) == 1000 and 0 < rows["late"].sum() < 500
     assert rows.loc[rows["late"], "level"].isna().all() and rows.loc[~rows["late"], "level"].notna().all()
     # what isn't late is what the filter gives for these rows alone
