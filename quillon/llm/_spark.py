@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,16 +12,28 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one is set only where the session has none."""
+    """The folder that spark.checkpoint.dir names.  A temporary one is set only where the session has none and runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="quillon-")
         if not held.isDefined():
             spark.sparkContext.setCheckpointDir(path)
     return path if "://" in path or path.startswith("file:") else f"file://{path}"
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names like the given ones that no column has, underscores put before them where one has."""
+    held, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name in held:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 

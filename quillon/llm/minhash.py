@@ -9,15 +9,19 @@ A document's set is its distinct shingles of five words (lower-cased A-Z; the wh
    a class is held against its best head, by the signatures' bit counts corrected for chance agreement, and the
    pair is confirmed on full sets.  The links give first components, which swallow groups of near copies without
    ever listing their pairs.
-3. Buckets that still hold several components compare, in blocks, the classes that lie in different ones: by
-   signatures first, then those that may reach the threshold by full sets.  Blocks of a bucket's largest component
-   meet only those of the others, so a huge group of near copies is not dealt out against itself.  A bucket gives a
-   link for each two components at most.
+3. Buckets that still hold several components compare the classes that lie in different ones: by signatures first, then
+   those that may reach the threshold by full sets.  A bucket beyond ``BLOCK`` classes is first split by a second band and by
+   set size: its pairs meet where they share another band key as well, and where their sizes allow the threshold; so
+   its rows grow with the bucket and not with its square.  Only parts that are still beyond a block are compared in blocks;
+   those of the largest component meet only the others', so a huge group of near copies is not dealt out
+   against itself.  A bucket gives a link for each two components at most.
 4. Components come from alternating large-star and small-star steps until nothing changes.
 
 Pairs inside a component are never listed, for they can change nothing.  No bucket, partner or candidate is
-dropped; a link of similarity 0.75 is missed by all bands in about one of a million cases and by the signature's
-margin of four standard deviations in about one of thirty thousand.
+dropped; a link of similarity 0.75 is missed by all bands in about one of a million cases, in a bucket that is split in
+about one of fifty thousand (it has no second band in common), and by the signature's margin of four standard
+deviations in about one of thirty thousand.  Sets are of 64-bit hashes of shingles, and sets are equal if their sizes and 128 bits
+of hash are.
 
 Full sets are computed again only for the documents that a pair names, found by a Bloom filter of bounded size
 before their texts are dealt out.
@@ -36,9 +40,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quillon.llm import _scan
-from quillon.llm._spark import cut
+from quillon.llm._spark import cut, fresh
 
 WORDS = 5
 BANDS, ROWS = 50, 5
@@ -342,7 +347,9 @@ def _links(least: float, percent: int):
         # a pair with several buckets in common belongs to the one with the smallest key
         bands = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, BANDS)
         first = np.concatenate([np.where(bands[x[i : i + 4096]] == bands[y[i : i + 4096]], bands[x[i : i + 4096]], np.iinfo(np.int64).max).min(axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
-        own = first == batch.column("key").to_numpy()[x]
+        key = batch.column("key").to_numpy()[x]
+        split = np.concatenate([~(bands[x[i : i + 4096]] == key[i : i + 4096, None]).any(axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0, bool)])
+        own = (first == key) | split
         cid, label, sets = batch.column("cid").to_numpy(), batch.column("label").to_numpy(), batch.column("set")
         found: dict[tuple[int, int], tuple[int, int]] = {}
         for i, j in zip(x[own].tolist(), y[own].tolist(), strict=True):
@@ -354,15 +361,28 @@ def _links(least: float, percent: int):
     return _by_bucket(handle)
 
 
+def _mixed(known: DataFrame) -> DataFrame:
+    """key, m (classes), most (the largest component with its classes) and labels of the buckets with several components."""
+    kinds = known.groupBy("key", "label").agg(F.count("*").alias("n"))
+    return kinds.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+
+
 def _crossing_links(documents: DataFrame, multi: DataFrame, labels: DataFrame, classes: DataFrame, least: float, percent: int) -> DataFrame:
     """Links (a, b) between classes of one bucket and different components, confirmed where the buckets are.
 
     First only signatures travel, and show which classes have a partner whose estimate reaches ``least``; then these
     travel with their sets.  What comes out is a link for each two components of a bucket at most, never its pairs.
     """
-    known = multi.join(labels.withColumnRenamed("u", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
-    kinds = known.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = kinds.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    known = cut(multi.join(labels.withColumnRenamed("u", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label")))
+    mixed = cut(_mixed(known))
+    if not mixed.where(F.col("m") > BLOCK).isEmpty():
+        # a pair at the threshold has sizes of this step or the next, and its smaller step's part is where it meets
+        step = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
+        large = known.join(mixed.where(F.col("m") > BLOCK).select("key"), "key").join(classes.select("cid", "n", "bands"), "cid")
+        large = large.select("key", "cid", "label", "bands", F.explode(F.array(step, step + 1)).alias("step")).select("key", "cid", "label", "step", F.explode("bands").alias("second")).where("second != key")
+        parts = cut(large.select(F.xxhash64("key", "second", "step").alias("key"), "cid", "label").distinct())
+        known = known.join(mixed.where(F.col("m") > BLOCK).select("key"), "key", "left_anti").union(parts)
+        mixed = cut(mixed.where(F.col("m") <= BLOCK).union(_mixed(parts)))
     rows = known.join(mixed.select("key", "m", "most"), "key").join(classes.select("cid", "sig"), "cid")
     # the component with the most members comes in blocks of its own, which meet the others' blocks but not each other
     of_most, one = F.col("label") == F.col("most.label"), F.col("m") <= BLOCK
@@ -414,8 +434,10 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
 def one_of_each(documents: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of documents that near_duplicates keeps, with all their columns, each doc_id once.
 
-    Only rows that a Bloom filter of the doc_ids to drop or to look at again points to are dealt out.
+    Only rows that a Bloom filter of the doc_ids to drop or to look at again points to are dealt out.  Rows with a null doc_id and
+    texts without a word all stay; of rows that repeat a doc_id one stays; an empty table gives no rows.
     """
+    pointer, place = fresh(documents.columns, "__pointed", "__k")
     spark = documents.sparkSession
     found = cut(near_duplicates(documents, percent))
     drop = found.where("not kept").select("doc_id")
@@ -428,13 +450,13 @@ def one_of_each(documents: DataFrame, percent: int = 75) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id")
             hit = in_bloom(ids.fill_null(0).to_numpy(zero_copy_only=False), *bloom.value) & ids.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "__pointed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, pointer])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", `__pointed` boolean"
-    rows = documents.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(pointed, kinds)
-    clear = rows.where(~F.col("__pointed")).drop("__pointed")
+    keyed = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = keyed.mapInArrow(pointed, StructType([*keyed.schema.fields, StructField(pointer, BooleanType())]))
+    clear = rows.where(~F.col(pointer)).drop(pointer)
     order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in documents.columns if c != "doc_id"])
-    again = rows.where("__pointed").drop("__pointed").join(gone, "doc_id", "left_anti").withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k")
+    again = rows.where(F.col(pointer)).drop(pointer).join(gone, "doc_id", "left_anti").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
     return clear.unionByName(again)
 
 
@@ -445,26 +467,26 @@ def one_of_each_text(documents: DataFrame, percent: int = 75) -> DataFrame:
     keys and joins no groups.  Of equal rows one stays; texts without a word are no copies of others, and rows without
     a word and a doc_id all stay.
     """
-    key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), 1)
-    keyed = documents.withColumn("__key", key)
-    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), percent)
-    found = found.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("component"), F.max("n_shingles").alias("n"), F.count("*").alias("rows"))
-    ids = keyed.groupBy("__key").agg(F.min(F.col("doc_id").cast("long")).alias("id"))
-    members = cut(found.join(ids, "__key"))
+    key, pointer, place, again = fresh(documents.columns, "__key", "__pointed", "__k", "__twice")
+    keyed = documents.withColumn(key, F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), 1))
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), percent)
+    found = found.groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component"), F.max("n_shingles").alias("n"), F.count("*").alias("rows"))
+    ids = keyed.groupBy(F.col(key).alias("key")).agg(F.min(F.col("doc_id").cast("long")).alias("id"))
+    members = cut(found.join(ids, "key"))
     # a component's members are never dealt out by it: what stays is found by aggregation, what goes by the members' own keys
-    best = cut(members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("__key"))).alias("x")).select(F.col("x.__key").alias("__key")))
-    drop = cut(members.select("__key").join(best, "__key", "left_anti"))
-    twice = cut(members.where("rows > 1 and (n > 0 or id is not null)").select("__key").join(best, "__key", "left_semi").withColumn("__twice", F.lit(True)))
-    bloom = documents.sparkSession.sparkContext.broadcast(bloom_filter(drop.union(twice.select("__key")).select(F.col("__key").alias("id"))))
+    best = cut(members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))).alias("x")).select(F.col("x.key").alias("key")))
+    drop = cut(members.select("key").join(best, "key", "left_anti").withColumnRenamed("key", key))
+    twice = cut(members.where("rows > 1 and (n > 0 or id is not null)").select("key").join(best, "key", "left_semi").select(F.col("key").alias(key), F.lit(True).alias(again)))
+    bloom = documents.sparkSession.sparkContext.broadcast(bloom_filter(drop.union(twice.select(key)).select(F.col(key).alias("id"))))
 
     def pointed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = in_bloom(batch.column("__key").to_numpy(), *bloom.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "__pointed"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema) + ", `__pointed` boolean"
-    rows = keyed.mapInArrow(pointed, kinds)
-    order = Window.partitionBy("__key").orderBy(*[F.col(f"`{c}`") for c in documents.columns])
-    again = rows.where("__pointed").join(drop, "__key", "left_anti").join(twice, "__key", "left").withColumn("__k", F.row_number().over(order))
-    again = again.where("__k = 1 or __twice is null")
-    return rows.where("not __pointed").select(documents.columns).unionByName(again.select(documents.columns))
+            hit = in_bloom(batch.column(key).to_numpy(), *bloom.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, pointer])
+
+    rows = keyed.mapInArrow(pointed, StructType([*keyed.schema.fields, StructField(pointer, BooleanType())]))
+    order = Window.partitionBy(key).orderBy(*[F.col(f"`{c}`") for c in documents.columns])
+    other = rows.where(F.col(pointer)).join(drop, key, "left_anti").join(twice, key, "left").withColumn(place, F.row_number().over(order))
+    other = other.where((F.col(place) == 1) | F.col(again).isNull())
+    own = [F.col(f"`{c}`") for c in documents.columns]
+    return rows.where(~F.col(pointer)).select(own).unionByName(other.select(own))

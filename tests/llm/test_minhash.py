@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quillon.llm import _scan, minhash
-from quillon.llm.minhash import components, least_estimate, minima, near_duplicates, one_of_each, pack, shingles, similarity
+from quillon.llm.minhash import components, least_estimate, minima, near_duplicates, one_of_each, one_of_each_text, pack, shingles, similarity
 
 
 def _set(text):
@@ -118,3 +118,13 @@ def test_shingles_lower_ascii_only():
     data, off = _scan.text_buffers(__import__("pyarrow").array(["A B C D E", "a b c d e", "a b c d É", "a b c d é", None]))
     values, bound = shingles(data, off)
     assert np.diff(bound).tolist() == [1, 1, 1, 1, 0] and values[0] == values[1] and values[2] != values[3]
+
+
+def test_columns_with_the_names_used_inside_survive(spark):
+    rows = [(1, "a b c d e f", 7, "p", 1), (2, "A b c d e f", 8, "q", 2), (None, "a b c d e f", 9, "r", 3), (None, "lonely words", 1, "s", 4), (None, "lonely words", 1, "s", 4), (3, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __key int, __pointed string, __k int").repartition(3)
+    kept = one_of_each_text(frame)
+    assert kept.columns == frame.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3], rows[5]], key=str)
+    assert sorted(map(tuple, one_of_each(frame).collect()), key=str)[:1] == [rows[0]]
+    assert one_of_each_text(frame.where("false")).collect() == []
