@@ -13,11 +13,11 @@ Means beyond ``MOST_RATE`` take part like all others.  Their sums begin 12 stand
 below is under 2^-60), so that a source's table grows as the square root of its mean.
 
 Rates make a row for each source; they go to all tasks if their measured size is under ``BROADCAST_BYTES``, else
-Spark joins them as a table, whose skew it splits.
+both sides are dealt over ``SALTS`` salts.
 
 Defined results: a null source is a source of its own; a source whose weight is 0 or missing from given weights, or
 that has no bytes, gets no copies; null text has no bytes but its document is repeated as others of its source;
-rows that repeat a doc_id get equal counts; other columns stay, but for copy and order_key where these are asked for; an empty
+rows that repeat a doc_id get equal counts; other columns stay (copy and order_key get an underscore in front where documents have such columns); an empty
 table gives no rows.
 """
 
@@ -28,12 +28,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._spark import cut
+from quillon.llm._spark import cut, fresh
 
 #: Up to this mean the distribution's sums begin at 0; beyond it, 12 standard deviations below the mean.  A given total_bytes
 #: that asks for more of a source is refused.
 MOST_RATE = 500.0
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES, SALTS = 8 << 20, 32
 _NULL = "\u0000null"
 
 
@@ -88,7 +88,9 @@ def far_steps(table: DataFrame) -> DataFrame:
 
 
 def replicate(documents: DataFrame, weights: dict[str, float] | None = None, seed: int = 1, total_bytes: float | None = None, keep_keys: bool = True) -> DataFrame:
-    """documents, each row as often as its source's rate and its hash say, dealt out at random; with keep_keys also copy (from 0) and order_key."""
+    """documents, each row as often as its source's rate and its hash say, dealt out at random; with keep_keys also copy (from 0) and order_key, or the same
+    with an underscore in front where documents have such a column.
+    """
     rated = rates(documents, weights, total_bytes)
     near = F.when(F.col("rate") <= MOST_RATE, steps(F.col("rate")))
     table = cut(rated.select("src", "rate", F.lit(0).alias("first"), near.alias("steps")))
@@ -99,15 +101,19 @@ def replicate(documents: DataFrame, weights: dict[str, float] | None = None, see
         table = cut(table.where(F.col("rate") <= MOST_RATE).select("src", "first", "steps").union(far_steps(table.where(F.col("rate") > MOST_RATE))))
     size = table.agg(F.sum(8 * F.size("steps")).alias("bytes")).first()
     table = table.select("src", "first", "steps")
-    if (size["bytes"] or 0) <= BROADCAST_BYTES:
-        table = F.broadcast(table)
-    names = [c for c in documents.columns if not keep_keys or c.lower() not in ("copy", "order_key")]
+    names = documents.columns
+    copy, order = fresh(names, "copy", "order_key")
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _source().alias("src"), uniform(seed, F.col("doc_id")).alias("u"))
-    rows = rows.join(table, "src").withColumn("count", F.col("first") + F.size(F.filter("steps", lambda x: x <= F.col("u"))))
+    if (size["bytes"] or 0) <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(table), "src")
+    else:  # dealt over salts, for one source may hold a third of all rows
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+        rows = rows.withColumn("salt", salt).join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["src", "salt"])
+    rows = rows.withColumn("count", F.col("first") + F.size(F.filter("steps", lambda x: x <= F.col("u"))))
     rows = rows.where("count > 0").select("row", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("copy"))
     key = F.md5(F.concat_ws("/", F.lit(f"{seed}o"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
     dealt = rows.withColumn("order_key", key).repartition("order_key").sortWithinPartitions("order_key")
-    return dealt.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *(["copy", "order_key"] if keep_keys else []))
+    return dealt.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *([F.col("copy").alias(copy), F.col("order_key").alias(order)] if keep_keys else []))
 
 
 #: DuckDB's counterpart of replicate(documents) with the default weights and seed.

@@ -41,7 +41,7 @@ def test_given_weights_and_shares(spark):
     assert got[0].asDict().keys() == {"doc_id", "text", "lang", "source", "copy"}
     assert abs(size["small"] / sum(size.values()) - 0.75) < 0.03 and abs(sum(size.values()) / sum(len(r[1]) for r in rows) - 1) < 0.05
     keyed = replicate(frame, {"big": 1.0, "small": 3.0})
-    assert keyed.columns == ["doc_id", "text", "lang", "source", "copy", "order_key"] and keyed.count() == len(got)
+    assert keyed.columns == ["doc_id", "text", "lang", "source", "copy", "_copy", "order_key"] and keyed.count() == len(got)
     ids = [r.doc_id for r in got]
     assert sum(a < b for a, b in zip(ids, ids[1:], strict=False)) < 0.6 * len(ids)
 
@@ -88,3 +88,14 @@ def _far(rate, u):
         if total > u:
             return k
         k += 1
+
+
+def test_columns_that_clash_survive_and_many_rates_are_salted(spark, monkeypatch):
+    rows = [(i, "w " * (i + 1), "en", f"s{i % 3}", i, f"o{i}") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, copy long, order_key string")
+    got = replicate(frame)
+    assert got.columns == [*frame.columns, "_copy", "_order_key"]
+    found = sorted(map(tuple, got.collect()))
+    assert found and all((r[4], r[5]) == (r[0], f"o{r[0]}") for r in found)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, replicate(frame).collect())) == found
