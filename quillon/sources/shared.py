@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> SparkSession:
-    """Leaves spark.checkpoint.dir as the cluster names it; a temporary folder is set only where there is none, as in tests."""
+    """Leaves spark.checkpoint.dir as the cluster names it; a temporary folder is set only where there is none on one machine, as in tests."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
     return spark
