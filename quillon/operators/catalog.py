@@ -95,6 +95,34 @@ def lineage(edges: DataFrame, roots: DataFrame) -> DataFrame:
             hops, stride = (longer, 2 * stride) if growing else (hops, stride)
 
 
+def topological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, level (the longest way from a node without needs) and cyclic, for nodes (node) and edges (node, needs).
+
+    Rounds take the nodes all of whose needs were taken before; what is left when a round takes nothing is on a cycle or
+    behind one, and has no level.  An edge to a node that isn't there is an error.  Rounds are kept in the checkpoint folder.
+    """
+    ensure_checkpoint_dir(nodes.sparkSession)
+    edges = edges.select("node", "needs").distinct().checkpoint()
+    missing = edges.join(nodes.select(F.col("node").alias("needs")), "needs", "left_anti").head(1)
+    if missing:
+        raise ValueError(f"node {missing[0]['node']} needs {missing[0]['needs']}, which isn't there")
+    rest, open_edges, level = nodes.select("node").distinct().checkpoint(), edges, 0
+    done = None
+    while True:
+        free = rest.join(open_edges.select("node").distinct(), "node", "left_anti").checkpoint()
+        if free.isEmpty():
+            break
+        now = free.select("node", F.lit(level).alias("level"), F.lit(False).alias("cyclic"))
+        done = now if done is None else done.union(now)
+        if level % 16 == 15:
+            done = done.checkpoint()
+        rest = rest.join(free, "node", "left_anti").checkpoint()
+        open_edges = open_edges.join(free.select(F.col("node").alias("needs")), "needs", "left_anti").checkpoint()
+        level += 1
+    left = rest.select("node", F.lit(None).cast("int").alias("level"), F.lit(True).alias("cyclic"))
+    return left if done is None else done.union(left)
+
+
 def outcome(events: DataFrame, keys: list[str], order: list[str], transitions: dict[str, str]) -> DataFrame:
     """Current state of each key: that of its last event, and how many events led there."""
     state = F.coalesce(*[F.when(F.col("event") == e, F.lit(s)) for e, s in transitions.items()])

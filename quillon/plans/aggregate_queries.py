@@ -94,11 +94,18 @@ def exact_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("lower", F.round(agg.exact_lower("successes", "trials"), 9))
 
 
-@query("a16_paired_t", f"""WITH {OBSERVATIONS_SQL}, p AS (SELECT path, avg(cents) FILTER (kind = 'view') - avg(cents) FILTER (kind = 'click') AS d FROM obs GROUP BY 1)
-SELECT count(d) AS n, round(avg(d), 4) AS mean, round(avg(d) - 1.6448536269514722 * stddev_samp(d) / sqrt(count(d)), 4) AS lower FROM p""")
+_Z = 1.6448536269514722
+_T = " + ".join(f"{x!r}::DOUBLE / (n - 1) ** {k}" for k, x in enumerate([(_Z**3 + _Z) / 4, (5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96, (3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384, (79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160], 1))
+
+
+@query("a16_paired_t", f"""WITH {OBSERVATIONS_SQL}, p AS (SELECT path, avg(cents) FILTER (kind = 'view') - avg(cents) FILTER (kind = 'click') AS d FROM obs GROUP BY 1), s AS (SELECT count(d) AS n, avg(d) AS m, stddev_samp(d) AS sd FROM p)
+SELECT n, round(m, 4) AS mean, round(m - ({_Z!r}::DOUBLE + {_T}) * sd / sqrt(n), 4) AS lower FROM s""")
 def paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-sided lower bound of the mean difference of pairs, by Student's t."""
     pairs = observations(spark, sf_dir).groupBy("path").agg((F.avg(F.expr("case when kind = 'view' then cents end")) - F.avg(F.expr("case when kind = 'click' then cents end"))).alias("d"))
-    return pairs.agg(F.count("d").alias("n"), F.round(F.avg("d"), 4).alias("mean"), F.round(F.avg("d") - agg.Z_95 * F.stddev_samp("d") / F.sqrt(F.count("d")), 4).alias("lower"))
+    sums = pairs.agg(F.count("d").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("sd"))
+    t = agg.t_quantile(agg.Z_95, F.col("n") - 1)
+    return sums.select("n", F.round("m", 4).alias("mean"), F.round(F.col("m") - t * F.col("sd") / F.sqrt("n"), 4).alias("lower"))
 
 
 @query("a19_calibration_stats", f"""WITH {OBSERVATIONS_SQL}, m AS (SELECT path, median(cents) AS median, count(*) AS n FROM obs GROUP BY 1), d AS (SELECT o.path, median(abs(o.cents - m.median)) AS mad, max(abs(o.cents - m.median)) AS radius FROM obs o JOIN m ON m.path = o.path GROUP BY 1),
