@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,3 +127,30 @@ def decimate_extrema(rows: DataFrame, keys: list[str], order: list[str], value:
     kept = (F.col("_i") == F.min("_i").over(own)) | (F.col("_i") == F.max("_i").over(own))
     rows = rows.withColumn("_keep", kept | (F.row_number().over(up) == 1) | (F.row_number().over(down) == 1))
     return rows.where("_keep").drop("_i", "_n", "_keep")
+
+
+def streamed(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: str, start, step) -> DataFrame:
+    """A recurrence over each key's rows in order: ``step(state, row)`` gives the new state and a tuple of what comes out (or None), ``start()`` the
+    state before a key's first row.
+
+    rows are dealt by key, sorted, and read as a stream: a task holds a batch and one state, however long a key is.  schema: the keys, then
+    what comes out.
+    """
+    fields = [tuple(part.split(" ")) for part in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = None, None
+        for batch in batches:
+            out = []
+            own = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
+            for key, row in zip(own, zip(*[batch.column(c).to_pylist() for c in columns], strict=True), strict=True):
+                if state is None or key != held:
+                    held, state = key, start()
+                state, found = step(state, row)
+                if found is not None:
+                    out.append((*key, *found))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+    dealt = rows.select(*dict.fromkeys([*keys, *order, *columns])).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(run, schema)

@@ -96,3 +96,43 @@ def lifted_polynomial(points: DataFrame, keys: list[str], period: float, degree:
     fit, out = F.when(F.col("own"), F.col("r2")), F.when(~F.col("own"), F.col("r2"))
     done = left.groupBy(*keys, "a0", "a1", "a2").agg(F.count(fit).alias("n"), F.sqrt(F.avg(fit)).alias("rms"), F.sqrt(F.avg(out)).alias("held_rms"))
     return done.withColumn("bic", F.col("n") * F.log(F.greatest(F.col("rms") * F.col("rms"), F.lit(1e-12))) + (degree + 1) * F.log(F.col("n").cast("double")))
+
+
+def seeded(points: DataFrame, lines: DataFrame, keys: list[str], period: float, gate: float, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Each line takes of every probe (a column of points) the candidate nearest to it within the gate, ties to the smaller id, and is refitted to what it
+    took, until no choice changes.  Lines take independently of each other.  Returns the lines and the choice (keys, track, probe, id)."""
+    before = None
+    for _ in range(rounds):
+        near = _near(points, lines.select(*keys, "track", "slope", "intercept"), keys, period, gate)
+        best = near.groupBy(*keys, "track", "probe").agg(F.min(F.struct(F.abs("residual").alias("r"), "id", "t", "v", "w")).alias("x"))
+        own = best.select(*keys, "track", "probe", "x.id", "x.t", "x.v", "x.w").checkpoint()
+        if before is not None:
+            moved = own.select(*keys, "track", "probe", "id").join(before.select(*keys, "track", "probe", F.col("id").alias("_was")), [*keys, "track", "probe"], "full").where("not (id <=> _was)")
+            if moved.isEmpty():
+                break
+        before = own
+        lines = lifted_line(own, lines, [*keys, "track"], period, 1).checkpoint()
+    return lines, before.select(*keys, "track", "probe", "id")
+
+
+def merged(segments: DataFrame, gap: int, gate: float) -> DataFrame:
+    """Segments (path, track, a, b, fa, fb) merged to groups: of neighbours in time within the gap the cost is the gap's share plus the step between
+    their ends over the gate; in each round every pair that is the cheapest of both its sides and costs at most one merges, until none does.
+
+    A merged group has the first one's number and start, the last one's end, and members; groups that overlap in time don't merge.
+    """
+    rows = segments.withColumn("members", F.lit(1).cast("long")).checkpoint()
+    while True:
+        # a segment's next is the first that begins after its end
+        order = Window.partitionBy("path").orderBy("a", "track")
+        pairs = rows.withColumns({f"n_{c}": F.lead(c).over(order) for c in ("track", "a", "b", "fa", "fb", "members")}).where(f"n_track is not null and n_a > b and n_a - b <= {gap}")
+        pairs = pairs.withColumn("cost", (F.col("n_a") - F.col("b")) / float(gap) + F.abs(F.col("n_fa") - F.col("fb")) / gate).where("cost <= 1").checkpoint()
+        either = pairs.select("path", "track", "cost", F.explode(F.array("track", "n_track")).alias("s"))
+        least = either.groupBy("path", "s").agg(F.min(F.struct("cost", "track")).alias("x"))
+        taken = pairs.join(least.select("path", F.col("s").alias("track"), F.col("x").alias("l")), ["path", "track"]).join(least.select("path", F.col("s").alias("n_track"), F.col("x").alias("r")), ["path", "n_track"])
+        taken = taken.where("l.track = track and r.track = track").drop("l", "r", "cost").checkpoint()
+        if taken.isEmpty():
+            return rows
+        gone = taken.select("path", "track").union(taken.select("path", F.col("n_track").alias("track")))
+        joined = taken.selectExpr("path", "track", "a", "n_b as b", "fa", "n_fb as fb", "members + n_members as members")
+        rows = rows.join(gone, ["path", "track"], "left_anti").unionByName(joined).checkpoint()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +54,70 @@ def look_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("object", F.round(az, 4).alias("azimuth"), F.round(el, 4).alias("elevation"), F.round(reach, 3).alias("range_km"))
 
 
+@query("g07_two_pass_field", f"""WITH {_DIR}, u AS (SELECT *, acos(greatest(-1, least(1, cos(radians(el)) * cos(radians(50)) * cos(radians(az - 120)) + sin(radians(el)) * sin(radians(50))))) * 180 / pi() AS sep FROM dir),
+c AS (SELECT vec_id, bool_or(sep <= 25 - 6 AND el > 10 + 6) AS strict, bool_or(sep <= 25 + 6 AND el > 10 - 6) AS relaxed FROM u WHERE sample % 4 = 0 GROUP BY 1), r AS (SELECT u.vec_id, bool_or(sep <= 25 AND el > 10) AS inside, min(sep) AS nearest FROM u JOIN c ON c.vec_id = u.vec_id AND relaxed AND NOT strict GROUP BY 1)
+SELECT c.vec_id, CASE WHEN strict THEN 'definite' WHEN NOT relaxed THEN 'excluded' WHEN inside THEN 'refined_in' ELSE 'refined_out' END AS class, round(nearest, 4) AS nearest FROM c LEFT JOIN r ON r.vec_id = c.vec_id""")
+def two_pass_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coarse pass over every fourth sample with a margin for what may happen between them, and a fine pass over all samples of the objects that
+    it leaves open; the coarse pass decides what is read again."""
+    sep, el = sky.separation_degrees(F.col("az"), F.col("el"), F.lit(120.0), F.lit(50.0)), F.col("el")
+    rows = _directions(spark, sf_dir).withColumn("sep", sep)
+    coarse = rows.where("sample % 4 = 0").groupBy("vec_id").agg(F.bool_or((F.col("sep") <= 19) & (el > 16)).alias("strict"), F.bool_or((F.col("sep") <= 31) & (el > 4)).alias("relaxed"))
+    fine = rows.join(coarse.where("relaxed and not strict").select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").agg(F.bool_or((F.col("sep") <= 25) & (el > 10)).alias("inside"), F.min("sep").alias("nearest"))
+    kind = F.expr("case when strict then 'definite' when not relaxed then 'excluded' when inside then 'refined_in' else 'refined_out' end")
+    return coarse.join(fine, "vec_id", "left").select("vec_id", kind.alias("class"), F.round("nearest", 4).alias("nearest"))
+
+
+def _cubic(knots: int) -> list[list[float]]:
+    """Least-squares weights of the four coefficients of a cubic on evenly spaced knots from -1 to 1."""
+    t = np.linspace(-1.0, 1.0, knots)
+    return np.linalg.pinv(np.vander(t, 4, increasing=True)).tolist()
+
+
+_KNOTS, _SPAN_S = 9, 120.0
+_RATE = "({a} * sin(({k} - 4) / 3.0 + {b} % 7) + ({k} - 4) * 0.05)"
+_FIT = [" + ".join(f"{w!r}::DOUBLE * y{k}" for k, w in enumerate(row)) for row in _cubic(_KNOTS)]
+
+
+@query("g09_doppler_fit", f"""WITH r AS (SELECT s_suppkey AS object, {", ".join(f"-{_RATE.format(a='(s_acctbal / 1500.0::DOUBLE)', b='s_suppkey', k=k)} / 299792.458::DOUBLE * 11325000000 AS y{k}" for k in range(_KNOTS))} FROM supplier), f AS (SELECT *, {", ".join(f"{x} AS c{i}" for i, x in enumerate(_FIT))} FROM r)
+SELECT object, round(y4, 3) + 0.0 AS doppler_hz, round(c0, 2) + 0.0 AS frequency_hz, round(c1 / {_SPAN_S}, 4) + 0.0 AS slope, round(2 * c2 / {_SPAN_S} / {_SPAN_S}, 6) + 0.0 AS acceleration, round(6 * c3 / {_SPAN_S} / {_SPAN_S} / {_SPAN_S}, 8) + 0.0 AS jerk FROM f""")
+def doppler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doppler shifts of nine range rates about a moment, the cubic through them by least squares and its derivatives there.  On even knots the fit is a
+    fixed weight for each knot and coefficient, so it is a sum of columns."""
+    rate = lambda k: F.expr(_RATE.format(a="(s_acctbal / 1500D)", b="s_suppkey", k=k).replace("3.0", "3D").replace("0.05", "0.05D"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("object"), *[sky.doppler_hz(rate(k), F.lit(11_325_000_000.0)).alias(f"y{k}") for k in range(_KNOTS)])
+    c = [sum((F.col(f"y{k}") * w for k, w in enumerate(row)), F.lit(0.0)) for row in _cubic(_KNOTS)]
+    return rows.select("object", (F.round("y4", 3) + 0.0).alias("doppler_hz"), (F.round(c[0], 2) + 0.0).alias("frequency_hz"), (F.round(c[1] / _SPAN_S, 4) + 0.0).alias("slope"), (F.round(2 * c[2] / _SPAN_S**2, 6) + 0.0).alias("acceleration"), (F.round(6 * c[3] / _SPAN_S**3, 8) + 0.0).alias("jerk"))
+
+
 @query("g09_doppler_shift", """SELECT s_suppkey AS object, round(-(s_acctbal / 1500.0) / 299792.458::DOUBLE * 11325000000, 3) AS doppler_hz FROM supplier""")
 def doppler_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = F.col("s_acctbal") / 1500.0
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("object"), F.round(sky.doppler_hz(rate, F.lit(11_325_000_000.0)), 3).alias("doppler_hz"))
 
 
+@query("g10_predictions", f"""WITH {_DIR}, u AS (SELECT *, acos(greatest(-1, least(1, cos(radians(el)) * cos(radians(50)) * cos(radians(az - 120)) + sin(radians(el)) * sin(radians(50))))) * 180 / pi() AS sep FROM dir)
+SELECT vec_id, count(*) FILTER (el > 10) AS visible, min(sample) FILTER (el > 10) AS first_sample, max(sample) FILTER (el > 10) AS last_sample, arg_min(sample, struct_pack(x := round(sep, 6), s := sample)) AS nearest_sample, round(min(sep), 4) AS separation, round(arg_min(az, struct_pack(x := round(sep, 6), s := sample)), 4) AS azimuth, round(arg_min(el, struct_pack(x := round(sep, 6), s := sample)), 4) AS elevation FROM u GROUP BY 1 HAVING count(*) FILTER (el > 10) > 0""")
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each object that rises over the mask: when it is up, and where it is nearest to the boresight."""
+    sep = sky.separation_degrees(F.col("az"), F.col("el"), F.lit(120.0), F.lit(50.0))
+    rows = _directions(spark, sf_dir).withColumn("sep", sep)
+    up = F.when(F.col("el") > 10, F.col("sample"))
+    near = F.min(F.struct(F.round("sep", 6).alias("x"), "sample", "az", "el"))
+    found = rows.groupBy("vec_id").agg(F.count(up).alias("visible"), F.min(up).alias("first_sample"), F.max(up).alias("last_sample"), near.alias("n"), F.min("sep").alias("sep")).where("visible > 0")
+    return found.select("vec_id", "visible", "first_sample", "last_sample", F.col("n.sample").alias("nearest_sample"), F.round("sep", 4).alias("separation"), F.round("n.az", 4).alias("azimuth"), F.round("n.el", 4).alias("elevation"))
+
+
+@query("g11_sky_tracks", f"""WITH {_DIR}, v AS (SELECT vec_id, sample, az, el, sample - row_number() OVER (PARTITION BY vec_id ORDER BY sample) AS island FROM dir WHERE el > 0)
+SELECT vec_id, min(sample) AS first_sample, count(*) AS points, string_agg(printf('%.2f %.2f', (90 - el) / 90 * sin(radians(az)), (90 - el) / 90 * cos(radians(az))), ';' ORDER BY sample) AS track FROM v GROUP BY vec_id, island""")
+def sky_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks over the horizon as a sky view draws them: a piece for each time that an object is up, in the view's plane."""
+    rows = _directions(spark, sf_dir).where("el > 0").withColumn("island", F.expr("sample - row_number() over (partition by vec_id order by sample)"))
+    point = F.format_string("%.2f %.2f", (90 - F.col("el")) / 90 * F.sin(F.radians("az")), (90 - F.col("el")) / 90 * F.cos(F.radians("az")))
+    pieces = rows.groupBy("vec_id", "island").agg(F.min("sample").alias("first_sample"), F.count("*").alias("points"), F.array_sort(F.collect_list(F.struct("sample", point.alias("p")))).alias("x"))
+    return pieces.select("vec_id", "first_sample", "points", F.array_join("x.p", ";").alias("track"))
+
+
 @query("o11_closest_first", f"""WITH {_DIR}, u AS (SELECT vec_id, label, max(el) AS top, min(acos(greatest(-1, least(1, cos(radians(el)) * cos(radians(50)) * cos(radians(az - 120)) + sin(radians(el)) * sin(radians(50))))) * 180 / pi()) AS sep FROM dir GROUP BY 1, 2)
 SELECT vec_id, tier, rank FROM (SELECT vec_id, tier, row_number() OVER (ORDER BY tier, round(sep, 6), vec_id)::INT AS rank FROM (SELECT *, CASE WHEN sep <= 25 THEN 0 WHEN top > 10 THEN 1 ELSE 2 END AS tier FROM u)) WHERE rank <= 100""")
 def closest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
