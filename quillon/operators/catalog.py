@@ -30,13 +30,30 @@ def claimable(jobs: DataFrame, edges: DataFrame, capacity: DataFrame, now: int)
     jobs: job, class, state, available_at, lease_until, attempts_left, priority, created; edges: job, needs; capacity: class, slots.
     A job is ready if it is pending and due, has attempts left, and all that it needs has succeeded.
     """
+    ensure_checkpoint_dir(jobs.sparkSession)
+    jobs = jobs.checkpoint()  # read four times here
     done = jobs.where("state = 'succeeded'").select(F.col("job").alias("needs"))
     waiting = edges.join(done, "needs", "left_anti").select("job").distinct()
     ready = jobs.where((F.col("state") == "pending") & (F.col("available_at") <= now) & (F.col("attempts_left") > 0)).join(waiting, "job", "left_anti")
     live = jobs.where((F.col("state") == "running") & (F.col("lease_until") > now)).groupBy("class").agg(F.count("*").alias("live"))
+    room = capacity.join(live, "class", "left").select("class", (F.col("slots") - F.coalesce("live", F.lit(0))).alias("room")).checkpoint()
+    # the greatest room as a number: each task then hands on that many of a class at most
+    most = room.agg(F.max("room")).first()[0] or 0
     place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("priority"), "created", "job"))
-    room = capacity.join(live, "class", "left").select("class", (F.col("slots") - F.coalesce("live", F.lit(0))).alias("room"))
-    return ready.join(F.broadcast(room), "class").withColumn("place", place).where("place <= room").select("job", "class", "priority", "place")
+    placed = ready.withColumn("place", place).where(F.col("place") <= int(most))
+    return placed.join(room, "class").where("place <= room").select("job", "class", "priority", "place")
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with their place, from 1, among those of their key, whatever the number of keys: rows are dealt in ranges of (keys, order), counted
+    within a range, and a range adds what its key has in the ranges before.  Order columns ascend.  The dealt rows are kept in the checkpoint folder."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    dealt = rows.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_p", *keys).orderBy(*order)))
+    # a row for each key of a range
+    counts = dealt.groupBy("_p", *keys).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return inside.join(counts.select("_p", *keys, before.alias("_before")), ["_p", *keys]).withColumn(name, F.col("_in") + F.col("_before")).drop("_p", "_in", "_before")
 
 
 def retention(sessions: DataFrame, used: int, total: int, start: float = 0.70, target: float = 0.65) -> DataFrame:

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.shared import ensure_checkpoint_dir
+
 
 def templates(rows: DataFrame, group: str, n: str, i: str, q: str) -> DataFrame:
     """The mean vector of each group as sums (ti, tq): a template's scale cancels in normalised scores."""
@@ -19,7 +21,8 @@ def rolled(template: DataFrame, n: str, shift: int, length: int) -> DataFrame:
 
 def correlation(rows: DataFrame, template: DataFrame, keys: list[str], n: str, i: str, q: str) -> DataFrame:
     """Normalised score |sum conj(t) x| / sqrt(sum |t|^2 sum |x|^2) of each key against each template; 0 without energy."""
-    joined = rows.join(F.broadcast(template), n)  # a template has as many rows as symbols, whatever the input
+    # templates are a row for each of their symbols; the planner sends them to all tasks if it finds them small enough
+    joined = rows.join(template, n)
     x, y, a, b = (F.col(c).cast("double") for c in (i, q, "ti", "tq"))
     sums = joined.groupBy(*keys, "template").agg(F.sum(a * x + b * y).alias("re"), F.sum(a * y - b * x).alias("im"), F.sum(a * a + b * b).alias("et"), F.sum(x * x + y * y).alias("ex"))
     energy = F.col("et") * F.col("ex")
@@ -60,10 +63,27 @@ def dechirp(rows: DataFrame, n: str, i: str, q: str, linear: float, quadratic: f
 
 
 def suppress(peaks: DataFrame, keys: list[str], place: str, score: str, ident: str, distance: int) -> DataFrame:
-    """Greedy suppression: peaks by (score, id) descending, each kept unless a kept one lies within the distance.  A fold over the
-    sorted peaks of a key, which are as few as a scan finds."""
-    item = F.struct(F.col(score).cast("bigint").alias("s"), (-F.col(ident)).cast("bigint").alias("m"), F.col(place).cast("bigint").alias("p"))
-    listed = peaks.groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(item))).alias("_all"))
-    fold = f"aggregate(_all, cast(array() as array<struct<s:bigint,m:bigint,p:bigint>>), (acc, x) -> if(exists(acc, y -> abs(y.p - x.p) < {distance}), acc, concat(acc, array(x))))"
-    kept = listed.select(*keys, F.size("_all").cast("long").alias("source_count"), F.explode(F.expr(fold)).alias("x"))
-    return kept.select(*keys, "source_count", F.col("x.p").alias(place), F.col("x.s").alias(score), (-F.col("x.m")).alias(ident))
+    """Greedy suppression: peaks by (score, -id) descending, each kept unless a kept one lies within the distance.
+
+    Rounds: every peak that is the first within its distance stays, and what lies within that of one goes, until none is left; this keeps what
+    taking peaks one by one keeps.  Peaks meet in buckets of place a distance wide, each copied to both neighbours, so no task holds a key.
+    Rounds are kept in the checkpoint folder.  source_count: the key's peaks.
+    """
+    ensure_checkpoint_dir(peaks.sparkSession)
+    peaks = peaks.select(*keys, F.col(place).cast("bigint").alias(place), F.col(score).cast("bigint").alias(score), F.col(ident).cast("bigint").alias(ident))
+    counts = peaks.groupBy(*keys).agg(F.count("*").alias("source_count"))
+    rest = peaks.withColumn("_b", F.floor(F.col(place) / distance)).checkpoint()
+    rank = F.struct(F.col(score).alias("s"), (-F.col(ident)).alias("m"))
+    kept: list[DataFrame] = []
+    while not rest.isEmpty():
+        around = Window.partitionBy(*keys, "_c").orderBy(place).rangeBetween(-(distance - 1), distance - 1)
+        spread = rest.withColumn("_c", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)))
+        first = spread.withColumn("_top", F.max(rank).over(around)).where((F.col("_c") == F.col("_b")) & (F.col("_top") == rank)).drop("_c", "_top").checkpoint()
+        kept.append(first)
+        near = first.select(*keys, F.col(place).alias("_p"), F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_b"))
+        gone = rest.join(near, [*keys, "_b"]).where(F.abs(F.col(place) - F.col("_p")) < distance).select(*keys, ident).distinct()
+        rest = rest.join(gone, [*keys, ident], "left_anti").checkpoint()
+    out = peaks.where("false")
+    for now in kept:
+        out = out.unionByName(now.drop("_b"))
+    return out.join(counts, keys).select(*keys, "source_count", place, score, ident)

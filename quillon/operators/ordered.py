@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.shared import ensure_checkpoint_dir
+
 
 def _over(keys: list[str], *order: str | Column):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -154,3 +156,16 @@ def streamed(rows: DataFrame, keys: list[str], order: list[str], columns: list[s
 
     dealt = rows.select(*dict.fromkeys([*keys, *order, *columns])).repartition(*keys).sortWithinPartitions(*keys, *order)
     return dealt.mapInArrow(run, schema)
+
+
+def lagged(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """rows with the value of the row before, by key and order, however few keys there are: rows are dealt in ranges of (keys, order), and the first of a
+    key in a range takes the key's last value of the ranges before.  The dealt rows are kept in the checkpoint folder."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    dealt = rows.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    w = Window.partitionBy("_p", *keys).orderBy(*order)
+    inside = dealt.withColumns({"_in": F.lag(value).over(w), "_first": F.row_number().over(w) == 1})
+    # a row for each key of a range
+    lasts = dealt.groupBy("_p", *keys).agg(F.max(F.struct(*order, F.col(value).alias("_value"))).alias("_x"))
+    before = F.lag("_x._value").over(Window.partitionBy(*keys).orderBy("_p")).alias("_before")
+    return inside.join(lasts.select("_p", *keys, before), ["_p", *keys]).withColumn(name, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_in"))).drop("_p", "_in", "_first", "_before")

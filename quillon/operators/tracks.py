@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators import fitting
+from quillon.operators import fitting, partitions
 from quillon.operators.ordered import wrapped
 
 
@@ -136,3 +136,37 @@ def merged(segments: DataFrame, gap: int, gate: float) -> DataFrame:
         gone = taken.select("path", "track").union(taken.select("path", F.col("n_track").alias("track")))
         joined = taken.selectExpr("path", "track", "a", "n_b as b", "fa", "n_fb as fb", "members + n_members as members")
         rows = rows.join(gone, ["path", "track"], "left_anti").unionByName(joined).checkpoint()
+
+
+def best_partition(points: DataFrame, lines: DataFrame, keys: list[str], period: float, gate: float, gap: float, most: int) -> DataFrame:
+    """Of all ways to put a key's proposed lines (at most ``most``; track from 0, slope, intercept) together, that with the least description length.
+
+    A block's points are those within the gate of any of its lines, lifted to its first line; they are fitted by one line, and cost by their absolute
+    deviations: 2 n ln(deviations / n) + (2 k + 1) ln n + 200 k over all n points and k blocks.  A block is allowed if its lines' spans leave no
+    gap longer than ``gap``.  Everything is sums by (key, block), of which there are at most 2^most - 1, so no group comes to one task whole.
+    blocks (the block of each line), mdl, n and deviations.
+    """
+    near = _near(points, lines.select(*keys, "track", "slope", "intercept"), keys, period, gate)
+    spans = near.groupBy(*keys, "track").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    # lines are numbered anew, so that those without points leave no hole
+    place = (F.row_number().over(Window.partitionBy(*keys).orderBy("track")) - 1).alias("line")
+    spans = spans.join(lines.select(*keys, "track", "slope", "intercept"), [*keys, "track"]).select(*keys, "track", "first", "last", "slope", "intercept", place).checkpoint()
+    sizes = spans.groupBy(*keys).agg(F.count("*").cast("int").alias("size"))
+    every = partitions.set_partitions(sizes, "size", most).select(*keys, "blocks")
+    mask = lambda b: F.aggregate(F.transform(F.col("blocks"), lambda x, i: F.when(x == b, F.call_function("shiftleft", F.lit(1), i)).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    parts = every.withColumn("mask", F.explode(F.transform(F.sequence(F.lit(0), F.array_max("blocks")), mask)))
+    subsets = parts.select(*keys, "mask").distinct().join(spans, keys).where("(shiftright(mask, line) & 1) = 1")
+    listed = subsets.groupBy(*keys, "mask").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("s"), F.min(F.struct("line", "slope", "intercept")).alias("head"))
+    joined = F.expr(f"aggregate(s, named_struct('end', s[0].last, 'ok', true), (a, x) -> named_struct('end', greatest(a.end, x.last), 'ok', a.ok and x.first - a.end <= {gap}D), a -> a.ok)")
+    allowed = listed.where(joined).select(*keys, "mask", F.col("head.slope").alias("hs"), F.col("head.intercept").alias("hi"))
+    own = near.select(*keys, "id", "t", "v", "track").join(spans.select(*keys, "track", "line"), [*keys, "track"]).join(allowed, keys).where("(shiftright(mask, line) & 1) = 1")
+    head = F.col("hs") * F.col("t") + F.col("hi")
+    own = own.select(*keys, "mask", "id", "t", (head + wrapped(F.col("v") - head, period)).alias("y")).distinct().checkpoint()
+    fit = own.groupBy(*keys, "mask").agg(F.coalesce(F.regr_slope("y", "t"), F.lit(0.0)).alias("slope"), F.coalesce(F.regr_intercept("y", "t"), F.avg("y")).alias("intercept"))
+    cost = own.join(fit, [*keys, "mask"]).groupBy(*keys, "mask").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("y") - F.col("slope") * F.col("t") - F.col("intercept"))).alias("deviations"))
+    # a partition with a block that isn't allowed has fewer costs than blocks
+    whole = parts.join(cost, [*keys, "mask"]).groupBy(*keys, "blocks").agg(F.sum("n").alias("n"), F.sum("deviations").alias("deviations"), F.count("*").alias("k")).where(F.col("k") == F.array_max("blocks") + 1)
+    n = F.col("n").cast("double")
+    whole = whole.withColumn("mdl", 2 * n * F.log(F.greatest(F.col("deviations") / n, F.lit(1e-9))) + (2 * F.col("k") + 1) * F.log(n) + 200 * F.col("k"))
+    best = whole.groupBy(*keys).agg(F.min(F.struct(F.round("mdl", 6).alias("mdl"), "blocks", "n", "deviations")).alias("x"))
+    return best.select(*keys, "x.blocks", "x.mdl", "x.n", "x.deviations")

@@ -144,3 +144,12 @@ def scan_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hits.join(best, "vec_id").join(lift_replay(spark, sf_dir).select("vec_id", "lift", "delta"), "vec_id")
     found = rows.groupBy("label").agg(F.count("*").alias("hits"), F.regr_slope("frequency", F.col("vec_id").cast("double")).alias("slope"), F.avg("margin").alias("margin"), F.avg("delta").alias("gain"), F.count_if(F.col("lift") != 0).alias("lifted"))
     return found.select("label", "hits", F.round("slope", 9).alias("slope"), F.round("margin", 5).alias("margin"), F.round("gain", 5).alias("gain"), "lifted")
+
+
+@query("k08_residual_partition")
+def residual_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines proposed by votes, each through what the ones before left, and put together by the least description length."""
+    points = _points(ensure_checkpoint_dir(spark), sf_dir)
+    lines = tracks.peeled(points, KEYS, _SLOPES, PERIOD, 16, 300.0, 4, 4)
+    found = tracks.best_partition(points, lines, KEYS, PERIOD, 300.0, 72.0, 4)
+    return found.select(*KEYS, "blocks", "n", F.round("mdl", 4).alias("mdl"), F.round("deviations", 3).alias("deviations"))

@@ -229,7 +229,8 @@ def cadence_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("o12_queue_order", f"""WITH {_JOBS} SELECT job, state, row_number() OVER (PARTITION BY class ORDER BY CASE state WHEN 'running' THEN 0 WHEN 'pending' THEN 1 ELSE 2 END, priority DESC, created, job)::INT AS place FROM jobs WHERE state <> 'succeeded'""")
 def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs, _ = _jobs(spark, sf_dir)
-    return jobs.where("state <> 'succeeded'").selectExpr("job", "state", "row_number() over (partition by class order by case state when 'running' then 0 when 'pending' then 1 else 2 end, priority desc, created, job) as place")
+    rows = jobs.where("state <> 'succeeded'").selectExpr("class", "case state when 'running' then 0 when 'pending' then 1 else 2 end as first", "-priority as second", "created", "job", "state")
+    return catalog.ranked(rows, ["class"], ["first", "second", "created", "job"], "place").select("job", "state", F.col("place").cast("int").alias("place"))
 
 
 @query("s09_chunk_rotation", f"""WITH {_S}, r AS (SELECT radio, session, line, shipped, quantity, sum(quantity) OVER (PARTITION BY radio ORDER BY shipped, session, line, part, quantity ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - quantity AS before FROM prd)

@@ -96,7 +96,7 @@ def timing_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w11_counter_regressions", f"""WITH {OBSERVATIONS_SQL}, d AS (SELECT kind, k - lag(k) OVER (PARTITION BY kind ORDER BY t_us, id) AS step FROM obs)
 SELECT kind, count(*) FILTER (step < 0) AS regressions, count(*) FILTER (step > 1) AS gaps, sum(CASE WHEN step > 1 THEN step - 1 ELSE 0 END)::BIGINT AS missing FROM d GROUP BY 1""")
 def counter_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = observations(spark, sf_dir).selectExpr("kind", "k - lag(k) over (partition by kind order by t_us, id) as step")
+    rows = ordered.lagged(observations(spark, sf_dir).select("kind", "k", "t_us", "id"), ["kind"], ["t_us", "id"], "k", "before").selectExpr("kind", "k - before as step")
     return rows.groupBy("kind").agg(F.count_if(F.col("step") < 0).alias("regressions"), F.count_if(F.col("step") > 1).alias("gaps"), F.sum(F.expr("case when step > 1 then step - 1 else 0 end").cast("long")).alias("missing"))
 
 

@@ -86,7 +86,7 @@ def _workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = kernels.templates(rows, "label", "n", "i", "q")
     control = kernels.rolled(exact, "n", 7, 32).select("template", "n", F.col("ti").alias("ci"), F.col("tq").alias("cq"))
     shapes = exact.join(control, ["template", "n"]).withColumnRenamed("template", "label")
-    met = rows.join(F.broadcast(shapes), ["label", "n"])  # 32 rows a label
+    met = rows.join(shapes, ["label", "n"])
     sums = {"re": "ti * i + tq * q", "im": "ti * q - tq * i", "control_re": "ci * i + cq * q", "control_im": "ci * q - cq * i", "support": "i * i + q * q", "energy": "ti * ti + tq * tq", "control_energy": "ci * ci + cq * cq"}
     return met.groupBy("vec_id", F.expr("int(n div 4)").alias("symbol")).agg(*[F.sum(F.expr(x)).alias(name) for name, x in sums.items()])
 

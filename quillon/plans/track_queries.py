@@ -60,8 +60,7 @@ def acquisition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def grid(shape: DataFrame, name: str) -> DataFrame:
         wide = rows.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(28), F.lit(4)))).withColumn("m", F.expr("int((n + 32 - shift) % 32)"))
-        # a template has 32 rows a label
-        met = wide.join(F.broadcast(shape.select(F.col("template").alias("label"), F.col("n").alias("m"), F.col("ti").cast("double").alias("ti"), F.col("tq").cast("double").alias("tq"))), ["label", "m"])
+        met = wide.join(shape.select(F.col("template").alias("label"), F.col("n").alias("m"), F.col("ti").cast("double").alias("ti"), F.col("tq").cast("double").alias("tq")), ["label", "m"])
         met = met.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("a", F.expr("-2 * pi() * ((bin - 4) * n % 128) / 128"))
         x, y = "(ti * i + tq * q)", "(ti * q - tq * i)"
         sums = met.groupBy("vec_id", "shift", "bin").agg(F.sum(F.expr(f"{x} * cos(a) - {y} * sin(a)")).alias("re"), F.sum(F.expr(f"{x} * sin(a) + {y} * cos(a)")).alias("im"), F.sum(F.expr("ti * ti + tq * tq")).alias("et"), F.sum(F.expr("cast(i * i + q * q as double)")).alias("ex"))

@@ -37,5 +37,6 @@ def test_same_rows(spark, sf_dir, db, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(RUNS) - set(SQL)))
-def test_others_give_rows(spark, sf_dir, name):
-    assert RUNS[name](spark, sf_dir).count() > 0
+def test_others_give_rows(spark, name):
+    """Those without SQL are held against brute force in other modules; here they run on the larger tables."""
+    assert RUNS[name](spark, "/root/testdata/sf0.01").count() > 0
