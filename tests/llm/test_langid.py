@@ -1,8 +1,12 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from quillon.llm import _scan
-from quillon.llm.langid import Comparer, bound_vectors, identify, trigrams
+from quillon.llm.langid import Comparer, bound_vectors, identify, keep_identified, trigrams
 
 
 def _keys(texts):
@@ -41,3 +45,25 @@ def test_edge_cases(spark):
     assert {r.lang_pred for r in got} == {"en", "de", "und"}
     assert identify(frame.where("false")).collect() == []
     assert {r.lang_pred for r in identify(frame.where("lang is null")).collect()} == {"und"}
+
+
+def test_letters_at_random_go_and_documents_stay(spark):
+    rng = random.Random(4)
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    noise = [(10**6 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(150)), "en") for i in range(40)]
+    other = [(2 * 10**6 + i, " ".join("".join(chr(0x430 + rng.randrange(32)) for _ in range(5)) for _ in range(80)), None) for i in range(10)]
+    both = frame.union(spark.createDataFrame(noise + other, frame.schema))
+    kept = {r.doc_id for r in keep_identified(both, 0.5).collect()}
+    clean = {r.doc_id for r in frame.where("text rlike '[a-z]'").collect()}
+    assert not [i for i in kept if i >= 2 * 10**6] and sum(10**6 <= i < 2 * 10**6 for i in kept) <= 2
+    assert len(clean - kept) <= 0.002 * len(clean)
+
+
+def test_strings_that_are_not_utf8_and_clashing_columns(spark):
+    rows = [(i, "the cat sat on the mat and looked at the dog", "en", 1, "x") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, held_out string")
+    broken = frame.withColumn("text", F.expr("cast(concat(cast(text as binary), X'FF80C3') as string)"))
+    assert {r.lang_pred for r in identify(broken).collect()} == {"en"}
+    kept = keep_identified(broken, 0.5)
+    assert kept.columns == frame.columns and kept.count() == 20
+    assert keep_identified(frame.where("false"), 0.5).collect() == []
