@@ -18,8 +18,10 @@ from quillon.llm.minhash import one_of_each_text
 from quillon.llm.packing import pack_documents
 from quillon.session import ship
 
-#: A document's share of its best two languages' cosines; 0.5 is a draw.  Only texts without letters have less.
+#: A document's share of its best two languages' cosines; 0.5 is a draw, and only texts without letters have less.
 LEAST_SCORE = 0.5
+#: Its likeness to the language told, about 1 for texts of the language and 0 for letters at random; short texts have an allowance.
+LEAST_LIKENESS = 0.3
 
 #: Packing works on token ids, and near duplicates on graph components: SQL expresses neither.
 ORACLE_SQL = None
@@ -31,27 +33,39 @@ def _sent(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language could be told, with lang as predicted; texts without letters go."""
-    return langid.keep_identified(_sent(spark, docs), LEAST_SCORE)
+    """Documents whose language could be told, with lang as predicted.
+
+    Null and empty texts, texts without letters, and long ones that are like no language that could be learned go; repeated rows are judged
+    each; a null doc_id doesn't teach; an empty table stays empty.
+    """
+    return langid.keep_identified(_sent(spark, docs), LEAST_SCORE, LEAST_LIKENESS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: the one with the smallest doc_id, null last; null and repeated ids take part."""
+    """One row of each group of near duplicates: the one with the smallest doc_id, null last; null and repeated ids take part.
+
+    Texts without a word are copies of none; of rows equal in all columns one stays, unless they have neither a word nor a doc_id; an empty table stays empty.
+    """
     return one_of_each_text(_sent(spark, docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind."""
+    """All documents, personal data in their texts replaced by its kind; null and empty texts stay, repeated rows are redacted each, an empty table stays empty."""
     return pii.redact(_sent(spark, docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in the proportion of the square roots of their bytes, by Poisson repetition; a document may come several times or not at all."""
+    """Sources in the proportion of the square roots of their bytes, by Poisson repetition; a document may come several times or not at all.
+
+    A null source is a source of its own, one without bytes gets no copies; a null doc_id counts as one id, and rows that repeat an id come
+    equally often; an empty table stays empty.
+    """
     return mixing.replicate(_sent(spark, docs), keep_keys=False)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 1024 tokens."""
+    """The pieces of all documents with their places in sequences of 1024 tokens; a null text is an empty one, repeated rows are packed each, no documents
+    give no pieces."""
     return pack_documents(_sent(spark, docs), public_tokenizers.path("byte_bpe_50k.json"))
 
 
