@@ -10,9 +10,9 @@ A document's set is its distinct shingles of five words (lower-cased A-Z; the wh
    pair is confirmed on full sets.  The links give first components, which swallow groups of near copies without
    ever listing their pairs.
 3. Buckets that still hold several components compare the classes that lie in different ones: by signatures first, then
-   those that may reach the threshold by full sets.  A bucket beyond ``BLOCK`` classes is first split by a second band and by
+   those that may reach the threshold by full sets.  A bucket beyond ``SPLIT`` classes is first split by a second band and by
    set size: its pairs meet where they share another band key as well, and where their sizes allow the threshold; so
-   its rows grow with the bucket and not with its square.  Only parts that are still beyond a block are compared in blocks;
+   its rows grow with the bucket and not with its square.  Buckets and parts beyond ``BLOCK`` are compared in blocks;
    those of the largest component meet only the others', so a huge group of near copies is not dealt out
    against itself.  A bucket gives a link for each two components at most.
 4. Components come from alternating large-star and small-star steps until nothing changes.
@@ -48,7 +48,9 @@ from quillon.llm._spark import cut, fresh
 WORDS = 5
 BANDS, ROWS = 50, 5
 HASHES, BITS = 256, 2
-BLOCK = 2048
+BLOCK = 512
+#: Buckets beyond this are split: splitting makes 2 * BANDS rows of a class, blocks one for each block that it meets.
+SPLIT = 2 * BANDS * BLOCK
 _ODD = _scan.mix64(np.arange(64) + 77) | np.uint64(1)
 _A = (_scan.mix64(np.arange(HASHES) + 501) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (_scan.mix64(np.arange(HASHES) + 1501) >> np.uint64(32)).astype(np.uint32)
@@ -375,14 +377,14 @@ def _crossing_links(documents: DataFrame, multi: DataFrame, labels: DataFrame, c
     """
     known = cut(multi.join(labels.withColumnRenamed("u", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label")))
     mixed = cut(_mixed(known))
-    if not mixed.where(F.col("m") > BLOCK).isEmpty():
+    if not mixed.where(F.col("m") > SPLIT).isEmpty():
         # a pair at the threshold has sizes of this step or the next, and its smaller step's part is where it meets
         step = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
-        large = known.join(mixed.where(F.col("m") > BLOCK).select("key"), "key").join(classes.select("cid", "n", "bands"), "cid")
+        large = known.join(mixed.where(F.col("m") > SPLIT).select("key"), "key").join(classes.select("cid", "n", "bands"), "cid")
         large = large.select("key", "cid", "label", "bands", F.explode(F.array(step, step + 1)).alias("step")).select("key", "cid", "label", "step", F.explode("bands").alias("second")).where("second != key")
         parts = cut(large.select(F.xxhash64("key", "second", "step").alias("key"), "cid", "label").distinct())
-        known = known.join(mixed.where(F.col("m") > BLOCK).select("key"), "key", "left_anti").union(parts)
-        mixed = cut(mixed.where(F.col("m") <= BLOCK).union(_mixed(parts)))
+        known = known.join(mixed.where(F.col("m") > SPLIT).select("key"), "key", "left_anti").union(parts)
+        mixed = cut(mixed.where(F.col("m") <= SPLIT).union(_mixed(parts)))
     rows = known.join(mixed.select("key", "m", "most"), "key").join(classes.select("cid", "sig"), "cid")
     # the component with the most members comes in blocks of its own, which meet the others' blocks but not each other
     of_most, one = F.col("label") == F.col("most.label"), F.col("m") <= BLOCK

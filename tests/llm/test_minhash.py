@@ -51,9 +51,10 @@ def test_real_documents(spark, sf_dir):
     assert got == brute([(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()])
 
 
-@pytest.mark.parametrize("block", [2048, 8])
-def test_a_large_group_of_near_copies_with_pairs_on_both_sides_of_the_threshold(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "split"), [(512, 51_200), (8, 51_200), (8, 8)])
+def test_a_large_group_of_near_copies_with_pairs_on_both_sides_of_the_threshold(spark, monkeypatch, block, split):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SPLIT", split)
     rng = random.Random(3)
     base = " ".join(f"b{rng.randrange(10**6)}" for _ in range(150))
     other = " ".join(f"c{rng.randrange(10**6)}" for _ in range(150))
