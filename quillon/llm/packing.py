@@ -106,28 +106,65 @@ class _Left:
         return min(self.count.get(x, 0) // lengths.count(x) for x in set(lengths))
 
 
+def _beside(left: _Left, room: int, taken: tuple[int, ...]) -> int:
+    """The greatest length within the room that is there beside what is taken; 0 if none is."""
+    x = left.largest(room)
+    while x and left.count[x] <= taken.count(x):
+        x = left.largest(x - 1)
+    return x
+
+
+def _smallest(left: _Left, taken: tuple[int, ...], n: int, size: int) -> int:
+    """The sum of the n smallest lengths beside what is taken, more than a bin if there aren't as many."""
+    total = 0
+    for x in left.lengths:
+        k = min(n, left.count[x] - taken.count(x))
+        total, n = total + k * x, n - k
+        if not n:
+            return total
+    return size + 1
+
+
+def _dominating(left: _Left, w: int, size: int) -> tuple[int, ...] | None:
+    """The content that dominates every other for a bin whose largest piece is w, if one of at most three pieces does.
+
+    Content dominates other content if its pieces, one by one, are at least as great: the others can take each other's places.
+    """
+    room = size - w
+    best = _beside(left, room, (w,))
+    if not best:
+        return (w,)
+    # nothing beats a full bin of two, nor the greatest single partner where two partners don't fit
+    if best == room or _smallest(left, (w,), 2, size) > room:
+        return (w, best)
+    if _smallest(left, (w,), 3, size) <= room:
+        return None
+    # at most two partners: the greatest single one, with the greatest beside it, dominates if no pair has a greater second piece
+    other = _beside(left, room - best, (w, best))
+    second = room // 2
+    while second := _beside(left, second, (w,)):
+        if left.count[second] - (second == w) > 1 or _beside(left, room - second, (w, second)) >= second:
+            break
+        second -= 1
+    if other and second <= other:
+        return (w, best, other)
+    pairs = [x + _beside(left, room - x, (w, x)) for x in left.lengths if x < room and left.count[x] > (x == w) and _beside(left, room - x, (w, x))]
+    return (w, best) if max(pairs, default=0) <= best else None
+
+
 def reduce_by_dominance(left: _Left, size: int) -> list[Run]:
-    """Takes out of ``left`` the bins whose content dominates every other for their largest piece."""
+    """Takes out of ``left`` the bins whose content, of up to three pieces, dominates every other for their largest piece, in passes until
+    one changes nothing: a bin that is fixed may leave others without a choice."""
     fixed: list[Run] = []
-    for w in sorted(left.lengths, reverse=True):
-        while left.count.get(w, 0):
-            room = size - w
-            best = left.largest(room)
-            if best == w and left.count[w] == 1:
-                best = left.largest(w - 1)
-            if not best:
-                bin_: tuple[int, ...] = (w,)
-            else:
-                # two pieces beside w: the two smallest fit or none do
-                low = left.lengths[0]
-                first_two = 2 * low if left.count[low] - (low == w) > 1 else low + (left.lengths[1] if len(left.lengths) > 1 else size)
-                if best == room or first_two > room:
-                    bin_ = (w, best)
-                else:
-                    break
-            times = left.times(bin_)
-            left.take(bin_, times)
-            fixed.append((bin_, times))
+    changed = True
+    while changed:
+        changed = False
+        for w in sorted(left.lengths, reverse=True):
+            while left.count.get(w, 0) and (bin_ := _dominating(left, w, size)):
+                times = left.times(bin_)
+                left.take(bin_, times)
+                fixed.append((bin_, times))
+                changed = True
     return fixed
 
 

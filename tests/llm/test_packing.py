@@ -1,5 +1,6 @@
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quillon.llm import _scan
+from quillon.llm import _scan, packing
 from quillon.llm._bpe import SegmentEncoder
 from quillon.llm.packing import pack_documents, slot_table, solve
 
@@ -143,3 +144,34 @@ def test_real_documents(spark, sf_dir, size):
     _check(rows, [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()], size)
     total = sum(r.length for r in rows)
     assert len({r.sequence_id for r in rows}) <= 1.002 * -(-total // size) + 1
+
+
+def _fewest(lengths, size):
+    """The fewest bins, by trying every bin for each piece, the longest first."""
+    order, best = sorted(lengths, reverse=True), len(lengths)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best and i < len(order) or len(bins) > best:
+            return
+        if i == len(order):
+            best = min(best, len(bins))
+            return
+        for k, room in enumerate(bins):
+            if order[i] <= room and room not in bins[:k]:
+                place(i + 1, [*bins[:k], room - order[i], *bins[k + 1 :]])
+        place(i + 1, [*bins, size - order[i]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=10))
+def test_what_dominance_fixes_costs_no_bin(lengths):
+    left = packing._Left(Counter(lengths))
+    fixed = packing.reduce_by_dominance(left, 12)
+    assert all(sum(b) <= 12 and len(b) <= 3 for b, _ in fixed)
+    rest = [x for x, n in left.count.items() for _ in range(n)]
+    assert sorted(rest + [x for b, n in fixed for x in b for _ in range(n)]) == sorted(lengths)
+    assert sum(n for _, n in fixed) + _fewest(rest, 12) == _fewest(lengths, 12)
