@@ -30,9 +30,9 @@ def block_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrong.selectExpr("path", "id", f"case when step <= 0 then 'order' when step > {200 * HOUR} then 'range' else 'receiver' end as violation")
 
 
-@query("p03_even_windows", f"WITH {_S} SELECT session, i::INT AS place, (i * (bytes // 100 - 50) // 7)::BIGINT AS start FROM ses, range(8) AS r(i) WHERE bytes >= 5100")
+@query("p03_even_windows", f"WITH {_S} SELECT session, i::INT AS place, (i * greatest(bytes // 100 - 50, 0) // 7)::BIGINT AS start FROM ses, range(8) AS r(i) WHERE bytes // 100 > 50 OR i = 0")
 def even_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sessions(spark, sf_dir).where("bytes >= 5100").selectExpr("session", "bytes", "explode(sequence(0, 7)) as place").selectExpr("session", "place", "place * (bytes div 100 - 50) div 7 as start")
+    return _sessions(spark, sf_dir).selectExpr("session", "bytes", "explode(if(bytes div 100 > 50, sequence(0, 7), array(0))) as place").selectExpr("session", "place", "place * greatest(bytes div 100 - 50, 0L) div 7 as start")
 
 
 @query("p05_topological_levels", """WITH RECURSIVE e AS (SELECT conv_id * 1000 + turn AS node, conv_id * 1000 + turn - 1 AS parent FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1)),
