@@ -147,7 +147,7 @@ def streamed(rows: DataFrame, keys: list[str], order: list[str], columns: list[s
             out = []
             own = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
             for key, row in zip(own, zip(*[batch.column(c).to_pylist() for c in columns], strict=True), strict=True):
-                if state is None or key != held:
+                if key != held:
                     held, state = key, start()
                 state, found = step(state, row)
                 if found is not None:

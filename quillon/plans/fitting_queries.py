@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import fitting, intervals
+from quillon.operators import fitting, intervals, ordered
 from quillon.plans.registry import query
 from quillon.session import ship
 from quillon.sources.shared import ensure_checkpoint_dir
@@ -108,12 +107,15 @@ def path_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k27_kalman_tracks")
 def kalman_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def fit(rows: pd.DataFrame):
-        rows = rows.sort_values(["t", "id"])
-        level, rate, taken = fitting.kalman(rows["t"].to_numpy(), rows["cents"].to_numpy(float), 50.0, 4e6, 3.0)
-        return {"id": rows["id"].to_numpy(), "level": np.round(level, 4), "rate": np.round(rate, 6), "taken": taken}
-
-    return fitting.by_group(_points(ship(spark), sf_dir), ["path"], "path long, id long, level double, rate double, taken boolean", fit)
+    def step(state, row):
+        ident, t, z = row
+        before, held = state or (t, fitting.kalman_start(z, 4e6))
+        held, taken = fitting.kalman_step(held, t - before, z, 50.0, 4e6, 3.0)
+        return (t, held), (ident, held[0], held[1], taken)
+
+    points = _points(ship(spark), sf_dir).withColumn("z", F.col("cents").cast("double"))
+    found = ordered.streamed(points, ["path"], ["t", "id"], ["id", "t", "z"], "path long, id long, level double, rate double, taken boolean", lambda: None, step)
+    return found.select("path", "id", F.round("level", 4).alias("level"), F.round("rate", 6).alias("rate"), "taken")
 
 
 @query("u03_alias_components", f"""WITH RECURSIVE {_P}, near AS (SELECT x.id AS a, y.id AS b, round_even((y.cents - x.cents) / 2273.0::DOUBLE, 0)::BIGINT AS delta FROM pts x JOIN pts y ON x.path = y.path AND y.t > x.t AND y.t - x.t <= 1.5),
