@@ -10,17 +10,17 @@ A document's set is its distinct shingles of five words (lower-cased A-Z; the wh
    pair is confirmed on full sets.  The links give first components, which swallow groups of near copies without
    ever listing their pairs.
 3. Buckets that still hold several components compare the classes that lie in different ones: by signatures first, then
-   those that may reach the threshold by full sets.  A bucket beyond ``SPLIT`` classes is first split by a second band and by
-   set size: its pairs meet where they share another band key as well, and where their sizes allow the threshold; so
-   its rows grow with the bucket and not with its square.  Buckets and parts beyond ``BLOCK`` are compared in blocks;
+   those that may reach the threshold by full sets.  A bucket beyond ``SPLIT`` classes is first split by finer bands of fewer
+   minima, computed for its classes alone, and by set size: its pairs meet where they share a finer band and where their
+   sizes allow the threshold; so its rows grow with the bucket and not with its square.  Buckets and parts beyond ``BLOCK`` are compared in blocks;
    those of the largest component meet only the others', so a huge group of near copies is not dealt out
    against itself.  A bucket gives a link for each two components at most.
 4. Components come from alternating large-star and small-star steps until nothing changes.
 
 Pairs inside a component are never listed, for they can change nothing.  No bucket, partner or candidate is
-dropped; a link of similarity 0.75 is missed by all bands in about one of a million cases, in a bucket that is split in
-about one of fifty thousand (it has no second band in common), and by the signature's margin of four standard
-deviations in about one of thirty thousand.  Sets are of 64-bit hashes of shingles, and sets are equal if their sizes and 128 bits
+dropped; a link of similarity 0.75 is missed by all bands in about one of a million cases, by all finer bands of a bucket
+that is split in one of thirty thousand million, so that splitting changes nothing, and by the signature's margin of four
+standard deviations in about one of thirty thousand.  Sets are of 64-bit hashes of shingles, and sets are equal if their sizes and 128 bits
 of hash are.
 
 Full sets are computed again only for the documents that a pair names, found by a Bloom filter of bounded size
@@ -48,9 +48,11 @@ from quillon.llm._spark import cut, fresh
 WORDS = 5
 BANDS, ROWS = 50, 5
 HASHES, BITS = 256, 2
+#: Finer bands, by which buckets beyond SPLIT are split: nearly all pairs at the threshold have several in common.
+FINE, FINE_ROWS = 64, 4
 BLOCK = 512
-#: Buckets beyond this are split: splitting makes 2 * BANDS rows of a class, blocks one for each block that it meets.
-SPLIT = 2 * BANDS * BLOCK
+#: Buckets beyond this are split: splitting makes 2 * FINE rows of a class, blocks one for each block that it meets.
+SPLIT = 2 * FINE * BLOCK
 _ODD = _scan.mix64(np.arange(64) + 77) | np.uint64(1)
 _A = (_scan.mix64(np.arange(HASHES) + 501) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (_scan.mix64(np.arange(HASHES) + 1501) >> np.uint64(32)).astype(np.uint32)
@@ -96,6 +98,14 @@ def pack(found: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=2)
 
 
+def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(sets, bands) keys, each of ``rows`` minima."""
+    keys = np.zeros((len(found), bands), np.uint64)
+    for k in range(rows):
+        keys += found[:, k : bands * rows : rows].astype(np.uint64) * _ODD[30 + k]
+    return _scan.mix64(keys + np.arange(bands, dtype=np.uint64) * _ODD[40])
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarity of packed signatures, row by row, corrected for fields that agree by chance."""
     differ = a ^ b
@@ -122,10 +132,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.flatnonzero(n)
             at = bound[:-1][full]
             found = minima(values, at)
-            keys = np.zeros((len(full), BANDS), np.uint64)
-            for k in range(ROWS):
-                keys += found[:, k : BANDS * ROWS : ROWS].astype(np.uint64) * _ODD[30 + k]
-            keys = _scan.mix64(keys + np.arange(BANDS, dtype=np.uint64) * _ODD[40])
+            keys = band_keys(found, BANDS, ROWS)
             f1, f2 = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
             if len(full):
                 f1[full] = np.add.reduceat(_scan.mix64(values ^ _ODD[50]), at)
@@ -204,6 +211,20 @@ def _sets(bloom):
     return run
 
 
+def _fine(bloom):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(in_bloom(batch.column("doc_id").to_numpy(), *bloom.value)))
+            for i, j, data, off in _scan.chunks(batch.column("text")):
+                values, bound = shingles(data, off)
+                full = np.flatnonzero(np.diff(bound))
+                keys = band_keys(minima(values, bound[:-1][full]), FINE, FINE_ROWS)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * np.int32(FINE)), pa.array(keys.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).take(pa.array(full)), lists], ["id", "fine"])
+
+    return run
+
+
 def _similar(x: pa.Scalar, y: pa.Scalar, percent: int) -> bool:
     p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
     if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
@@ -221,15 +242,20 @@ def _confirmed(percent: int):
     return run
 
 
-def full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and set of the documents that ``ids`` (distinct, column id) names; kept in the checkpoint folder."""
+def _of_named(documents: DataFrame, ids: DataFrame, rows, schema: str) -> DataFrame:
+    """What ``rows`` makes of the documents that ``ids`` (distinct, column id) names; kept in the checkpoint folder."""
     ids = cut(ids)
     ids = fitted(ids, ids.count())
     bloom = documents.sparkSession.sparkContext.broadcast(bloom_filter(ids))
-    near = documents.where(F.col("doc_id").isNotNull()).mapInArrow(_sets(bloom), "id long, set binary")
+    near = documents.where(F.col("doc_id").isNotNull()).mapInArrow(rows(bloom), schema)
     return cut(near.join(ids, "id", "left_semi"))
 
 
+def full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and set of the documents that ``ids`` (distinct, column id) names."""
+    return _of_named(documents, ids, _sets, "id long, set binary")
+
+
 def confirm(documents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of doc_ids whose full sets reach the similarity; kept in the checkpoint folder."""
     pairs = cut(pairs)
@@ -380,10 +406,13 @@ def _crossing_links(documents: DataFrame, multi: DataFrame, labels: DataFrame, c
     if not mixed.where(F.col("m") > SPLIT).isEmpty():
         # a pair at the threshold has sizes of this step or the next, and its smaller step's part is where it meets
         step = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
-        large = known.join(mixed.where(F.col("m") > SPLIT).select("key"), "key").join(classes.select("cid", "n", "bands"), "cid")
-        large = large.select("key", "cid", "label", "bands", F.explode(F.array(step, step + 1)).alias("step")).select("key", "cid", "label", "step", F.explode("bands").alias("second")).where("second != key")
+        beyond = mixed.where(F.col("m") > SPLIT).select("key")
+        large = cut(known.join(beyond, "key").join(classes.select("cid", "n"), "cid"))
+        fine = _of_named(documents, large.select(F.col("cid").alias("id")).distinct(), _fine, "id long, fine array<long>").withColumnRenamed("id", "cid")
+        large = large.join(fine, "cid").select("key", "cid", "label", "fine", F.explode(F.array(step, step + 1)).alias("step"))
+        large = large.select("key", "cid", "label", "step", F.explode("fine").alias("second"))
         parts = cut(large.select(F.xxhash64("key", "second", "step").alias("key"), "cid", "label").distinct())
-        known = known.join(mixed.where(F.col("m") > SPLIT).select("key"), "key", "left_anti").union(parts)
+        known = known.join(beyond, "key", "left_anti").union(parts)
         mixed = cut(mixed.where(F.col("m") <= SPLIT).union(_mixed(parts)))
     rows = known.join(mixed.select("key", "m", "most"), "key").join(classes.select("cid", "sig"), "cid")
     # the component with the most members comes in blocks of its own, which meet the others' blocks but not each other

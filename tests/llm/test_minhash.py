@@ -65,6 +65,15 @@ def test_a_large_group_of_near_copies_with_pairs_on_both_sides_of_the_threshold(
     assert got == brute(rows)
 
 
+def test_pairs_at_the_threshold_meet_in_a_finer_band():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        both, own = rng.integers(0, 2**63, 150, dtype=np.uint64), rng.integers(0, 2**63, 50, dtype=np.uint64)
+        values = np.concatenate([both, own[:25], both, own[25:]])  # 150 of 200 in common
+        keys = minhash.band_keys(minhash.minima(values, np.array([0, 175])), minhash.FINE, minhash.FINE_ROWS)
+        assert (keys[0] == keys[1]).any()
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One two"), (5, "one  TWO"), (6, "one two three four five"), (7, "ONE two three four five"), (8, "É x"), (9, "é x"), (10, "w " * 50_000), (11, "w " * 5)]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(_frame(spark, rows)).collect()}
