@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,24 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def lean(run):
+    """``run``, a function for mapInArrow, that gives back between batches and at the end what Arrow holds unused: workers
+    are kept for later tasks, and an idle one would go on holding the space of its largest batches."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                pool.release_unused()
+
+        yield from run(each())
+        pool.release_unused()
+
+    return whole
+
+
 def at_least(frame: DataFrame, count: str, limit: int) -> int:
     """The smallest threshold for which at most ``limit`` rows have ``count`` >= threshold.
 

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _scan
+from quillon.llm._spark import lean
 
 DIMENSIONS = 4096
 UNKNOWN = "und"
@@ -120,12 +121,12 @@ def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prototypes(texts: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages in order, their prototypes and numbers of trigrams, from columns lang and text; at most ``PARTS`` vectors a language come to the driver,
     and more than ``MOST_LANGUAGES`` languages are an error."""
-    counts = texts.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_counted, "lang string, trigram long, n long")
+    counts = texts.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_counted), "lang string, trigram long, n long")
     counts = counts.groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
     if (several := texts.where("lang is not null").agg(F.approx_count_distinct("lang")).first()[0]) > MOST_LANGUAGES:
         raise ValueError(f"about {several} languages to learn; at most {MOST_LANGUAGES} are allowed")
     # sums of whole numbers, so a language's distinct trigrams may be bundled in parts
-    parts = counts.repartition("lang", F.pmod(F.col("trigram"), F.lit(PARTS))).mapInArrow(_bundled, "lang string, vector array<double>, n long")
+    parts = counts.repartition("lang", F.pmod(F.col("trigram"), F.lit(PARTS))).mapInArrow(lean(_bundled), "lang string, vector array<double>, n long")
     found: dict[str, np.ndarray] = {}
     total: dict[str, int] = {}
     for row in parts.collect():
@@ -200,7 +201,7 @@ def predict(documents: DataFrame, names: list[str], vectors: np.ndarray, counts:
             pred, score, _ = predictor(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return documents.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return documents.select("doc_id", "held_out", "text").mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def _learning() -> Column:
@@ -224,7 +225,7 @@ def keep_identified(documents: DataFrame, least_score: float, least_likeness: fl
             own = dict(zip(columns, batch.columns, strict=True)) | {"lang": pa.array(pred, pa.string())}
             yield pa.RecordBatch.from_arrays([own[c] for c in columns], columns).filter(pa.array((pred != UNKNOWN) & (score >= least_score) & (likeness >= least_likeness)))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
 
 
 def identify(documents: DataFrame) -> DataFrame:

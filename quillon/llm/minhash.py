@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quillon.llm import _scan
-from quillon.llm._spark import cut, fresh
+from quillon.llm._spark import cut, fresh, lean
 
 WORDS = 5
 BANDS, ROWS = 50, 5
@@ -187,7 +187,7 @@ def bloom_filter(ids: DataFrame, most_bits: int = 1 << 27) -> tuple[np.ndarray,
             at = np.unique(_bloom_bits(batch.column("id").to_numpy(), size).ravel())
             yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["word", "bits"])
 
-    found = ids.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = ids.mapInArrow(lean(words), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(size >> 5, np.uint32)
     table[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
     return table, size
@@ -247,7 +247,7 @@ def _of_named(documents: DataFrame, ids: DataFrame, rows, schema: str) -> DataFr
     ids = cut(ids)
     ids = fitted(ids, ids.count())
     bloom = documents.sparkSession.sparkContext.broadcast(bloom_filter(ids))
-    near = documents.where(F.col("doc_id").isNotNull()).mapInArrow(rows(bloom), schema)
+    near = documents.where(F.col("doc_id").isNotNull()).mapInArrow(lean(rows(bloom)), schema)
     return cut(near.join(ids, "id", "left_semi"))
 
 
@@ -262,7 +262,7 @@ def confirm(documents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     pairs = fitted(pairs, pairs.count(), 20_000)
     sets = full_sets(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     held = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return cut(held.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long").distinct())
+    return cut(held.select("a", "b", "set_a", "set_b").mapInArrow(lean(_confirmed(percent)), "a long, b long").distinct())
 
 
 # --- components --------------------------------------------------------------------------------------------------
@@ -423,18 +423,18 @@ def _crossing_links(documents: DataFrame, multi: DataFrame, labels: DataFrame, c
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(one, 0).when(of_most, few - 1).otherwise(few + many - 1))))
     rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cid", "label", "sig")
     order = ("key", "lo", "hi")
-    active = cut(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_active(least), "key long, lo int, hi int, block int, cid long, label long").distinct())
+    active = cut(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(_active(least)), "key long, lo int, hi int, block int, cid long, label long").distinct())
     sets = full_sets(documents, active.select(F.col("cid").alias("id")).distinct())
     rows = active.join(classes.select("cid", "sig", "bands"), "cid").join(sets.withColumnRenamed("id", "cid"), "cid")
     rows = rows.select(*_ACTIVE, "sig", "bands", "set").repartition(*order).sortWithinPartitions(*order)
-    return cut(rows.mapInArrow(_links(least, percent), "a long, b long").distinct())
+    return cut(rows.mapInArrow(lean(_links(least, percent)), "a long, b long").distinct())
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of documents."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     least = least_estimate(percent / 100)
-    signed = cut(documents.mapInArrow(_signed, _SIGNED))
+    signed = cut(documents.mapInArrow(lean(_signed), _SIGNED))
     full = signed.where("n > 0")
     classes = cut(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     members = full.select("doc_id", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "cid"), ["n", "f1", "f2"]).select("doc_id", "n", "cid")
@@ -447,7 +447,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
 
     stars = multi.where("cid != head").select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct()
     stars = stars.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
-    near = stars.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimated(least), "a long, b long, est double")
+    near = stars.select("a", "b", "sig_a", "sig_b").mapInArrow(lean(_estimated(least)), "a long, b long, est double")
     best = near.groupBy("a").agg(F.max(F.struct(F.col("est"), (-F.col("b")).alias("minus"))).alias("x")).select("a", (-F.col("x.minus")).alias("b"))
     links = confirm(documents, best, percent)
     labels = components(links)
@@ -484,7 +484,7 @@ def one_of_each(documents: DataFrame, percent: int = 75) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, pointer])
 
     keyed = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = keyed.mapInArrow(pointed, StructType([*keyed.schema.fields, StructField(pointer, BooleanType())]))
+    rows = keyed.mapInArrow(lean(pointed), StructType([*keyed.schema.fields, StructField(pointer, BooleanType())]))
     clear = rows.where(~F.col(pointer)).drop(pointer)
     order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in documents.columns if c != "doc_id"])
     again = rows.where(F.col(pointer)).drop(pointer).join(gone, "doc_id", "left_anti").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
@@ -515,7 +515,7 @@ def one_of_each_text(documents: DataFrame, percent: int = 75) -> DataFrame:
             hit = in_bloom(batch.column(key).to_numpy(), *bloom.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, pointer])
 
-    rows = keyed.mapInArrow(pointed, StructType([*keyed.schema.fields, StructField(pointer, BooleanType())]))
+    rows = keyed.mapInArrow(lean(pointed), StructType([*keyed.schema.fields, StructField(pointer, BooleanType())]))
     order = Window.partitionBy(key).orderBy(*[F.col(f"`{c}`") for c in documents.columns])
     other = rows.where(F.col(pointer)).join(drop, key, "left_anti").join(twice, key, "left").withColumn(place, F.row_number().over(order))
     other = other.where((F.col(place) == 1) | F.col(again).isNull())

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import _scan
 from quillon.llm._bpe import encoder
-from quillon.llm._spark import cut
+from quillon.llm._spark import cut, lean
 
 Run = tuple[tuple[int, ...], int]
 
@@ -78,7 +78,7 @@ def _pieces(path: str, size: int, end_id: int):
 def cut_pieces(documents: DataFrame, tokenizer_path: str, size: int, end_id: int) -> DataFrame:
     """A row for each piece; local: its rank among the pieces of its length in its partition."""
     rows = documents.select(F.spark_partition_id().alias("pid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer_path, size, end_id), _PIECES)
+    return rows.mapInArrow(lean(_pieces(tokenizer_path, size, end_id)), _PIECES)
 
 
 class _Left:
@@ -263,4 +263,4 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, size: int = 1024,
     before = Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("pid", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.join(bases, ["pid", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local")).alias("rank"))
-    return ranked.mapInArrow(_placed(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(_placed(table)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
