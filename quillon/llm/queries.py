@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import langid, mixing, outliers, pii, ppm, topk
+from quillon.llm import centroids, fingerprints, langid, mixing, outliers, pii, ppm, topk, variants
 from quillon.llm._spark import new_path
 from quillon.llm.minhash import near_duplicates
 from quillon.llm.packing import pack_documents
@@ -73,6 +73,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_maxscore_top_k": op2_maxscore_top_k,
@@ -84,6 +96,9 @@ _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_multiset_fingerprints": op11_multiset_fingerprints,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_delta_lloyd": op13_delta_lloyd,
 }
 
 QUERIES = {name: _shipped(run) for name, run in _RUNS.items()}
@@ -91,4 +106,5 @@ QUERIES = {name: _shipped(run) for name, run in _RUNS.items()}
 ORACLES: dict[str, str] = {
     "op2_maxscore_top_k": topk.ORACLE,
     "op6_poisson_mixing": mixing.ORACLE,
+    "op13_delta_lloyd": centroids.ORACLE,
 }
