@@ -12,7 +12,7 @@ A document's set is its distinct shingles of five words (lower-cased A-Z; the wh
 3. Buckets that still hold several components compare the classes that lie in different ones: by signatures first, then
    those that may reach the threshold by full sets.  A bucket beyond ``SPLIT`` classes is first split by finer bands of fewer
    minima, computed for its classes alone, and by set size: its pairs meet where they share a finer band and where their
-   sizes allow the threshold; so its rows grow with the bucket and not with its square.  Buckets and parts beyond ``BLOCK`` are compared in blocks;
+   sizes allow the threshold; so its rows grow with the bucket and not with its square.  Buckets and parts beyond ``BLOCK`` classes or ``BLOCK_BYTES`` of sets are compared in blocks;
    those of the largest component meet only the others', so a huge group of near copies is not dealt out
    against itself.  A bucket gives a link for each two components at most.
 4. Components come from alternating large-star and small-star steps until nothing changes.
@@ -51,6 +51,10 @@ HASHES, BITS = 256, 2
 #: Finer bands, by which buckets beyond SPLIT are split: nearly all pairs at the threshold have several in common.
 FINE, FINE_ROWS = 64, 4
 BLOCK = 512
+#: Bytes of full sets in a block, about: a task holds two blocks.
+BLOCK_BYTES = 16 << 20
+#: Members that are held against one copy of their head's set, about.
+MEMBERS = 1000
 #: Buckets beyond this are split: splitting makes 2 * FINE rows of a class, blocks one for each block that it meets.
 SPLIT = 2 * FINE * BLOCK
 _ODD = _scan.mix64(np.arange(64) + 77) | np.uint64(1)
@@ -234,10 +238,18 @@ def _similar(x: pa.Scalar, y: pa.Scalar, percent: int) -> bool:
 
 
 def _confirmed(percent: int):
+    """Rows come head by head: the head's own first, then its members with their sets; a task holds one head's set and a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, held = None, None
         for batch in batches:
-            keep = [_similar(x, y, percent) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = []
+            for b, a, own in zip(batch.column("b").to_pylist(), batch.column("a").to_pylist(), batch.column("set"), strict=True):
+                if a is None:
+                    head, held = b, pa.scalar(own.as_py(), pa.binary())
+                elif head == b and _similar(own, held, percent):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -257,12 +269,21 @@ def full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def confirm(documents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of doc_ids whose full sets reach the similarity; kept in the checkpoint folder."""
+    """Those pairs (a, b) of doc_ids whose full sets reach the similarity; kept in the checkpoint folder.
+
+    A set travels once for each pair that it is a's of, and b's set once for each ``MEMBERS`` of its pairs, so that a head of many neither comes
+    to one task nor goes out with each member.
+    """
     pairs = cut(pairs)
     pairs = fitted(pairs, pairs.count(), 20_000)
     sets = full_sets(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    held = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return cut(held.select("a", "b", "set_a", "set_b").mapInArrow(lean(_confirmed(percent)), "a long, b long").distinct())
+    many = cut(pairs.groupBy("b").agg(F.count("*").alias("m")).where(F.col("m") > MEMBERS))  # one for each MEMBERS pairs at most
+    side = F.broadcast(many) if many.count() <= 10_000 else many
+    dealt = pairs.join(side, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce(F.ceil(F.col("m") / MEMBERS), F.lit(1))).alias("salt"))
+    members = dealt.join(sets.withColumnRenamed("id", "a"), "a").select("b", "salt", "a", "set")
+    heads = dealt.select("b", "salt").distinct().join(sets.withColumnRenamed("id", "b"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "set")
+    rows = heads.union(members).repartition("b", "salt").sortWithinPartitions("b", "salt", F.asc_nulls_first("a"))
+    return cut(rows.select("b", "a", "set").mapInArrow(lean(_confirmed(percent)), "a long, b long").distinct())
 
 
 # --- components --------------------------------------------------------------------------------------------------
@@ -390,9 +411,9 @@ def _links(least: float, percent: int):
 
 
 def _mixed(known: DataFrame) -> DataFrame:
-    """key, m (classes), most (the largest component with its classes) and labels of the buckets with several components."""
-    kinds = known.groupBy("key", "label").agg(F.count("*").alias("n"))
-    return kinds.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    """key, m (classes), size (bytes of their sets), most (the largest component with the same) and labels of the buckets with several components."""
+    kinds = known.groupBy("key", "label").agg(F.count("*").alias("n"), (8 * F.sum("n")).alias("size"))
+    return kinds.groupBy("key").agg(F.sum("n").alias("m"), F.sum("size").alias("size"), F.max(F.struct("n", "label", "size")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
 
 
 def _crossing_links(documents: DataFrame, multi: DataFrame, labels: DataFrame, classes: DataFrame, least: float, percent: int) -> DataFrame:
@@ -401,23 +422,23 @@ def _crossing_links(documents: DataFrame, multi: DataFrame, labels: DataFrame, c
     First only signatures travel, and show which classes have a partner whose estimate reaches ``least``; then these
     travel with their sets.  What comes out is a link for each two components of a bucket at most, never its pairs.
     """
-    known = cut(multi.join(labels.withColumnRenamed("u", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label")))
+    known = cut(multi.join(labels.withColumnRenamed("u", "cid"), "cid", "left").select("key", "cid", "n", F.coalesce("label", "cid").alias("label")))
     mixed = cut(_mixed(known))
     if not mixed.where(F.col("m") > SPLIT).isEmpty():
         # a pair at the threshold has sizes of this step or the next, and its smaller step's part is where it meets
         step = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
         beyond = mixed.where(F.col("m") > SPLIT).select("key")
-        large = cut(known.join(beyond, "key").join(classes.select("cid", "n"), "cid"))
+        large = cut(known.join(beyond, "key"))
         fine = _of_named(documents, large.select(F.col("cid").alias("id")).distinct(), _fine, "id long, fine array<long>").withColumnRenamed("id", "cid")
-        large = large.join(fine, "cid").select("key", "cid", "label", "fine", F.explode(F.array(step, step + 1)).alias("step"))
-        large = large.select("key", "cid", "label", "step", F.explode("fine").alias("second"))
-        parts = cut(large.select(F.xxhash64("key", "second", "step").alias("key"), "cid", "label").distinct())
+        large = large.join(fine, "cid").select("key", "cid", "n", "label", "fine", F.explode(F.array(step, step + 1)).alias("step"))
+        large = large.select("key", "cid", "n", "label", "step", F.explode("fine").alias("second"))
+        parts = cut(large.select(F.xxhash64("key", "second", "step").alias("key"), "cid", "n", "label").distinct())
         known = known.join(beyond, "key", "left_anti").union(parts)
         mixed = cut(mixed.where(F.col("m") <= SPLIT).union(_mixed(parts)))
-    rows = known.join(mixed.select("key", "m", "most"), "key").join(classes.select("cid", "sig"), "cid")
+    rows = known.drop("n").join(mixed.select("key", "m", "size", "most"), "key").join(classes.select("cid", "sig"), "cid")
     # the component with the most members comes in blocks of its own, which meet the others' blocks but not each other
-    of_most, one = F.col("label") == F.col("most.label"), F.col("m") <= BLOCK
-    few, many = (F.ceil(x / BLOCK).cast("int") for x in (F.col("m") - F.col("most.n"), F.col("most.n")))
+    of_most, one = F.col("label") == F.col("most.label"), (F.col("m") <= BLOCK) & (F.col("size") <= BLOCK_BYTES)
+    few, many = (F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int") for n, size in ((F.col("m") - F.col("most.n"), F.col("size") - F.col("most.size")), (F.col("most.n"), F.col("most.size"))))
     place = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
     rows = rows.withColumn("block", F.when(one, 0).when(of_most, few + place(many)).otherwise(place(few)))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(one, 0).when(of_most, few - 1).otherwise(few + many - 1))))
@@ -441,9 +462,9 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     named = classes.where("cid is not null")
     sigs = named.select("cid", "sig")
 
-    bands = named.select("cid", "copies", F.explode("bands").alias("key"))
+    bands = named.select("cid", "copies", "n", F.explode("bands").alias("key"))
     heads = bands.groupBy("key").agg(F.max(F.struct(F.col("copies"), (-F.col("cid")).alias("minus"))).alias("head"), F.count("*").alias("m")).where("m > 1")
-    multi = cut(bands.join(heads, "key").select("key", "cid", (-F.col("head.minus")).alias("head")))
+    multi = cut(bands.join(heads, "key").select("key", "cid", "n", (-F.col("head.minus")).alias("head")))
 
     stars = multi.where("cid != head").select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct()
     stars = stars.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")

@@ -51,10 +51,10 @@ def test_real_documents(spark, sf_dir):
     assert got == brute([(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()])
 
 
-@pytest.mark.parametrize(("block", "split"), [(512, 51_200), (8, 51_200), (8, 8)])
-def test_a_large_group_of_near_copies_with_pairs_on_both_sides_of_the_threshold(spark, monkeypatch, block, split):
-    monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "SPLIT", split)
+@pytest.mark.parametrize(("block", "split", "size", "members"), [(512, 51_200, 16 << 20, 1000), (8, 51_200, 16 << 20, 1000), (8, 8, 16 << 20, 7), (512, 51_200, 12_000, 7), (512, 8, 12_000, 7)])
+def test_a_large_group_of_near_copies_with_pairs_on_both_sides_of_the_threshold(spark, monkeypatch, block, split, size, members):
+    for name, value in (("BLOCK", block), ("SPLIT", split), ("BLOCK_BYTES", size), ("MEMBERS", members)):
+        monkeypatch.setattr(minhash, name, value)
     rng = random.Random(3)
     base = " ".join(f"b{rng.randrange(10**6)}" for _ in range(150))
     other = " ".join(f"c{rng.randrange(10**6)}" for _ in range(150))
