@@ -146,6 +146,43 @@ def outcome(events: DataFrame, keys: list[str], order: list[str], transitions: d
     return events.withColumn("state", state).groupBy(*keys).agg(F.max_by("state", F.struct(*order)).alias("state"), F.count("*").alias("events"))
 
 
+def state_intervals(events: DataFrame, keys: list[str], order: list[str], at: str, transitions: dict[str, str]) -> DataFrame:
+    """keys, state, since and until of each stretch in which a key was in one state: [since, until), until null for the last.
+
+    events: keys, event, the time ``at`` and what orders events of one time.  An event that leads to no state, or to the one that is there, changes nothing.
+    """
+    state = F.coalesce(*[F.when(F.col("event") == e, F.lit(s)) for e, s in transitions.items()])
+    w = Window.partitionBy(*keys).orderBy(at, *order)
+    rows = events.withColumn("state", state).where("state is not null").withColumn("_before", F.lag("state").over(w))
+    rows = rows.where("_before is null or _before <> state")
+    spans = rows.select(*keys, "state", F.col(at).alias("since"), F.lead(at).over(w).alias("until"))
+    return spans.where("until is null or until > since")  # what was left at once was never seen
+
+
+def as_of(spans: DataFrame, instants: list[int]) -> DataFrame:
+    """The stretches of ``state_intervals`` that hold at each of the instants: instant, then the stretch's columns."""
+    held = lambda t: (F.col("since") <= t) & (F.col("until").isNull() | (F.col("until") > t))
+    found = F.explode(F.array_compact(F.array(*[F.when(held(t), F.lit(t).cast("long")) for t in instants]))).alias("instant")
+    return spans.select(found, *spans.columns)
+
+
+def stage_prefix(nodes: DataFrame, edges: DataFrame, tiers: list[str], tier: str, budget: int) -> DataFrame:
+    """The stages that a tier and a budget allow: graph, node, place (from 1) and spent, the cost of all stages up to it.
+
+    nodes: graph, node, tier and cost; edges: node, needs.  Stages come in topological order, by level and node, so each prefix has all that it needs, and shared needs
+    are counted once.  The tier's prefix ends with its graph's last stage of that tier or a lower one; of it stay the stages that the
+    budget pays for without a gap.
+    """
+    rank = F.coalesce(*[F.when(F.col("tier") == t, F.lit(i)) for i, t in enumerate(tiers)])
+    levels = topological(nodes, edges)
+    order = Window.partitionBy("graph").orderBy("level", "node")
+    rows = nodes.join(levels.where("not cyclic").select("node", "level"), "node").withColumn("place", F.row_number().over(order))
+    rows = rows.withColumn("spent", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.max(F.when(rank <= tiers.index(tier), F.col("place"))).over(Window.partitionBy("graph"))
+    fits = F.max(F.when(F.col("spent") > budget, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)) == 0
+    return rows.withColumns({"_last": last, "_fits": fits}).where("place <= _last and _fits").select("graph", "node", "place", "spent")
+
+
 def reconcile(left: DataFrame, right: DataFrame, key: str, digest: str) -> DataFrame:
     """Differences of two inventories: only left, only right, or other digests."""
     both = left.select(key, F.col(digest).alias("_l")).join(right.select(key, F.col(digest).alias("_r")), key, "full")

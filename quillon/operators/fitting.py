@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,109 @@ def theil_sen(points: DataFrame, keys: list[str], time: str, value: str, reach:
     return points.join(slopes, keys).groupBy(*keys, "slope", "pairs").agg(F.median(F.col(value) - F.col("slope") * F.col(time)).alias("intercept"))
 
 
+def _later_not_above(y: np.ndarray) -> int:
+    """Pairs of places i < j with y[j] <= y[i], by halving and looking up each right half in the sorted left one."""
+    n = len(y)
+    if n <= 64:
+        return int(np.triu(y[None, :] <= y[:, None], 1).sum())
+    left = np.sort(y[: n // 2])
+    return _later_not_above(y[: n // 2]) + _later_not_above(y[n // 2 :]) + int((len(left) - np.searchsorted(left, y[n // 2 :], "left")).sum())
+
+
+def _turned_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) with first[i] < first[j] and second[j] <= second[i]: work and memory follow their number."""
+    order = np.lexsort((second, first))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def halves(own: np.ndarray) -> None:
+        if len(own) < 2:
+            return
+        left, right = own[: len(own) // 2], own[len(own) // 2 :]
+        halves(left)
+        halves(right)
+        left = left[np.argsort(second[left], kind="stable")]
+        at = np.searchsorted(second[left], second[right], "left")
+        many = len(left) - at
+        total = int(many.sum())
+        if total:
+            place = np.arange(total) - np.repeat(np.cumsum(many) - many, many) + np.repeat(at, many)
+            found.append((left[place], np.repeat(right, many)))
+
+    halves(order)
+    i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    apart = first[i] < first[j]
+    return i[apart], j[apart]
+
+
+def median_slope(t: np.ndarray, v: np.ndarray, listed: int = 4096) -> tuple[float, int]:
+    """The exact median of the slopes of all pairs of points with different times, and the number of pairs; NaN without a pair.
+
+    How many slopes are at most s is the number of pairs that v - s t puts in the other order: the median's rank is closed in on by halving s
+    until about as many pairs are left as there are points, and only these are listed.
+    """
+    order = np.lexsort((v, t))
+    t, v = t[order].astype(np.longdouble), v[order].astype(np.longdouble)
+    _, same = np.unique(t, return_counts=True)
+    pairs = len(t) * (len(t) - 1) // 2 - int((same * (same - 1) // 2).sum())
+    if not pairs:
+        return float("nan"), 0
+    _, copies = np.unique(np.stack([t, v]), axis=1, return_counts=True)
+    equal = int((copies * (copies - 1) // 2).sum())  # points equal in both are always in the other order
+    upto = lambda s: _later_not_above(v - s * t) - equal
+    steps = np.diff(np.unique(t))
+    high = (v.max() - v.min() + 1) / steps.min()
+    low, below, above = -high, 0, pairs
+    places = ((pairs - 1) // 2, pairs // 2)
+    while above - below > max(listed, 2 * len(t)):
+        middle = (low + high) / 2
+        if not low < middle < high:
+            break
+        n = upto(middle)
+        if n <= places[0]:
+            low, below = middle, n
+        elif n > places[1]:
+            high, above = middle, n
+        else:  # the two middle slopes lie on both sides
+            break
+    i, j = _turned_pairs(v - low * t, v - high * t)
+    i, j = np.where(t[i] < t[j], i, j), np.where(t[i] < t[j], j, i)
+    slopes = np.sort(((v[j] - v[i]) / (t[j] - t[i])).astype(np.float64))
+    return float((slopes[places[0] - below] + slopes[places[1] - below]) / 2), pairs
+
+
+def by_key(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: str, fit) -> DataFrame:
+    """``fit`` (a function of one key's columns as arrays, in order, that gives a tuple) for each key.
+
+    Rows are dealt by key and sorted; a task holds the named columns of one key, as numbers, and nothing else.
+    schema: the keys (long), then what comes out.
+    """
+    names = [part.split(" ")[0] for part in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    types = [kinds[part.split(" ")[1]] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = None, []
+
+        def out() -> pa.RecordBatch:
+            found = (*held, *fit(*[np.concatenate(x) for x in zip(*parts, strict=True)]))
+            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(found, types, strict=True)], names)
+
+        for batch in batches:
+            own = np.stack([batch.column(k).to_numpy() for k in keys], 1)
+            bounds = np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *bounds], [*bounds, len(own)], strict=True):
+                if b > a:
+                    if held is not None and tuple(own[a].tolist()) != held:
+                        yield out()
+                        parts = []
+                    held = tuple(own[a].tolist())
+                    parts.append([batch.column(c).to_numpy()[a:b].copy() for c in columns])
+        if held is not None:
+            yield out()
+
+    return rows.select(*dict.fromkeys([*keys, *order, *columns])).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def quadratic_fit(points: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     """Least-squares parabola by normal equations about the mean time: c0, c1, c2, rms and bic."""
     centre = points.groupBy(*keys).agg(F.avg(time).alias("reference"), F.count("*").alias("n"))

@@ -99,7 +99,7 @@ _T = " + ".join(f"{x!r}::DOUBLE / (n - 1) ** {k}" for k, x in enumerate([(_Z**3
 
 
 @query("a16_paired_t", f"""WITH {OBSERVATIONS_SQL}, p AS (SELECT path, avg(cents) FILTER (kind = 'view') - avg(cents) FILTER (kind = 'click') AS d FROM obs GROUP BY 1), s AS (SELECT count(d) AS n, avg(d) AS m, stddev_samp(d) AS sd FROM p)
-SELECT n, round(m, 4) AS mean, round(m - ({_Z!r}::DOUBLE + {_T}) * sd / sqrt(n), 4) AS lower FROM s""")
+SELECT n, round(m, 4) AS mean, CASE WHEN n > 1 THEN round(m - ({_Z!r}::DOUBLE + {_T}) * sd / sqrt(n), 4) END AS lower FROM s""")
 def paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-sided lower bound of the mean difference of pairs, by Student's t."""
     pairs = observations(spark, sf_dir).groupBy("path").agg((F.avg(F.expr("case when kind = 'view' then cents end")) - F.avg(F.expr("case when kind = 'click' then cents end"))).alias("d"))

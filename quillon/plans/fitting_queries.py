@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,19 @@ def theil_sen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", F.round("slope", 6).alias("slope"), "pairs", F.round("intercept", 4).alias("intercept"))
 
 
+@query("k09_theil_sen_all_pairs", f"""WITH {_P}, s AS (SELECT x.path, median((y.cents - x.cents) / (y.t - x.t)) AS slope, count(*) AS pairs FROM pts x JOIN pts y ON x.path = y.path AND y.t > x.t GROUP BY 1)
+SELECT path, round(slope, 6) AS slope, pairs, round(median(cents - slope * t), 4) AS intercept FROM pts JOIN s USING (path) GROUP BY 1, slope, 3""")
+def theil_sen_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median over all pairs of a path, found by counting and not by listing them."""
+
+    def fit(t, v):
+        slope, pairs = fitting.median_slope(t, v)
+        return round(slope, 6), pairs, round(float(np.median(v - slope * t)), 4)
+
+    points = _points(ship(spark), sf_dir).withColumn("v", F.col("cents").cast("double"))
+    return fitting.by_key(points, ["path"], ["t", "id"], ["t", "v"], "path long, slope double, pairs long, intercept double", fit).where("pairs > 0")
+
+
 @query("k12_poly_bic", f"""WITH {_P}, c AS (SELECT path, avg(t) AS ref, count(*) AS n FROM pts GROUP BY 1), s AS (SELECT path, n, ref, sum((t - ref) ** 2) AS s2, sum((t - ref) ** 3) AS s3, sum((t - ref) ** 4) AS s4, sum(cents)::DOUBLE AS y0, sum((t - ref) * cents) AS y1, sum((t - ref) ** 2 * cents) AS y2 FROM pts JOIN c USING (path) GROUP BY 1, 2, 3),
 f AS (SELECT *, (n * (s2 * y2 - s3 * y1) - s2 * s2 * y0) / (n * (s2 * s4 - s3 * s3) - s2 * s2 * s2) AS c2 FROM s WHERE n > 3), g AS (SELECT path, n, ref, c2, (y1 - c2 * s3) / s2 AS c1, (y0 - c2 * s2) / n AS c0 FROM f)
 SELECT path, n, round(c0, 3) AS c0, round(c1, 5) AS c1, round(c2, 7) AS c2, round(sqrt(avg((cents - c0 - c1 * (t - ref) - c2 * (t - ref) ** 2) ** 2)), 2) AS rms FROM pts JOIN g USING (path) GROUP BY path, n, c0, c1, c2""")

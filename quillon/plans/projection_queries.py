@@ -156,10 +156,10 @@ def waterfall_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.join(every("tb", 4), "tb", "left_semi").join(every("fb", 2), "fb", "left_semi").select("tb", "fb", "n")
 
 
-@query("o13_newest_snapshots", f"WITH {_S} SELECT session, created, (SELECT count(*) FROM ses) - 25 AS omitted FROM ses ORDER BY created DESC, session DESC LIMIT 25")
+@query("o13_newest_snapshots", f"WITH {_S} SELECT session, created, greatest((SELECT count(*) FROM ses) - 25, 0) AS omitted FROM ses ORDER BY created DESC, session DESC LIMIT 25")
 def newest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog.page(_sessions(spark, sf_dir).select("session", "created"), [F.desc("created"), F.desc("session")], 25)
-    return rows.select("session", "created", (F.col("total") - 25).alias("omitted"))
+    return rows.select("session", "created", F.greatest(F.col("total") - 25, F.lit(0).cast("long")).alias("omitted"))
 
 
 @query("u02_closure_available", """WITH RECURSIVE e AS (SELECT conv_id * 1000 + turn AS node, conv_id * 1000 + turn - 1 AS parent FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1)),

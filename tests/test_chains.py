@@ -210,3 +210,29 @@ def test_tracks_against_python(spark, sf_dir):
         rows = sorted(got[key])
         assert [r[1] for r in rows] == chain and [r[0] for r in rows] == list(range(1, len(chain) + 1))
         assert rows[0][2] == pytest.approx(slope, abs=1e-5) and rows[0][3] == pytest.approx(rms, abs=1e-3)
+
+
+# --- slopes of all pairs -------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_median_slope_is_that_of_all_pairs(seed):
+    from quillon.operators import fitting
+
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 400))
+    t, v = rng.integers(0, 40 if seed % 3 == 0 else 10**9, n).astype(float), rng.integers(0, 30 if seed % 2 else 10**6, n).astype(float)
+    slopes = [(v[j] - v[i]) / (t[j] - t[i]) for i, j in itertools.permutations(range(n), 2) if t[j] > t[i]]
+    for listed in (0, 4096):
+        found, pairs = fitting.median_slope(t, v, listed)
+        assert pairs == len(slopes)
+        assert math.isnan(found) if not slopes else found == pytest.approx(float(np.median(slopes)), rel=1e-12, abs=1e-15)
+
+
+def test_median_slope_of_many_points():
+    from quillon.operators import fitting
+
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.uniform(0, 1000, 60_000))
+    v = 3.25 * t + rng.standard_cauchy(60_000)
+    assert fitting.median_slope(t, v)[0] == pytest.approx(3.25, abs=1e-3)

@@ -273,3 +273,19 @@ def test_long_conversations(spark, tmp_path, name):
     db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     want = sorted(db.execute(registry.oracle_sql()[name]).fetchall())
     assert sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()) == want and len(want) in (2, 105)
+
+
+def test_exact_bounds_whatever_the_trials():
+    def by_sums(k, n, alpha=0.05):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            p = (low + high) / 2
+            tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1))
+            low, high = (p, high) if tail < alpha else (low, p)
+        return low
+
+    cases = [(1, 1), (1, 40), (5, 5), (17, 40), (39, 40), (300, 900), (899, 900)]
+    found = aggregates.exact_lower_bounds(*map(np.array, zip(*cases, strict=True)))
+    assert found == pytest.approx([by_sums(*c) for c in cases], abs=1e-10)
+    large = aggregates.exact_lower_bounds(np.array([0, 0, 3 * 10**8]), np.array([0, 7, 10**9]))
+    assert math.isnan(large[0]) and large[1] == 0 and large[2] == pytest.approx(0.3 - 1.6448536 * math.sqrt(0.21 / 1e9), abs=1e-7)
