@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.fitting import potentials
+from quillon.operators.ordered import streamed
+
 
 def _buckets(start: str, end: str, width: int) -> Column:
     return F.explode(F.sequence(F.expr(f"floor({start} / {width})"), F.expr(f"floor({end} / {width})")))
@@ -58,17 +61,38 @@ def exactly_one(pairs: DataFrame, left: DataFrame, keys: list[str], value: str)
     return left.select(*keys).join(counts, keys, "left").select(*keys, F.when(n == 1, F.col(value)).alias(value), status.alias("status"))
 
 
-def mutual_best(pairs: DataFrame, left: str, right: str, cost: str) -> DataFrame:
-    """Greedy one-to-one matching by (cost, left, right): in each round every pair that is the best of both its sides is taken,
-    which is what taking pairs one by one in that order does; until no pair is left.  Rounds are kept in the checkpoint folder."""
+def mutual_best(pairs: DataFrame, left: str, right: str, cost: str, rounds: int = 4) -> DataFrame:
+    """Greedy one-to-one matching by (cost, left, right), as taking pairs one by one in that order does.
+
+    In a few rounds every pair that is the best of both its sides is taken.  What is left then are chains in which each pair waits for a better one; they fall apart into
+    components, whose pairs are read in order by one task each, which knows what has been taken.  Rounds are kept in the checkpoint folder.
+    """
     order = F.struct(cost, left, right)
     taken: list[DataFrame] = []
     rest = pairs.select(left, right, cost).checkpoint()
-    while not rest.isEmpty():
+    for _ in range(rounds):
+        if rest.isEmpty():
+            break
         best = lambda side: rest.groupBy(side).agg(F.min(order).alias("x")).select("x.*")  # noqa: B023, E731
         now = best(left).join(best(right), [left, right, cost]).checkpoint()
         taken.append(now)
         rest = rest.join(now.select(left), left, "left_anti").join(now.select(right), right, "left_anti").checkpoint()
+    if not rest.isEmpty():
+        # left and right numbers may be equal: they are nodes of two kinds
+        edges = rest.select((F.col(left) * 2).alias("a"), (F.col(right) * 2 + 1).alias("b"), F.lit(0).cast("long").alias("delta"))
+        own = potentials(edges).where("node % 2 = 0").select(F.expr("node div 2").alias(left), F.col("root").alias("_root"))
+        rows = rest.join(own, left)
+
+        def step(gone, row):
+            a, b, c = row
+            if ("l", a) in gone or ("r", b) in gone:
+                return gone, None
+            gone.update((("l", a), ("r", b)))
+            return gone, (a, b, c)
+
+        kind = {"bigint": "long"}.get(rest.schema[cost].dataType.simpleString(), rest.schema[cost].dataType.simpleString())
+        found = streamed(rows, ["_root"], [cost, left, right], [left, right, cost], f"_root long, {left} long, {right} long, {cost} {kind}", set, step)
+        taken.append(found.drop("_root").checkpoint())
     out = pairs.select(left, right, cost).where("false")
     for now in taken:
         out = out.unionByName(now)

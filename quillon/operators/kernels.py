@@ -3,11 +3,14 @@ spectra, de-rotation and peak interpolation.  A complex number is a pair of colu
 
 from __future__ import annotations
 
+import bisect
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.sources.shared import ensure_checkpoint_dir
-
 
 def templates(rows: DataFrame, group: str, n: str, i: str, q: str) -> DataFrame:
     """The mean vector of each group as sums (ti, tq): a template's scale cancels in normalised scores."""
@@ -62,28 +65,69 @@ def dechirp(rows: DataFrame, n: str, i: str, q: str, linear: float, quadratic: f
     return rows.withColumns({"_c": F.cos(angle), "_s": F.sin(angle)}).withColumns({"di": x * F.col("_c") - y * F.col("_s"), "dq": x * F.col("_s") + y * F.col("_c")}).drop("_c", "_s")
 
 
-def suppress(peaks: DataFrame, keys: list[str], place: str, score: str, ident: str, distance: int) -> DataFrame:
-    """Greedy suppression: peaks by (score, -id) descending, each kept unless a kept one lies within the distance.
-
-    Rounds: every peak that is the first within its distance stays, and what lies within that of one goes, until none is left; this keeps what
-    taking peaks one by one keeps.  Peaks meet in buckets of place a distance wide, each copied to both neighbours, so no task holds a key.
-    Rounds are kept in the checkpoint folder.  source_count: the key's peaks.
+def _kept(place: list[int], rank: list[tuple[int, int]], distance: int) -> list[int]:
+    """Indices of what greedy suppression keeps: by rank, each unless a kept one lies within the distance."""
+    held: list[int] = []
+    out = []
+    for i in sorted(range(len(place)), key=rank.__getitem__):
+        k = bisect.bisect_left(held, place[i])
+        if (k == 0 or place[i] - held[k - 1] >= distance) and (k == len(held) or held[k] - place[i] >= distance):
+            held.insert(k, place[i])
+            out.append(i)
+    return sorted(out)
+
+
+def _decided(place: list[int], rank: list[tuple[int, int]], distance: int) -> int:
+    """How many of the first peaks (by place) nothing that comes later can change: those up to a distance beyond the last one that is the first of
+    all around it, and all around it has been seen.  That one stays, and no two peaks on its two sides are near each other."""
+    first: deque[int] = deque()  # places whose ranks rise: the best of the window so far is its first
+    ahead, best = 0, -1
+    for i in range(len(place)):
+        while ahead < len(place) and place[ahead] - place[i] < distance:
+            while first and rank[first[-1]] > rank[ahead]:
+                first.pop()
+            first.append(ahead)
+            ahead += 1
+        while place[i] - place[first[0]] >= distance:
+            first.popleft()
+        if first[0] == i and ahead < len(place):
+            best = ahead
+    return max(best, 0)
+
+
+def suppress(peaks: DataFrame, keys: list[str], place: str, score: str, ident: str, distance: int, at_once: int = 65_536) -> DataFrame:
+    """Greedy suppression: peaks by (score, -id) descending, each kept unless a kept one lies within the distance.  source_count: the key's peaks.
+
+    One pass over the peaks of a key in order of place.  A stretch is decided when a gap of the distance follows it, or, in a long one, up to
+    the last peak that is the first of all around it; so a task holds the peaks since then, and a chain of any length takes no rounds.
     """
-    ensure_checkpoint_dir(peaks.sparkSession)
-    peaks = peaks.select(*keys, F.col(place).cast("bigint").alias(place), F.col(score).cast("bigint").alias(score), F.col(ident).cast("bigint").alias(ident))
+    peaks = peaks.select(*[F.col(k).cast("bigint").alias(k) for k in keys], *[F.col(c).cast("bigint").alias(c) for c in (place, score, ident)])
     counts = peaks.groupBy(*keys).agg(F.count("*").alias("source_count"))
-    rest = peaks.withColumn("_b", F.floor(F.col(place) / distance)).checkpoint()
-    rank = F.struct(F.col(score).alias("s"), (-F.col(ident)).alias("m"))
-    kept: list[DataFrame] = []
-    while not rest.isEmpty():
-        around = Window.partitionBy(*keys, "_c").orderBy(place).rangeBetween(-(distance - 1), distance - 1)
-        spread = rest.withColumn("_c", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)))
-        first = spread.withColumn("_top", F.max(rank).over(around)).where((F.col("_c") == F.col("_b")) & (F.col("_top") == rank)).drop("_c", "_top").checkpoint()
-        kept.append(first)
-        near = first.select(*keys, F.col(place).alias("_p"), F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_b"))
-        gone = rest.join(near, [*keys, "_b"]).where(F.abs(F.col(place) - F.col("_p")) < distance).select(*keys, ident).distinct()
-        rest = rest.join(gone, [*keys, ident], "left_anti").checkpoint()
-    out = peaks.where("false")
-    for now in kept:
-        out = out.unionByName(now.drop("_b"))
-    return out.join(counts, keys).select(*keys, "source_count", place, score, ident)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, limit = None, [], at_once
+
+        def out(n: int) -> pa.RecordBatch:
+            some = held[:n]
+            del held[:n]
+            kept = [some[i] for i in _kept([r[0] for r in some], [(-r[1], r[2]) for r in some], distance)]
+            columns = [*[[k] * len(kept) for k in key], *[[r[c] for r in kept] for c in range(3)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*keys, place, score, ident])
+
+        for batch in batches:
+            for own, row in zip(zip(*[batch.column(k).to_pylist() for k in keys], strict=True), zip(*[batch.column(c).to_pylist() for c in (place, score, ident)], strict=True), strict=True):
+                if own != key or (held and row[0] - held[-1][0] >= distance):
+                    if held:
+                        yield out(len(held))
+                    key, limit = own, at_once
+                elif len(held) >= limit:
+                    if n := _decided([r[0] for r in held], [(-r[1], r[2]) for r in held], distance):
+                        yield out(n)
+                    limit = max(at_once, 2 * len(held))
+                held.append(row)
+        if held:
+            yield out(len(held))
+
+    schema = ", ".join(f"{c} long" for c in (*keys, place, score, ident))
+    kept = peaks.repartition(*keys).sortWithinPartitions(*keys, place, ident).mapInArrow(run, schema)
+    return kept.join(counts, keys).select(*keys, "source_count", place, score, ident)

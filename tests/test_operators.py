@@ -131,6 +131,43 @@ def test_suppression_is_greedy(spark):
     assert sorted((r.place, r.id) for r in got) == sorted(kept) and got[0].source_count == 60
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_suppression_decides_long_stretches_part_by_part(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, rng.randrange(900), rng.randrange(5 + 200 * (seed % 2)), i) for i, k in enumerate([1, 2] * 200)]
+    want = []
+    for k in (1, 2):
+        kept = []
+        for _, p, s, i in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[2], r[3])):
+            if all(abs(p - q) >= 15 for q, _ in kept):
+                kept.append((p, i))
+        want += kept
+    for at_once in (3, 20):
+        got = kernels.suppress(spark.createDataFrame(rows, "path int, place long, score long, id long"), ["path"], "place", "score", "id", 15, at_once).collect()
+        assert sorted((r.place, r.id) for r in got) == sorted(want)
+
+
+def test_rising_scores_take_one_pass(spark):
+    rows = spark.range(10_000).selectExpr("1 as path", "id * 10 as place", "id as score", "id")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = kernels.suppress(rows, ["path"], "place", "score", "id", 15, 500).collect()
+    assert sorted(r.id for r in got) == list(range(1, 10_000, 2))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before < 10
+
+
+def test_matching_of_a_long_chain(spark):
+    """Each pair waits for a better one: taken one by one from the end."""
+    pairs = [(i, i + d, 2 * (3000 - i) - d) for i in range(3000) for d in (0, 1)]
+    want, left, right = set(), set(), set()
+    for c, a, b in sorted((c, a, b) for a, b, c in pairs):
+        if a not in left and b not in right:
+            want.add((a, b))
+            left.add(a)
+            right.add(b)
+    got = intervals.mutual_best(spark.createDataFrame(pairs, "l long, r long, cost int"), "l", "r", "cost")
+    assert {(x.l, x.r) for x in got.collect()} == want
+
+
 def test_exact_bounds():
     assert aggregates.clopper_pearson_lower(0, 10) == 0.0
     assert math.isclose(aggregates.clopper_pearson_lower(10, 10), 0.05**0.1, rel_tol=1e-9)
