@@ -7,11 +7,12 @@ The statistics vector of a document is (log of words, log of the mean word lengt
 of repeated lines and of words in repeated windows), in units of 1/``UNIT``, as integers: sums of integers don't depend on the order in
 which tasks add them, so neither does a verdict.
 
-For each language and source the estimate has ``STARTS`` starts: the rows nearest to the coordinates' medians in units
+For each language and source the estimate has three starts: the rows nearest to the coordinates' medians in units
 of their absolute deviations; those nearest to the medians in units of the least spreads; and a share drawn by a hash.
-Each takes concentration steps: mean and covariance of the subset, Mahalanobis distances of all, and as the next
-subset the ``SUPPORT`` share of rows with the least distances, until no group's determinant falls any more (``STEPS``
-at most).  The start whose determinant is least at the end gives the group's estimate.  A subset's edge is read off a
+Each takes ``FIRST_STEPS`` concentration steps: mean and covariance of the subset, Mahalanobis distances of all, and as the next
+subset the ``SUPPORT`` share of rows with the least distances.  The start whose determinant is least then goes on alone, until no group's
+determinant falls any more; a step that doesn't lower it isn't taken, so this ends.  Steps see each different vector once, with the
+number of its rows: vectors are integers of a few thousand values at most, so their number grows more slowly than the input.  A subset's edge is read off a
 histogram of distances with fixed bins, so no task holds a group, and rows in the edge's bin all belong.  Groups with
 fewer than ``LEAST_ROWS`` rows share one estimate for their language, and if these are too few as well, nothing in
 them is rejected.  The pivots of the covariance's Cholesky factor have ``LEAST_SPREAD`` as a floor.
@@ -39,7 +40,7 @@ from quillon.llm._spark import cut
 
 UNIT = 256
 SUPPORT = 0.75
-STARTS, STEPS = 3, 12
+FIRST_STEPS = 2
 LEAST_ROWS = 50
 FEW_GROUPS, SALTS = 20_000, 32
 #: 1 - 1e-9 quantile and median of chi-square with five degrees of freedom.
@@ -112,9 +113,9 @@ def _meet(rows: DataFrame, table: DataFrame, keys: list[str], few: bool) -> Data
 
 
 def _medians(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Exact lower medians of integer columns by group, from counts of values."""
-    long = rows.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("long").alias("v")) for k, v in columns.items()])).alias("x"))
-    counts = long.groupBy("g", "x.k", "x.v").agg(F.count("*").alias("n"))
+    """Exact lower medians of integer columns by group, from counts of values; w: how often a row is there."""
+    long = rows.select("g", "w", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("long").alias("v")) for k, v in columns.items()])).alias("x"))
+    counts = long.groupBy("g", "x.k", "x.v").agg(F.sum("w").alias("n"))
     w = Window.partitionBy("g", "k")
     run = counts.withColumn("upto", F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
     found = run.where("2 * upto >= all").groupBy("g", "k").agg(F.min("v").alias("v"))
@@ -138,10 +139,10 @@ _FIT = [*[f"m{i}" for i in range(_D)], *[f"l{i}{j}" for i in range(_D) for j in
 
 
 def _fit(subset: DataFrame, keys: list[str]) -> DataFrame:
-    """By group: means m0.., the Cholesky factor l00, l10, ... of the covariance, and logdet."""
-    sums = [F.sum(F.col(x)).alias(f"s{i}") for i, x in enumerate(_NAMES)]
-    sums += [F.sum(F.col(_NAMES[i]) * F.col(_NAMES[j])).alias(f"p{i}{j}") for i in range(_D) for j in range(i + 1)]
-    out = subset.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), *sums)
+    """By group: means m0.., the Cholesky factor l00, l10, ... of the covariance, and logdet; w: how often a row is there."""
+    sums = [F.sum(F.col("w") * F.col(x)).alias(f"s{i}") for i, x in enumerate(_NAMES)]
+    sums += [F.sum(F.col("w") * F.col(_NAMES[i]) * F.col(_NAMES[j])).alias(f"p{i}{j}") for i in range(_D) for j in range(i + 1)]
+    out = subset.groupBy(*keys).agg(F.sum("w").cast("double").alias("n"), *sums)
     out = out.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(_D)})
     cov = [[F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") for j in range(i + 1)] for i in range(_D)]
     for name, x in _cholesky(cov, "l"):
@@ -166,8 +167,8 @@ def _bin(d2: Column) -> Column:
 
 
 def _edges(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """By group the first bin of d2 at which at least this share of the rows lies in it or below."""
-    counts = rows.groupBy(*keys, _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n"))
+    """By group the first bin of d2 at which at least this share of the rows lies in it or below; w: how often a row is there."""
+    counts = rows.groupBy(*keys, _bin(F.col("d2")).alias("bin")).agg(F.sum("w").alias("n"))
     w = Window.partitionBy(*keys)
     run = counts.withColumn("upto", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
     return run.where(F.col("upto") >= share * F.col("all")).groupBy(*keys).agg(F.min("bin").alias("edge"))
@@ -189,29 +190,33 @@ def _starts(rows: DataFrame, few: bool) -> DataFrame:
     def far(unit) -> Column:
         return sum((F.pow((F.col(x) - F.col(f"c{x}")) / unit(x, UNIT * least), F.lit(2.0)) for x, least in zip(_NAMES, LEAST_SPREAD, strict=True)), F.lit(0.0))
 
-    kinds = [far(lambda x, least: F.greatest(1.4826 * F.col(f"a{x}"), F.lit(least))), far(lambda x, least: F.lit(least)), F.pmod(F.xxhash64("g", "doc_id", *_NAMES), F.lit(1 << 20)) + 1.0]
-    every = F.explode(F.array(*[F.struct(F.lit(i).alias("start"), d2.alias("d2")) for i, d2 in enumerate(kinds[:STARTS])]))
-    return off.select("g", *_NAMES, every.alias("x")).select("g", *_NAMES, "x.*")
+    kinds = [far(lambda x, least: F.greatest(1.4826 * F.col(f"a{x}"), F.lit(least))), far(lambda x, least: F.lit(least)), F.pmod(F.xxhash64(*_NAMES), F.lit(1 << 20)) + 1.0]
+    every = F.explode(F.array(*[F.struct(F.lit(i).alias("start"), d2.alias("d2")) for i, d2 in enumerate(kinds)]))
+    return off.select("g", "w", *_NAMES, every.alias("x")).select("g", "w", *_NAMES, "x.*")
 
 
 def least_fits(rows: DataFrame, few: bool) -> DataFrame:
-    """By group the minimum-covariance-determinant estimate of rows (g, doc_id and z0..)."""
-    fits = _nearest(_starts(rows, few), few)
-    for _ in range(STEPS):
-        new = _nearest(_distances(rows.select("g", *_NAMES), fits.drop("logdet"), few), few)
-        fell = new.join(fits.select("g", "start", F.col("logdet").alias("before")), ["g", "start"]).where("logdet < before - 1e-9")
-        fits = new
-        if fell.isEmpty():
-            break
-    best = fits.groupBy("g").agg(F.min_by(F.struct(*_FIT), F.struct("logdet", "start")).alias("x"))
-    return cut(best.select("g", "x.*"))
+    """By group the minimum-covariance-determinant estimate of rows (g and z0..)."""
+    vectors = cut(rows.groupBy("g", *_NAMES).agg(F.count("*").alias("w")))
+    fits = _nearest(_starts(vectors, few), few)
+    for _ in range(FIRST_STEPS - 1):
+        fits = _nearest(_distances(vectors, fits.drop("logdet"), few), few)
+    fits = cut(fits.groupBy("g").agg(F.min_by(F.struct("start", *_FIT, "logdet"), F.struct("logdet", "start")).alias("x")).select("g", "x.*"))
+    going = fits
+    while True:
+        own = vectors if going is fits else _meet(vectors, going.select("g"), ["g"], few)
+        new = _nearest(_distances(own, going.drop("logdet"), few), few)
+        going = cut(new.join(going.select("g", F.col("logdet").alias("before")), "g").where("logdet < before - 1e-9").drop("before"))
+        if going.isEmpty():
+            return cut(fits.select("g", *_FIT))
+        fits = cut(fits.join(going.select("g"), "g", "left_anti").unionByName(going))
 
 
 def robust_distances(rows: DataFrame, few: bool = True) -> DataFrame:
-    """rows (with g, doc_id and z0..) and d2 under the estimate of their group, scaled to the chi-square median."""
-    far = _distances(rows, least_fits(rows, few), few)
+    """rows (with g and z0..) and d2 under the estimate of their group, scaled to the chi-square median."""
+    far = _distances(rows, least_fits(rows, few), few).withColumn("w", F.lit(1))
     middle = cut(_edges(far, ["g"], 0.5).select("g", F.exp((F.col("edge") + 1) / F.lit(float(_BINS_A_NAT))).alias("middle")))
-    return _meet(far, middle, ["g"], few).withColumn("d2", F.col("d2") * CHI2_MEDIAN / F.greatest(F.col("middle"), F.lit(CHI2_MEDIAN / 4))).drop("middle")
+    return _meet(far, middle, ["g"], few).withColumn("d2", F.col("d2") * CHI2_MEDIAN / F.greatest(F.col("middle"), F.lit(CHI2_MEDIAN / 4))).drop("middle", "w")
 
 
 def quality(documents: DataFrame, cutoff: float = CHI2_FAR, few_groups: int = FEW_GROUPS) -> DataFrame:
@@ -227,6 +232,9 @@ def quality(documents: DataFrame, cutoff: float = CHI2_FAR, few_groups: int = FE
     known = F.struct(F.col("g.lang").isNull().alias("no_lang"), F.coalesce("g.lang", F.lit("")).alias("lang"), F.col("g.source").isNull().alias("no_source"), F.coalesce("g.source", F.lit("")).alias("source"), "g.own")
     plain = [F.col("gl").isNull().alias("no_lang"), F.coalesce("gl", F.lit("")).alias("lang"), F.col("gs").isNull().alias("no_source"), F.coalesce("gs", F.lit("")).alias("source")]
     grouped = cut(grouped.join(large, "g", "left_semi").select(*plain, known.alias("g")))
+    # a number stands for the group's names from here on
+    numbers = cut(grouped.select("g").distinct().withColumn("number", F.monotonically_increasing_id()))
+    grouped = cut(grouped.join(numbers, "g").select("no_lang", "lang", "no_source", "source", F.col("number").alias("g")))
     few = grouped.count() <= few_groups
     keys = ["no_lang", "lang", "no_source", "source"]
     rows = rows.withColumns({"no_lang": F.col("lang").isNull(), "no_source": F.col("source").isNull(), "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))})

@@ -66,7 +66,7 @@ def test_distances_are_mahalanobis(spark):
     rng = np.random.default_rng(3)
     x = (rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5)) * 3000).round().astype(int)
     rows = spark.createDataFrame([(1, *map(int, r)) for r in x], "g long, z0 long, z1 long, z2 long, z3 long, z4 long")
-    fit = outliers._fit(rows, ["g"])
+    fit = outliers._fit(rows.selectExpr("*", "1 as w"), ["g"])
     cov = np.cov(x.T, bias=True)
     assert abs(2 * fit.first().logdet - np.linalg.slogdet(cov)[1]) < 1e-6
     d = (x - x.mean(axis=0))[np.lexsort(x.T[::-1])]
