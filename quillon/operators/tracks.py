@@ -54,7 +54,8 @@ def peeled(points: DataFrame, keys: list[str], slopes: list[float], period: floa
 
 
 def hard_assignment(points: DataFrame, lines: DataFrame, keys: list[str], period: float, gate: float, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
-    """Each point to its nearest line within the gate (ties to the smaller track), each line refitted to its points, until no point moves.
+    """Each point to its nearest line within the gate (ties to the smaller track), each line refitted to its points, until no point moves, or for ``rounds``
+    rounds: points that go back and forth between two lines would never come to rest, and keep what the last round gave them.
 
     lines: keys, track, slope, intercept.  Returns the lines and the assignment (keys, id, track).
     """
@@ -100,7 +101,7 @@ def lifted_polynomial(points: DataFrame, keys: list[str], period: float, degree:
 
 def seeded(points: DataFrame, lines: DataFrame, keys: list[str], period: float, gate: float, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
     """Each line takes of every probe (a column of points) the candidate nearest to it within the gate, ties to the smaller id, and is refitted to what it
-    took, until no choice changes.  Lines take independently of each other.  Returns the lines and the choice (keys, track, probe, id)."""
+    took, until no choice changes, or for ``rounds`` rounds, the last of which then counts.  Lines take independently of each other.  Returns the lines and the choice (keys, track, probe, id)."""
     before = None
     for _ in range(rounds):
         near = _near(points, lines.select(*keys, "track", "slope", "intercept"), keys, period, gate)
