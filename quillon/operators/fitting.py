@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.pairs import near_pairs
+from quillon.sources.shared import ensure_checkpoint_dir
+
 
 def hough_votes(points: DataFrame, keys: list[str], time: str, value: str, weight: str, slopes: list[float], period: float, bins: int) -> DataFrame:
     """Summed weight of each (slope, intercept bin); intercepts are taken modulo the period.  A point votes once a slope, so rows
@@ -187,6 +190,56 @@ def ransac_line(t: np.ndarray, v: np.ndarray, gate: float, steepest: float) -> t
     return best
 
 
+def _draws(points: DataFrame, keys: list[str], reach: int, draws: int) -> DataFrame:
+    """Pairs (keys, i, ti, vi, j, tj, vj) of each point and the later ones within reach (of u, an integer time) that a hash of both ids draws."""
+    side = lambda s: points.select(*keys, *[F.col(c).alias(f"{s}{c}") for c in ("id", "u", "t", "v")])
+    pairs = near_pairs(side("i"), side("j"), keys, "iu", "ju", reach)
+    place = F.row_number().over(Window.partitionBy(*keys, "iid").orderBy(F.xxhash64("iid", "jid"), "jid"))
+    return pairs.withColumn("_n", place).where(F.col("_n") <= draws).drop("_n")
+
+
+def consensus_lines(points: DataFrame, keys: list[str], reach: int, draws: int, lifts: int, period: float, gate: float, steepest: float, step: float, support: int, tracks: int) -> DataFrame:
+    """Up to so many lines of each key by random consensus, best first: keys, track, id, slope, intercept (at time 0) and rms, a row for each point of a line.
+
+    points: keys, id, u (integer time), t (the same as a double) and v, known modulo the period.  Hypotheses are lines through a point and partners that a hash of
+    their ids draws, each partner lifted by up to ``lifts`` periods, no steeper than allowed.  A hypothesis' consensus is what lies in its bucket of intercepts and those
+    beside it (buckets as wide as the gate), at its slope to the next ``step``: points are counted once for each slope that hypotheses use, not for each hypothesis.  The
+    one with the most (ties: the smallest hash, then ids and lift) is held against the points themselves: those within the gate are lifted to it, fitted by least
+    squares, and those within the gate of the fit are the line's.  Lines with the support stay, their points go, and the rest is searched again.  Nothing
+    depends on how rows are dealt.
+    """
+    ensure_checkpoint_dir(points.sparkSession)
+    left = points.select(*keys, "id", "u", "t", "v").checkpoint()
+    found: DataFrame | None = None
+    wrapped = lambda x: F.pmod(x + period / 2, F.lit(period)) - period / 2
+    buckets = int(period // gate)
+    bucket = lambda slope: F.floor(F.pmod(F.col("v") - slope * F.col("t"), F.lit(period)) * buckets / period).cast("int")
+    for track in range(1, tracks + 1):
+        drawn = _draws(left, keys, reach, draws).withColumn("lift", F.explode(F.sequence(F.lit(-lifts), F.lit(lifts))))
+        drawn = drawn.withColumn("slope", (F.col("jv") + F.col("lift") * period - F.col("iv")) / (F.col("jt") - F.col("it"))).where(F.abs("slope") <= steepest)
+        drawn = drawn.withColumn("s", F.round(F.col("slope") / step).cast("int")).select(*keys, "iid", "jid", "lift", F.col("it").alias("t"), F.col("iv").alias("v"), "slope", "s").checkpoint()
+        votes = left.join(drawn.select(*keys, "s").distinct(), keys).groupBy(*keys, "s", bucket(F.col("s") * step).alias("b")).agg(F.count("*").alias("n"))
+        own = drawn.withColumn("b", bucket(F.col("s") * step)).select("*", F.explode(F.array(*[F.pmod(F.col("b") + d, F.lit(buckets)) for d in (-1, 0, 1)])).alias("near")).drop("b")
+        scored = own.join(votes.withColumnRenamed("b", "near"), [*keys, "s", "near"]).groupBy(*keys, "iid", "jid", "lift", "t", "v", "slope").agg(F.sum("n").alias("score"))
+        order = F.struct((-F.col("score")).alias("a"), F.xxhash64("iid", "jid").alias("b"), F.col("iid"), F.col("jid"), F.col("lift"))
+        best = scored.groupBy(*keys).agg(F.min_by(F.struct("slope", (F.col("v") - F.col("slope") * F.col("t")).alias("start")), order).alias("x")).select(*keys, "x.*")
+        rows = left.join(best, keys).withColumn("line", F.col("start") + F.col("slope") * F.col("t"))
+        near = rows.where(F.abs(wrapped(F.col("v") - F.col("line"))) <= gate).withColumn("lifted", F.col("line") + wrapped(F.col("v") - F.col("line")))
+        fits = near.groupBy(*keys).agg(F.regr_slope("lifted", "t").alias("slope"), F.regr_intercept("lifted", "t").alias("intercept")).where("slope is not null")
+        off = wrapped(F.col("v") - F.col("intercept") - F.col("slope") * F.col("t"))
+        held = left.join(fits, keys).withColumn("off", off).where(F.abs("off") <= gate)
+        sizes = held.groupBy(*keys).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("off") * F.col("off"))).alias("rms")).where(F.col("n") >= support)
+        now = held.join(sizes, keys).select(*keys, F.lit(track).alias("track"), "id", "slope", "intercept", "rms").checkpoint()
+        if now.isEmpty():
+            break
+        found = now if found is None else found.unionByName(now)
+        # keys without a line have no more to find
+        left = left.join(now.select(*keys).distinct(), keys, "left_semi").join(now.select(*keys, "id"), [*keys, "id"], "left_anti").checkpoint()
+    if found is None:
+        return left.where("false").select(*keys, F.lit(0).alias("track"), "id", *[F.lit(0.0).alias(c) for c in ("slope", "intercept", "rms")])
+    return found
+
+
 def best_chain(t: np.ndarray, v: np.ndarray, reach: float, gate: float, point: float, gap: float, change: float) -> tuple[int, float]:
     """Track before detect: the chain of points with the least cost, each point earning ``point``, time and change of value costing."""
     cost, length = np.full(len(t), -point), np.ones(len(t), int)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators.fitting import potentials
 from quillon.operators.ordered import streamed
+from quillon.operators.pairs import near_pairs  # noqa: F401  an interval join like the others here
 
 
 def _buckets(start: str, end: str, width: int) -> Column:
@@ -29,13 +30,6 @@ def containing(points: DataFrame, spans: DataFrame, keys: list[str], time: str,
     return x.join(y, [*keys, "_b"]).where((F.col(span[0]) <= F.col(time)) & (F.col(time) <= F.col(span[1]))).drop("_b")
 
 
-def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, reach: int) -> DataFrame:
-    """Pairs with equal keys and 0 < y - x <= reach: a right row is found from its own bucket and the one before."""
-    a = left.withColumn("_b", F.expr(f"floor({x} / {reach})"))
-    b = right.withColumn("_b", F.explode(F.array(F.expr(f"floor({y} / {reach})"), F.expr(f"floor({y} / {reach}) - 1"))))
-    return a.join(b, [*keys, "_b"]).where((F.col(y) > F.col(x)) & (F.col(y) - F.col(x) <= reach)).drop("_b")
-
-
 def nearest(points: DataFrame, marks: DataFrame, keys: list[str], time: str, mark_time: str, mark_id: str) -> DataFrame:
     """points with the nearest mark of equal keys, before or after, at most once each: mark_id and distance; ties to the earlier
     mark, then the smaller id; null without a mark.  One ordered pass each way over both tables."""

@@ -97,6 +97,21 @@ def ransac_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitting.by_group(_daily(spark, sf_dir), ["path", "day"], "path long, day long, n long, inliers long, slope double, intercept double", fit, "day div 14")
 
 
+#: Reach of a pair in microseconds, partners drawn for a point, periods that a partner may be lifted; the rest as ``fitting.consensus_lines`` names it.
+CONSENSUS = {"reach": 96 * HOUR, "draws": 4, "lifts": 1, "period": 22727.0, "gate": 700.0, "steepest": 300.0, "step": 5.0, "support": 5, "tracks": 3}
+
+
+def consensus_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations(spark, sf_dir).select("id", "path", F.col("t_us").alias("u"), ((F.col("t_us") - _START) / float(HOUR)).alias("t"), F.col("cents").cast("double").alias("v"))
+
+
+@query("k06_consensus_lines")
+def consensus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several lines of a path, found by drawn hypotheses and peeled."""
+    found = fitting.consensus_lines(consensus_points(spark, sf_dir), ["path"], **CONSENSUS)
+    return found.select("path", "track", "id", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("rms", 4).alias("rms"))
+
+
 @query("k07_dp_tracks")
 def dp_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     def fit(rows: pd.DataFrame):
