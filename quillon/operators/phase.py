@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 
 
@@ -10,9 +13,78 @@ def wrap(x: float, period: float = 1.0) -> float:
     return (x + period / 2) % period - period / 2
 
 
+def integrated_noise(order: int, density: float, dt: float) -> np.ndarray:
+    """Covariance that white noise of this density on the last of ``order`` states, each the integral of the next, adds in a step: the integral of
+    t^a / a! * t^b / b! for each two states that are a and b integrations away from the noise."""
+    away = np.arange(order)[::-1]
+    power = away[:, None] + away[None, :] + 1
+    scale = np.array([float(math.factorial(a)) for a in away])
+    return density * dt**power / (power * scale[:, None] * scale[None, :])
+
+
+def integrated_step(order: int, dt: float) -> np.ndarray:
+    """How states, each the integral of the next, go on in a step."""
+    ahead = np.arange(order)[None, :] - np.arange(order)[:, None]
+    return np.where(ahead >= 0, dt ** np.maximum(ahead, 0) / np.vectorize(lambda k: float(math.factorial(k)))(np.maximum(ahead, 0)), 0.0)
+
+
+def blocks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(a) + len(b),) * 2)
+    out[: len(a), : len(a)], out[len(a) :, len(a) :] = a, b
+    return out
+
+
+@dataclass(frozen=True)
+class FrameFilter:
+    """Five states, three measurements: phase, rate and acceleration of the carrier, phase and drift of the frame; measured are the carrier's phase (modulo a
+    cycle) and rate and the frame's phase, with deviations that grow as coherence falls.
+
+    A step's noise is the exact integral of white noise on the acceleration and on the drift.  A row below the least coherence isn't taken, and nothing is found in it.
+    In others a carrier phase off by ``slip`` or more is a slip, and a rate off by ``turn`` or more a correction, unless one was found less than ``apart`` before; both are told and taken.
+    """
+
+    deviations: tuple[float, float, float] = (0.08, 0.3, 0.05)
+    densities: tuple[float, float] = (1e-4, 1e-5)
+    acceleration: float = 0.2
+    least: float = 0.2
+    slip: float = 0.3
+    turn: float = 0.6
+    apart: float = 24.0
+
+    def start(self) -> tuple | None:
+        return None
+
+    def step(self, state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        """row: id, t, carrier phase, rate, frame phase, coherence.  Out: id, taken, the three innovations, the five states, the phase's deviation, slip, corrected."""
+        ident, t, *measured, coherence = row
+        z, sigma = np.array(measured, float), np.array(self.deviations)
+        seen = [0, 1, 3]
+        if state is None:
+            x = np.array([z[0], z[1], 0.0, z[2], 0.0])
+            p = np.diag([sigma[0] ** 2, sigma[1] ** 2, self.acceleration**2, sigma[2] ** 2, self.densities[1]])
+            turned = -math.inf
+        else:
+            before, x, p, turned = state
+            f = blocks(integrated_step(3, t - before), integrated_step(2, t - before))
+            x, p = f @ x, f @ p @ f.T + blocks(integrated_noise(3, self.densities[0], t - before), integrated_noise(2, self.densities[1], t - before))
+        off = z - x[seen]
+        off[0] = wrap(off[0])
+        taken = coherence >= self.least
+        slip = bool(taken and abs(off[0]) >= self.slip)
+        corrected = bool(taken and abs(off[1]) >= self.turn and t - turned >= self.apart)
+        if taken:
+            r = np.diag((sigma / coherence) ** 2)
+            gain = np.linalg.solve(p[np.ix_(seen, seen)] + r, p[seen]).T
+            rest = np.eye(5)
+            rest[:, seen] -= gain
+            x, p = x + gain @ off, rest @ p @ rest.T + gain @ r @ gain.T
+        return (t, x, p, t if corrected else turned), (ident, bool(taken), *off.tolist(), *x.tolist(), math.sqrt(max(p[0, 0], 0.0)), slip, corrected)
+
+
 class CarrierFilter:
     """Kalman filter with the states phase, rate, acceleration, frame phase and drift; irregular steps and Joseph updates.
 
+    Two measurements and noise on each state by itself; ``FrameFilter`` has the carrier's rate as the third, and a step's exact noise.
     Both phases are measured modulo a cycle, with a variance that grows as coherence falls.  A measurement beyond the gate is a slip: it isn't
     taken, and after ``patience`` slips of the carrier in a row the phase is corrected to the measured one and its variance opened.
     """

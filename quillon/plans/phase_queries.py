@@ -27,6 +27,17 @@ def carrier_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "id", *[F.round(c, 6).alias(c) for c in ("phase", "rate", "acceleration", "frame", "drift")], "slip", "corrected")
 
 
+@query("k27_frame_filter")
+def frame_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five states by path from the carrier's phase and rate and the frame's phase, with the exact noise of each step; slips and corrections marked."""
+    work = phase.FrameFilter()
+    states = ("phase", "rate", "acceleration", "frame", "drift")
+    schema = ", ".join(["path long", "id long", "taken boolean", *[f"{c} double" for c in ("phase_off", "rate_off", "frame_off", *states, "phase_sigma")], "slip boolean", "corrected boolean"])
+    rows = _rows(spark, sf_dir).withColumn("speed", F.pmod(F.col("code"), F.lit(517.0)) / 517.0 - 0.5)
+    found = ordered.streamed(rows, ["path"], ["t", "id"], ["id", "t", "carrier", "speed", "frame", "coherence"], schema, work.start, work.step)
+    return found.select("path", "id", "taken", *[F.round(c, 6).alias(c) for c in ("phase_off", "rate_off", "frame_off", *states, "phase_sigma")], "slip", "corrected")
+
+
 @query("k28_filter_product")
 def filter_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the filter leaves of each path: how many of its observations were taken, slipped or corrected, and its last state."""
