@@ -12,7 +12,7 @@ A shard file holds documents in ascending order of their key:
 * The footer has a fixed length: places of index and filter, numbers of entries and ids, id width, magic.
 
 A key is the document's number, sign bit flipped, in big-endian order, so that keys sort as numbers do; a null
-number has the empty key and comes first.  Rows that repeat a number are kept, ordered by text.
+number has the empty key and comes first.  Rows that repeat a number are kept, ordered by a hash of their texts.
 
 Tasks write their shard under a name of their own attempt, and only files that the manifest names are read:
 a lost or repeated task leaves at most a file that nobody reads.  Paths may be any that pyarrow.fs knows.
@@ -41,10 +41,12 @@ from quillon.llm._bpe import encoder
 from quillon.llm._spark import cut
 
 BLOCK_BYTES = 64 << 10
+#: A file's size, about: the writer holds its keys and its filter until it ends.
+SHARD_BYTES = 256 << 20
 _FOOTER = struct.Struct("<QQQQQQI8s")
 _MAGIC = b"quillst1"
 _BLOOM_BITS, _BLOOM_HASHES = 10, 7
-_MANIFEST = "shard int, file string, n_docs long, n_ids long, first_id long, last_id long"
+_MANIFEST = "shard int, part int, file string, n_docs long, n_ids long, first_id long, last_id long"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -200,50 +202,67 @@ def _open(path: str):
     return system, local
 
 
-def _written(path: str, folder: str, end_id: int):
+class _Sink:
+    """One shard file of a task, and its row of the manifest."""
+
+    def __init__(self, folder: str, shard: int, part: int, width: int) -> None:
+        system, local = _open(folder)
+        system.create_dir(local, recursive=True)
+        self.name = f"{uuid.uuid4().hex}.sst"
+        self.file = system.open_output_stream(f"{local}/{self.name}")
+        self.writer, self.place = ShardWriter(self.file, width), (shard, part)
+        self.first = self.last = None
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.first = doc_id if not self.writer.keys else self.first
+        self.last = doc_id
+        self.writer.add(key_of(doc_id), ids)
+
+    def finish(self) -> pa.RecordBatch:
+        self.writer.finish()
+        self.file.close()
+        row = (*self.place, self.name, len(self.writer.keys), self.writer.n_ids, self.first, self.last)
+        kinds = (pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["shard", "part", "file", "n_docs", "n_ids", "first_id", "last_id"])
+
+
+def _written(path: str, folder: str, end_id: int, target: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
         width = 2 if max(model.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        writer = sink = None
-        name = f"{uuid.uuid4().hex}.sst"
-        shard, first, last = 0, None, None
+        sink, part = None, 0
         try:
             for batch in batches:
-                if batch.num_rows and writer is None:
-                    system, local = _open(folder)
-                    system.create_dir(local, recursive=True)
-                    sink = system.open_output_stream(f"{local}/{name}")
-                    writer = ShardWriter(sink, width)
-                    shard, first = batch.column("shard")[0].as_py(), batch.column("doc_id")[0].as_py()
                 doc_ids = batch.column("doc_id").to_pylist()
                 for i, j, data, off in _scan.chunks(batch.column("text")):
                     ids, bound = model.encode(data, off)
                     ids = np.insert(ids, bound[1:], end_id)
                     bound = bound + np.arange(len(bound))
                     for k in range(i, j):
-                        writer.add(key_of(doc_ids[k]), ids[bound[k - i] : bound[k - i + 1]])
-                if doc_ids:
-                    last = doc_ids[-1]
-            if writer is not None:
-                writer.finish()
-        finally:
+                        if sink is not None and sink.writer.at >= target:
+                            yield sink.finish()
+                            sink, part = None, part + 1
+                        if sink is None:
+                            sink = _Sink(folder, batch.column("shard")[0].as_py(), part, width)
+                        sink.add(doc_ids[k], ids[bound[k - i] : bound[k - i + 1]])
             if sink is not None:
-                sink.close()
-        if writer is not None:
-            row = {"shard": [shard], "file": [name], "n_docs": [len(writer.keys)], "n_ids": [writer.n_ids], "first_id": [first], "last_id": [last]}
-            yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int32()), ("file", pa.string()), *[(x, pa.int64()) for x in ("n_docs", "n_ids", "first_id", "last_id")]]))
+                yield sink.finish()
+        finally:
+            if sink is not None and not sink.file.closed:
+                sink.file.close()
 
     return run
 
 
-def write_shards(documents: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2) -> DataFrame:
-    """Writes the shards to ``folder`` and returns the manifest, a row for each shard in key order.
+def write_shards(documents: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes the shards to ``folder`` and returns the manifest, a row for each shard in key order (shard, then part).
 
-    Texts are dealt by ranges of the number once and encoded where their shard is written, so ids aren't shuffled.
+    Texts are dealt by ranges of the number once and encoded where their shard is written, so ids aren't shuffled; rows of one number go on in the next
+    range by a hash of their texts.  A task begins a new file when the one it writes has ``shard_bytes``.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(dealt.select("doc_id", "text", F.spark_partition_id().alias("shard")).mapInArrow(_written(tokenizer_path, folder, end_id), _MANIFEST))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    return cut(dealt.select("doc_id", "text", F.spark_partition_id().alias("shard")).mapInArrow(_written(tokenizer_path, folder, end_id, shard_bytes), _MANIFEST))
 
 
 def _scanned(folder: str):
@@ -256,20 +275,25 @@ def _scanned(folder: str):
                     for doc_id, ids in ShardReader(source).scan():
                         out.append((doc_id, base, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         base += len(ids)
-                for i in range(0, len(out), 20_000):
-                    part = out[i : i + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(out) == 20_000:
+                            yield _rows(out)
+                            out = []
+                    yield _rows(out)
 
     return run
 
 
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, from the files; one task reads whole shards."""
+    """doc_id, start, n_tokens and ids_crc32 of each document, from the files; a task reads one shard, block by block."""
     # a row for each shard, so one ordered pass over the manifest is small
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     n = max(1, manifest.count())
-    based = manifest.select("shard", "file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    return based.repartition(n, "shard").mapInArrow(_scanned(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    based = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    return based.repartition(n).mapInArrow(_scanned(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, folder: str, doc_id: int | None) -> list[list[int]]:
@@ -278,7 +302,7 @@ def lookup(spark: SparkSession, manifest: DataFrame, folder: str, doc_id: int |
     if doc_id is not None:
         near &= F.col("last_id") >= doc_id
     found = []
-    for r in manifest.where(near).orderBy("shard").collect():
+    for r in manifest.where(near).orderBy("shard", "part").collect():
         system, local = _open(folder)
         with system.open_input_file(f"{local}/{r['file']}") as source:
             found += [x.tolist() for x in ShardReader(source).get(doc_id)]

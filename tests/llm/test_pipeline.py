@@ -68,3 +68,39 @@ def test_one_row_of_each_text_whatever_the_ids(spark, tmp_path):
 def test_empty_input(spark, tmp_path):
     _documents(spark).where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def _odd(spark):
+    """Null and repeated ids, null and empty texts, equal rows, a very long text, and columns with the names that operators use inside."""
+    long = " ".join(f"wort{i * 7919 % 5003}" for i in range(40_000))
+    prose = "the quick brown fox jumps over a lazy dog while it rains in spain and nobody says a word "
+    rows = [(1, prose * 3, "en", "s0"), (1, prose * 3, "en", "s0"), (1, prose * 4 + "x", "en", None), (None, prose * 2, None, "s1"), (None, prose * 2, None, "s1"), (None, None, "en", "s0"), (4, "", "en", "s1"), (5, long, "de", "s1"), (6, None, None, None), (7, "123 ... !", "en", "s0")]
+    frame = spark.createDataFrame([(*r, None, 10 * i, "k", 3) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, copy long, key string, n int")
+    return frame.repartition(3)
+
+
+def test_every_stage_takes_odd_rows(spark, tmp_path):
+    docs = _odd(spark)
+    told = lambda frame, *names: sorted((str(tuple(r[n] for n in names)) for r in frame.collect()))
+    all_rows = told(docs, "doc_id", "text", "copy")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        if name == "packing":
+            pieces = got.collect()
+            assert sum(r.piece == 0 for r in pieces) == docs.count()
+            assert sum(r.doc_id is None for r in pieces) >= 3 and max(r.length for r in pieces) <= 1024
+            continue
+        assert got.columns == docs.columns
+        rows = told(got, "doc_id", "text", "copy")
+        if name == "language_id":
+            assert set(rows) <= set(all_rows) and not any(r.startswith(("(4,", "(6,", "(7,")) for r in rows)
+        if name == "near_duplicates":
+            assert set(rows) <= set(all_rows) and sum(r.startswith("(1,") or "brown" in r for r in rows) < 5
+        if name == "personal_data":
+            assert len(rows) == len(all_rows) and told(got, "doc_id", "copy") == told(docs, "doc_id", "copy")
+            assert max(len(r.text or "") for r in got.collect()) == max(len(r.text or "") for r in docs.collect())
+        if name == "mixture":
+            assert set(rows) <= set(all_rows)
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == []

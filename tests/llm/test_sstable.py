@@ -93,3 +93,33 @@ def test_real_documents(spark, sf_dir):
     got = sorted((tuple(r) for r in read_shards(write_shards(frame, PATH, folder), folder).collect()), key=lambda r: r[1])
     assert got == _want([(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()])
     assert pa.types.is_int64(pa.array([got[0][1]]).type)
+
+
+def test_files_end_at_their_size(spark, sf_dir):
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(2)
+    folder = new_path(spark, "tokens")
+    manifest = write_shards(frame, PATH, folder, shard_bytes=1)
+    files = manifest.collect()
+    assert max(r.part for r in files) > 0 and len({(r.shard, r.part) for r in files}) == len(files) == len({r.file for r in files})
+    got = sorted((tuple(r) for r in read_shards(manifest, folder).collect()), key=lambda r: r[1])
+    assert got == _want([(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()])
+    some = frame.orderBy("doc_id").select("doc_id", "text").limit(3).collect()
+    library = Tokenizer.from_file(PATH)
+    assert all(lookup(spark, manifest, folder, r.doc_id) == [library.encode(r.text, add_special_tokens=False).ids + [2]] for r in some)
+
+
+def test_rows_of_one_number_need_no_task_of_their_own(spark):
+    documents = [(7, f"text {i} " * (i % 9 + 1)) for i in range(600)] + [(1, "a"), (9, "b")]
+    frame = spark.createDataFrame(documents, "doc_id long, text string").repartition(4)
+    folder = new_path(spark, "tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = write_shards(frame, PATH, folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r.n_docs for r in manifest.collect()) < 500
+    got = sorted((tuple(r) for r in read_shards(manifest, folder).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [1] + [7] * 600 + [9]
+    assert [r[1] for r in got] == [sum(x[2] for x in got[:k]) for k in range(len(got))]
+    assert sorted((r[0], r[2], r[3]) for r in got) == sorted((r[0], r[2], r[3]) for r in _want(documents))
+    assert len(lookup(spark, manifest, folder, 7)) == 600
