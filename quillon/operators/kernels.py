@@ -32,12 +32,28 @@ def correlation(rows: DataFrame, template: DataFrame, keys: list[str], n: str, i
     return sums.select(*keys, "template", F.when(energy > 0, F.sqrt((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / energy)).otherwise(0.0).alias("score"))
 
 
-def differential(rows: DataFrame, keys: list[str], n: str, i: str, q: str) -> DataFrame:
-    """Lag-one products: score |sum c[k] conj(c[k-1])| / sum |c[k]||c[k-1]| and frequency in cycles a step."""
-    w = Window.partitionBy(*keys).orderBy(n)
-    x, y = F.col(i).cast("double"), F.col(q).cast("double")
-    rows = rows.withColumns({"_x": F.lag(x).over(w), "_y": F.lag(y).over(w)}).where("_x is not null")
-    sums = rows.groupBy(*keys).agg(F.sum(x * F.col("_x") + y * F.col("_y")).alias("re"), F.sum(y * F.col("_x") - x * F.col("_y")).alias("im"), F.sum(F.sqrt((x * x + y * y) * (F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y")))).alias("ceiling"))
+def total(values: Column, kind: str = "double") -> Column:
+    """The sum of an array of this type, in order."""
+    return F.aggregate(values, F.lit(0).cast(kind), lambda a, x: a + x)
+
+
+def energy(i: Column, q: Column) -> Column:
+    """i^2 + q^2 of arrays of whole numbers, sample by sample."""
+    return F.zip_with(i, q, lambda x, y: x * x + y * y)
+
+
+def differential(vectors: DataFrame, keys: list[str], i: str, q: str) -> DataFrame:
+    """Lag-one products of vectors (i and q as arrays): score |sum c[k] conj(c[k-1])| / sum |c[k]||c[k-1]| and frequency in cycles a step."""
+    one, two = F.transform(F.arrays_zip(i, q), lambda s: F.struct(s[i].cast("double").alias("x"), s[q].cast("double").alias("y"))), F.size(i)
+    rows = vectors.where(two > 1).withColumn("_s", one)
+    later, before = F.slice("_s", F.lit(2), F.size("_s") - 1), F.slice("_s", F.lit(1), F.size("_s") - 1)
+    step = lambda f: total(F.zip_with(later, before, f))
+    sums = rows.select(
+        *keys,
+        step(lambda c, b: c["x"] * b["x"] + c["y"] * b["y"]).alias("re"),
+        step(lambda c, b: c["y"] * b["x"] - c["x"] * b["y"]).alias("im"),
+        step(lambda c, b: F.sqrt((c["x"] * c["x"] + c["y"] * c["y"]) * (b["x"] * b["x"] + b["y"] * b["y"]))).alias("ceiling"),
+    )
     size = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
     return sums.select(*keys, F.when(F.col("ceiling") > 0, size / F.col("ceiling")).otherwise(0.0).alias("score"), (F.atan2("im", "re") / (2 * 3.141592653589793)).alias("frequency"))
 

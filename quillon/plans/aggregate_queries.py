@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import aggregates as agg
+from quillon.operators import kernels
 from quillon.plans.registry import query
-from quillon.sources.tables import OBSERVATIONS_SQL, SAMPLES_SQL, observations, samples, table
+from quillon.sources.tables import OBSERVATIONS_SQL, SAMPLES_SQL, observations, sample_arrays, samples, table
 
 HOUR = 3_600_000_000
 
@@ -29,12 +30,16 @@ def window_power_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a01_quality_summary", f"""WITH {SAMPLES_SQL} SELECT label, count(*) AS samples, count(*) FILTER (abs(i) >= 12000) + count(*) FILTER (abs(q) >= 12000) AS clipped_components, count(*) FILTER (abs(i) >= 12000 OR abs(q) >= 12000) AS clipped_samples,
 min(i) AS min_i, max(i) AS max_i, min(q) AS min_q, max(q) AS max_q, min(i) = max(i) AND min(q) = max(q) AS constant FROM smp GROUP BY 1""")
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, q = F.abs("i") >= 12_000, F.abs("q") >= 12_000
-    rows = samples(spark, sf_dir).groupBy("label")
-    return rows.agg(
-        F.count("*").alias("samples"), (F.count_if(i) + F.count_if(q)).alias("clipped_components"), F.count_if(i | q).alias("clipped_samples"), F.min("i").alias("min_i"), F.max("i").alias("max_i"), F.min("q").alias("min_q"), F.max("q").alias("max_q"),
-        ((F.min("i") == F.max("i")) & (F.min("q") == F.max("q"))).alias("constant"),
+    """Counted within each vector's row first, so a row for each vector is all that is grouped."""
+    far = lambda c: F.transform(c, lambda x: (F.abs(x) >= 12_000).cast("long"))
+    either = F.zip_with(far("i"), far("q"), lambda a, b: F.greatest(a, b))
+    rows = sample_arrays(spark, sf_dir).select(
+        "label", F.size("i").alias("n"), (kernels.total(far("i"), "bigint") + kernels.total(far("q"), "bigint")).alias("components"), kernels.total(either, "bigint").alias("clipped"),
+        *[f(c).alias(f"{name}_{c}") for c in ("i", "q") for name, f in (("min", F.array_min), ("max", F.array_max))],
     )
+    ends = [g(f"{name}_{c}").alias(f"{name}_{c}") for c in ("i", "q") for name, g in (("min", F.min), ("max", F.max))]
+    found = rows.groupBy("label").agg(F.sum("n").alias("samples"), F.sum("components").alias("clipped_components"), F.sum("clipped").alias("clipped_samples"), *ends)
+    return found.withColumn("constant", F.expr("min_i = max_i and min_q = max_q"))
 
 
 @query("a02_coverage", f"""WITH {OBSERVATIONS_SQL}, b AS (SELECT path, t_us AS a, t_us + {2 * HOUR} AS e FROM obs), r AS (SELECT *, max(e) OVER (PARTITION BY path ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b)
@@ -49,7 +54,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a03_power_summary", f"""WITH {SAMPLES_SQL}, s AS (SELECT vec_id, count(*) AS n, sum(i * i + q * q)::BIGINT AS energy FROM smp GROUP BY 1)
 SELECT vec_id, n, energy, round(energy / (n * 1073741824.0::DOUBLE), 12) AS mean_power, round(10 * log10(energy / (n * 1073741824.0::DOUBLE)), 6) AS power_db, round(sqrt(energy / (n * 1073741824.0::DOUBLE)), 9) AS rms FROM s""")
 def power_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = samples(spark, sf_dir).groupBy("vec_id").agg(F.count("*").alias("n"), F.sum(F.col("i") * F.col("i") + F.col("q") * F.col("q")).alias("energy"))
+    sums = sample_arrays(spark, sf_dir).select("vec_id", F.size("i").cast("long").alias("n"), kernels.total(kernels.energy(F.col("i"), F.col("q")), "bigint").alias("energy"))
     found = agg.power(F.col("energy"), F.col("n"))
     return sums.select("vec_id", "n", "energy", F.round(found["mean_power"], 12).alias("mean_power"), F.round(found["power_db"], 6).alias("power_db"), F.round(found["rms"], 9).alias("rms"))
 

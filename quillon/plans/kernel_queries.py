@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import kernels
 from quillon.plans.registry import query
-from quillon.sources.tables import OBSERVATIONS_SQL, SAMPLES_SQL, observations, samples
+from quillon.sources.tables import OBSERVATIONS_SQL, SAMPLES_SQL, observations, sample_arrays, samples
 
 _TEMPLATES = "tpl AS (SELECT label AS template, n, sum(i)::BIGINT AS ti, sum(q)::BIGINT AS tq FROM smp GROUP BY 1, 2)"
 
@@ -41,16 +41,22 @@ def control_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("d12_anchor_power", f"""WITH {SAMPLES_SQL}, f AS (SELECT vec_id, n // 8 AS frame, sum(i)::DOUBLE AS x, sum(q)::DOUBLE AS y, sum(sqrt((i * i + q * q)::DOUBLE)) AS a, avg((i * i + q * q)::DOUBLE) AS p FROM smp GROUP BY 1, 2)
 SELECT vec_id, round(sum(x * x + y * y) / sum(a * a), 6) AS anchor, round(avg(p) / 1073741824, 9) AS tracker FROM f GROUP BY 1""")
 def anchor_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.col("i") * F.col("i") + F.col("q") * F.col("q")
-    frames = samples(spark, sf_dir).groupBy("vec_id", F.expr("n div 8").alias("frame")).agg(F.sum("i").cast("double").alias("x"), F.sum("q").cast("double").alias("y"), F.sum(F.sqrt(size)).alias("a"), F.avg(size).alias("p"))
-    return frames.groupBy("vec_id").agg(F.round(F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y")) / F.sum(F.col("a") * F.col("a")), 6).alias("anchor"), F.round(F.avg("p") / 1073741824, 9).alias("tracker"))
+    """Frames of eight samples within each vector's row: nothing is shuffled."""
+    part = lambda c, f: F.slice(F.col(c), f * 8 + 1, F.lit(8))
+    sized = lambda f: kernels.energy(part("i", f), part("q", f))
+    frame = lambda f: F.struct(
+        kernels.total(part("i", f), "bigint").cast("double").alias("x"), kernels.total(part("q", f), "bigint").cast("double").alias("y"), kernels.total(F.transform(sized(f), lambda e: F.sqrt(e))).alias("a"), (kernels.total(sized(f), "bigint") / 8.0).alias("p")
+    )
+    rows = sample_arrays(spark, sf_dir).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(3)), frame).alias("f"))
+    of = lambda f: kernels.total(F.transform("f", f))
+    return rows.select("vec_id", F.round(of(lambda s: s["x"] * s["x"] + s["y"] * s["y"]) / of(lambda s: s["a"] * s["a"]), 6).alias("anchor"), F.round(of(lambda s: s["p"]) / 4 / 1073741824, 9).alias("tracker"))
 
 
 @query("d13_differential_score", f"""WITH {SAMPLES_SQL}, l AS (SELECT vec_id, i::DOUBLE AS x, q::DOUBLE AS y, lag(i::DOUBLE) OVER w AS a, lag(q::DOUBLE) OVER w AS b FROM smp WINDOW w AS (PARTITION BY vec_id ORDER BY n)),
 s AS (SELECT vec_id, sum(x * a + y * b) AS re, sum(y * a - x * b) AS im, sum(sqrt((x * x + y * y) * (a * a + b * b))) AS c FROM l WHERE a IS NOT NULL GROUP BY 1)
 SELECT vec_id, round(sqrt(re * re + im * im) / c, 6) AS score, round(atan2(im, re) / (2 * pi()), 6) AS frequency FROM s""")
 def differential_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = kernels.differential(samples(spark, sf_dir), ["vec_id"], "n", "i", "q")
+    found = kernels.differential(sample_arrays(spark, sf_dir), ["vec_id"], "i", "q")
     return found.select("vec_id", F.round("score", 6).alias("score"), F.round("frequency", 6).alias("frequency"))
 
 

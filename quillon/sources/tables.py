@@ -37,6 +37,13 @@ OBSERVATIONS_SQL = """obs AS (
 )"""
 
 
+def sample_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as 32 interleaved pairs of 16-bit numbers, a row for each vector: vec_id, label, and i and q as arrays.  What is asked of one vector needs no
+    shuffle in this form; ``samples`` has a row for each sample."""
+    part = lambda k: F.expr(f"transform(sequence(0, 31), n -> cast(bround(cast(embedding[2 * n + {k}] as double) * 32767, 0) as bigint))")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", part(0).alias("i"), part(1).alias("q"))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as 32 interleaved pairs of 16-bit numbers: vec_id, label, n, i, q."""
     whole = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.expr("transform(embedding, x -> cast(bround(cast(x as double) * 32767, 0) as bigint))").alias("v"))

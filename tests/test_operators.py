@@ -326,3 +326,10 @@ def test_exact_bounds_whatever_the_trials():
     assert found == pytest.approx([by_sums(*c) for c in cases], abs=1e-10)
     large = aggregates.exact_lower_bounds(np.array([0, 0, 3 * 10**8]), np.array([0, 7, 10**9]))
     assert math.isnan(large[0]) and large[1] == 0 and large[2] == pytest.approx(0.3 - 1.6448536 * math.sqrt(0.21 / 1e9), abs=1e-7)
+
+
+@pytest.mark.parametrize("name", ["a03_power_summary", "d12_anchor_power", "d13_differential_score"])
+def test_what_is_asked_of_one_vector_shuffles_nothing(spark, sf_dir, name):
+    from quillon.plans import registry
+
+    assert "Exchange" not in registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
