@@ -47,12 +47,19 @@ def nearest(points: DataFrame, marks: DataFrame, keys: list[str], time: str, mar
     return found.select("_p.*", chosen["_mi"].alias(mark_id), F.abs(F.col("_t") - chosen["_mt"]).alias("distance"))
 
 
-def exactly_one(pairs: DataFrame, left: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """left with the value of its only partner, and status: found, not_found or ambiguous."""
-    counts = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias(value))
-    n = F.coalesce("n", F.lit(0))
-    status = F.when(n == 0, "not_found").when(n == 1, "found").otherwise("ambiguous")
-    return left.select(*keys).join(counts, keys, "left").select(*keys, F.when(n == 1, F.col(value)).alias(value), status.alias("status"))
+def only_cover(points: DataFrame, spans: DataFrame, keys: list[str], time: str, span: tuple[str, str], width: int, ids: list[str], value: str) -> DataFrame:
+    """ids (keys and time among them), the value of the only span [start, end] of equal keys that holds the point, and status: found, not_found or ambiguous.
+
+    One join and one grouping: a point has one bucket of time, so a point that no span holds comes out of it without one; repeated points are one.
+    """
+    x = points.select(*ids).withColumn("_b", F.expr(f"floor({time} / {width})"))
+    y = spans.select(*[F.col(k).alias(f"_{k}") for k in keys], *span, value).withColumn("_s", _buckets(*span, width))
+    holds = (F.col("_b") == F.col("_s")) & (F.col(span[0]) <= F.col(time)) & (F.col(time) <= F.col(span[1]))
+    for k in keys:
+        holds = holds & (F.col(k) == F.col(f"_{k}"))
+    found = x.join(y, holds, "left").groupBy(*ids).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    status = F.when(F.col("_low").isNull(), "not_found").when(F.col("_low") == F.col("_high"), "found").otherwise("ambiguous")
+    return found.select(*ids, F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias(value), status.alias("status"))
 
 
 def mutual_best(pairs: DataFrame, left: str, right: str, cost: str, rounds: int = 4) -> DataFrame:

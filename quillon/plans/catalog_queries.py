@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import catalog
 from quillon.plans.registry import query
+from quillon.sources.shared import ensure_checkpoint_dir
 from quillon.sources.tables import OBSERVATIONS_SQL, micros, observations, table
 
 NOW = 1_000_000_000_000_000  # microseconds: 2001-09-09
@@ -80,7 +81,8 @@ edges AS (SELECT session * 10 + line AS job, session * 10 + line - 1 AS needs FR
 room AS (SELECT class, 40 * 1000 - (SELECT count(*) FROM jobs r WHERE r.class = c.class AND r.state = 'running' AND lease_until > 900000000000000) AS room FROM (SELECT DISTINCT class FROM jobs) c)
 SELECT job, class, priority, place FROM (SELECT r.job, r.class, r.priority, room, row_number() OVER (PARTITION BY r.class ORDER BY r.priority DESC, created, r.job)::INT AS place FROM ready r JOIN room USING (class)) WHERE place <= room""")
 def claim_next_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs, edges = _jobs(spark, sf_dir)
+    jobs = _jobs(ensure_checkpoint_dir(spark), sf_dir)[0].checkpoint()
+    edges = jobs.where("job % 10 > 1").selectExpr("job", "job - 1 as needs")  # as _jobs has them, without reading lines again
     capacity = jobs.select("class").distinct().withColumn("slots", F.lit(40_000))
     return catalog.claimable(jobs, edges, capacity, 900_000_000_000_000)
 

@@ -20,10 +20,9 @@ c AS (SELECT s_suppkey AS radio, s_suppkey * 1000 + n AS calibration, 7889184000
 j AS (SELECT DISTINCT p.radio, dwell, t, calibration FROM p LEFT JOIN c ON c.radio = p.radio AND c.a <= t AND t <= c.b)
 SELECT radio, dwell, t, CASE WHEN count(calibration) = 1 THEN min(calibration) END AS calibration, CASE count(calibration) WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status FROM j GROUP BY 1, 2, 3""")
 def calibration_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("radio"), F.expr("l_orderkey * 10 + l_linenumber").alias("dwell"), micros("l_shipdate").alias("t")).distinct()
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("radio"), F.expr("l_orderkey * 10 + l_linenumber").alias("dwell"), micros("l_shipdate").alias("t"))
     spans = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as radio", "explode(sequence(0L, 29L)) as n").selectExpr("radio", "radio * 1000 + n as calibration", f"788918400000000 + n * {90 * DAY} as a", f"788918400000000 + n * {90 * DAY} + {100 * DAY} as b")
-    pairs = intervals.containing(points, spans, ["radio"], "t", ("a", "b"), 100 * DAY)
-    return intervals.exactly_one(pairs, points, ["radio", "dwell", "t"], "calibration")
+    return intervals.only_cover(points, spans, ["radio"], "t", ("a", "b"), 100 * DAY, ["radio", "dwell", "t"], "calibration")
 
 
 @query("j08_nearest_snapshot", f"""WITH {OBSERVATIONS_SQL}, m AS (SELECT path, t_us AS mt, id AS mark FROM obs WHERE kind = 'purchase'), p AS (SELECT id, path, t_us FROM obs WHERE kind = 'view')
