@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import ordered
 from quillon.operators.intervals import near_pairs
-from quillon.sources.shared import ensure_checkpoint_dir
+from quillon.sources.shared import kept
 
 # --- order along links -------------------------------------------------------------------------------------------
 
@@ -26,13 +26,12 @@ def linked_order(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Each node looks ahead to the one before it, then to the one before that one's, and so on: spans double, so a chain takes rounds as the
     logarithm of its length.  A node with two successors or two predecessors, and a cycle, are errors.  Rounds are kept in the checkpoint folder.
     """
-    ensure_checkpoint_dir(nodes.sparkSession)
-    links = links.select("a", "b").distinct().checkpoint()
+    links = kept(links.select("a", "b").distinct())
     twice = links.groupBy("a").count().where("count > 1").select("a").union(links.groupBy("b").count().where("count > 1").select("b")).head(1)
     if twice:
         raise ValueError(f"node {twice[0][0]} has two links of one kind")
     state = nodes.select("node").distinct().join(links.select(F.col("b").alias("node"), F.col("a").alias("before")), "node", "left")
-    state = state.select("node", F.coalesce("before", "node").alias("head"), F.col("before").isNotNull().cast("long").alias("place"), F.col("before").isNull().alias("done")).checkpoint()
+    state = kept(state.select("node", F.coalesce("before", "node").alias("head"), F.col("before").isNotNull().cast("long").alias("place"), F.col("before").isNull().alias("done")))
     most = state.count()
     span = 1
     while not state.where("not done").isEmpty():
@@ -41,7 +40,7 @@ def linked_order(nodes: DataFrame, links: DataFrame) -> DataFrame:
         ahead = state.select(F.col("node").alias("head"), F.col("head").alias("_h"), F.col("place").alias("_p"), F.col("done").alias("_d"))
         # what has reached its head doesn't travel again
         moved = state.where("not done").join(ahead, "head").select("node", F.col("_h").alias("head"), (F.col("place") + F.col("_p")).alias("place"), F.col("_d").alias("done"))
-        state = state.where("done").union(moved).checkpoint()
+        state = kept(state.where("done").union(moved))
         span *= 2
     return state.select("node", "head", "place")
 
@@ -101,24 +100,23 @@ def detected_tracks(points: DataFrame, keys: list[str], slopes: list[float], gap
     of it is off by more than the gate.  The best (weight of its chain, points, slope) is a track; its points and all others within the gate of its line and its
     time go, and the search is repeated.
     """
-    ensure_checkpoint_dir(points.sparkSession)
-    left = points.select(*keys, "id", "t", "f", "w").checkpoint()
+    left = kept(points.select(*keys, "id", "t", "f", "w"))
     out: DataFrame | None = None
     for track in range(1, tracks + 1):
-        survivors = _survivors(left, keys, slopes, gap, gate, period, point, bend, wait).checkpoint()
+        survivors = kept(_survivors(left, keys, slopes, gap, gate, period, point, bend, wait))
         chains = _traced(survivors, keys).join(left.select(*keys, "id", "t", "f"), [*keys, "id"])
         own = [*keys, "slope_index"]
         first = chains.groupBy(*own).agg(F.min(F.struct("t", "f")).alias("x")).select(*own, F.col("x.t").alias("t0"), F.col("x.f").alias("f0"))
         slope = F.element_at(F.array(*map(F.lit, slopes)), F.col("slope_index") + 1)
         chains = chains.join(first, own).withColumn("dt", F.col("t") - F.col("t0"))
-        chains = chains.withColumn("lifted", F.col("f") + F.lit(period) * F.round((F.col("f0") + slope * F.col("dt") - F.col("f")) / F.lit(period))).checkpoint()
+        chains = kept(chains.withColumn("lifted", F.col("f") + F.lit(period) * F.round((F.col("f0") + slope * F.col("dt") - F.col("f")) / F.lit(period))))
         fits = chains.groupBy(*own, "t0", "total").agg(F.count("*").alias("n"), F.max("dt").alias("span"), F.regr_slope("lifted", "dt").alias("slope"), F.regr_intercept("lifted", "dt").alias("intercept"))
         off = F.col("lifted") - F.col("intercept") - F.col("slope") * F.col("dt")
         worst = chains.join(fits.select(*own, "slope", "intercept"), own).groupBy(*own).agg(F.max(F.abs(off)).alias("worst"), F.sqrt(F.avg(off * off)).alias("rms"))
         good = fits.join(worst, own).where((F.col("n") >= support) & (F.col("span") >= span) & (F.col("worst") <= gate))
-        best = good.groupBy(*keys).agg(F.max(F.struct("total", "n", (-F.col("slope_index")).alias("minus"), "t0", "span", "slope", "intercept", "rms")).alias("x")).select(*keys, F.lit(track).alias("track"), (-F.col("x.minus")).alias("slope_index"), "x.t0", "x.span", "x.slope", "x.intercept", "x.rms").checkpoint()
+        best = kept(good.groupBy(*keys).agg(F.max(F.struct("total", "n", (-F.col("slope_index")).alias("minus"), "t0", "span", "slope", "intercept", "rms")).alias("x")).select(*keys, F.lit(track).alias("track"), (-F.col("x.minus")).alias("slope_index"), "x.t0", "x.span", "x.slope", "x.intercept", "x.rms"))
         place = F.row_number().over(Window.partitionBy(*keys).orderBy("t", "id")).alias("place")
-        found = chains.join(best.select(*own, "track", "slope", "intercept", "rms"), own).select(*keys, "track", "id", place, "slope", "intercept", "rms").checkpoint()
+        found = kept(chains.join(best.select(*own, "track", "slope", "intercept", "rms"), own).select(*keys, "track", "id", place, "slope", "intercept", "rms"))
         if found.isEmpty():
             break
         out = found if out is None else out.unionByName(found)
@@ -127,7 +125,7 @@ def detected_tracks(points: DataFrame, keys: list[str], slopes: list[float], gap
         residual = F.abs(F.pmod(F.col("f") - F.col("intercept") - F.col("slope") * dt + period / 2, F.lit(period)) - period / 2)
         gone = (dt >= 0) & (dt <= F.col("span")) & (residual <= gate)
         # keys without a track have no more to find
-        left = near.where(F.col("t0").isNotNull() & ~gone).select(*keys, "id", "t", "f", "w").join(found.select(*keys, "id"), [*keys, "id"], "left_anti").checkpoint()
+        left = kept(near.where(F.col("t0").isNotNull() & ~gone).select(*keys, "id", "t", "f", "w").join(found.select(*keys, "id"), [*keys, "id"], "left_anti"))
     if out is None:
         return left.where("false").select(*keys, F.lit(0).alias("track"), "id", F.lit(0).alias("place"), *[F.lit(0.0).alias(c) for c in ("slope", "intercept", "rms")])
     return out
@@ -263,17 +261,16 @@ def covered_paths(points: DataFrame, keys: list[str], reach: int, step: float, w
     A path costs ``ends`` and each of its links what ``link_costs`` says; a link is worth its cost below ``ends``.  After a round each point's slope and
     acceleration are those of its path, and links are weighed again; ends when no link changes, or after ``rounds`` without a cover that stays.
     """
-    ensure_checkpoint_dir(points.sparkSession)
-    points = points.select(*keys, "id", "t", "f", "slope", "acceleration").checkpoint()
+    points = kept(points.select(*keys, "id", "t", "f", "slope", "acceleration"))
     before, current = None, points
     for k in range(1, rounds + 1):
-        edges = link_costs(current, keys, reach, step, weights, most).where((F.col("status") == "admissible") & (F.col("cost") < ends)).checkpoint()
+        edges = kept(link_costs(current, keys, reach, step, weights, most).where((F.col("status") == "admissible") & (F.col("cost") < ends)))
         pieces = _pieces(current, edges, keys).select("piece", "a", "b", "cost").repartition("piece").sortWithinPartitions("piece", "a", "b")
-        links = pieces.mapInArrow(lambda batches: _solved(batches, ends), "a long, b long, head long").checkpoint()
+        links = kept(pieces.mapInArrow(lambda batches: _solved(batches, ends), "a long, b long, head long"))
         sign = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == before or k == rounds:
             order = linked_order(points.select(F.col("id").alias("node")), links)
             return points.select(*keys, "id").join(order.withColumnRenamed("node", "id"), "id"), sign == before, k
-        before, current = sign, _hints(current, links, step).checkpoint()
+        before, current = sign, kept(_hints(current, links, step))
     raise ValueError("at least one round is needed")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.pairs import near_pairs
-from quillon.sources.shared import ensure_checkpoint_dir
+from quillon.sources.shared import kept
 
 
 def hough_votes(points: DataFrame, keys: list[str], time: str, value: str, weight: str, slopes: list[float], period: float, bins: int) -> DataFrame:
@@ -208,8 +208,7 @@ def consensus_lines(points: DataFrame, keys: list[str], reach: int, draws: int,
     squares, and those within the gate of the fit are the line's.  Lines with the support stay, their points go, and the rest is searched again.  Nothing
     depends on how rows are dealt.
     """
-    ensure_checkpoint_dir(points.sparkSession)
-    left = points.select(*keys, "id", "u", "t", "v").checkpoint()
+    left = kept(points.select(*keys, "id", "u", "t", "v"))
     found: DataFrame | None = None
     wrapped = lambda x: F.pmod(x + period / 2, F.lit(period)) - period / 2
     buckets = int(period // gate)
@@ -217,7 +216,7 @@ def consensus_lines(points: DataFrame, keys: list[str], reach: int, draws: int,
     for track in range(1, tracks + 1):
         drawn = _draws(left, keys, reach, draws).withColumn("lift", F.explode(F.sequence(F.lit(-lifts), F.lit(lifts))))
         drawn = drawn.withColumn("slope", (F.col("jv") + F.col("lift") * period - F.col("iv")) / (F.col("jt") - F.col("it"))).where(F.abs("slope") <= steepest)
-        drawn = drawn.withColumn("s", F.round(F.col("slope") / step).cast("int")).select(*keys, "iid", "jid", "lift", F.col("it").alias("t"), F.col("iv").alias("v"), "slope", "s").checkpoint()
+        drawn = kept(drawn.withColumn("s", F.round(F.col("slope") / step).cast("int")).select(*keys, "iid", "jid", "lift", F.col("it").alias("t"), F.col("iv").alias("v"), "slope", "s"))
         votes = left.join(drawn.select(*keys, "s").distinct(), keys).groupBy(*keys, "s", bucket(F.col("s") * step).alias("b")).agg(F.count("*").alias("n"))
         own = drawn.withColumn("b", bucket(F.col("s") * step)).select("*", F.explode(F.array(*[F.pmod(F.col("b") + d, F.lit(buckets)) for d in (-1, 0, 1)])).alias("near")).drop("b")
         scored = own.join(votes.withColumnRenamed("b", "near"), [*keys, "s", "near"]).groupBy(*keys, "iid", "jid", "lift", "t", "v", "slope").agg(F.sum("n").alias("score"))
@@ -229,12 +228,12 @@ def consensus_lines(points: DataFrame, keys: list[str], reach: int, draws: int,
         off = wrapped(F.col("v") - F.col("intercept") - F.col("slope") * F.col("t"))
         held = left.join(fits, keys).withColumn("off", off).where(F.abs("off") <= gate)
         sizes = held.groupBy(*keys).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("off") * F.col("off"))).alias("rms")).where(F.col("n") >= support)
-        now = held.join(sizes, keys).select(*keys, F.lit(track).alias("track"), "id", "slope", "intercept", "rms").checkpoint()
+        now = kept(held.join(sizes, keys).select(*keys, F.lit(track).alias("track"), "id", "slope", "intercept", "rms"))
         if now.isEmpty():
             break
         found = now if found is None else found.unionByName(now)
         # keys without a line have no more to find
-        left = left.join(now.select(*keys).distinct(), keys, "left_semi").join(now.select(*keys, "id"), [*keys, "id"], "left_anti").checkpoint()
+        left = kept(left.join(now.select(*keys).distinct(), keys, "left_semi").join(now.select(*keys, "id"), [*keys, "id"], "left_anti"))
     if found is None:
         return left.where("false").select(*keys, F.lit(0).alias("track"), "id", *[F.lit(0.0).alias(c) for c in ("slope", "intercept", "rms")])
     return found
@@ -342,12 +341,12 @@ def potentials(edges: DataFrame) -> DataFrame:
     The least root spreads over edges with the difference to it, a round a hop, halving chains by taking over what the
     root so far knows; a component with an edge whose ends disagree is contradictory.  Rounds are kept in the checkpoint folder.
     """
-    both = edges.select("a", "b", "delta").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("delta")).alias("delta"))).checkpoint()
-    state = both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("potential")).checkpoint()
+    both = kept(edges.select("a", "b", "delta").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("delta")).alias("delta"))))
+    state = kept(both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("potential")))
     while True:
         told = both.join(state.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "root", (F.col("potential") + F.col("delta")).alias("potential"))
         hop = state.select("node", F.col("root").alias("via"), F.col("potential").alias("near")).join(state.select(F.col("node").alias("via"), "root", F.col("potential").alias("far")), "via").select("node", "root", (F.col("near") + F.col("far")).alias("potential"))
-        new = state.union(told).union(hop).groupBy("node").agg(F.min(F.struct("root", "potential")).alias("x")).select("node", "x.*").checkpoint()
+        new = kept(state.union(told).union(hop).groupBy("node").agg(F.min(F.struct("root", "potential")).alias("x")).select("node", "x.*"))
         if new.join(state.withColumnRenamed("root", "old"), "node").where("root <> old").isEmpty():
             break
         state = new

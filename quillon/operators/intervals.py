@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.operators.fitting import potentials
 from quillon.operators.ordered import streamed
 from quillon.operators.pairs import near_pairs  # noqa: F401  an interval join like the others here
+from quillon.sources.shared import kept
 
 
 def _buckets(start: str, end: str, width: int) -> Column:
@@ -70,14 +71,14 @@ def mutual_best(pairs: DataFrame, left: str, right: str, cost: str, rounds: int
     """
     order = F.struct(cost, left, right)
     taken: list[DataFrame] = []
-    rest = pairs.select(left, right, cost).checkpoint()
+    rest = kept(pairs.select(left, right, cost))
     for _ in range(rounds):
         if rest.isEmpty():
             break
         best = lambda side: rest.groupBy(side).agg(F.min(order).alias("x")).select("x.*")  # noqa: B023, E731
-        now = best(left).join(best(right), [left, right, cost]).checkpoint()
+        now = kept(best(left).join(best(right), [left, right, cost]))
         taken.append(now)
-        rest = rest.join(now.select(left), left, "left_anti").join(now.select(right), right, "left_anti").checkpoint()
+        rest = kept(rest.join(now.select(left), left, "left_anti").join(now.select(right), right, "left_anti"))
     if not rest.isEmpty():
         # left and right numbers may be equal: they are nodes of two kinds
         edges = rest.select((F.col(left) * 2).alias("a"), (F.col(right) * 2 + 1).alias("b"), F.lit(0).cast("long").alias("delta"))
@@ -93,7 +94,7 @@ def mutual_best(pairs: DataFrame, left: str, right: str, cost: str, rounds: int
 
         kind = {"bigint": "long"}.get(rest.schema[cost].dataType.simpleString(), rest.schema[cost].dataType.simpleString())
         found = streamed(rows, ["_root"], [cost, left, right], [left, right, cost], f"_root long, {left} long, {right} long, {cost} {kind}", set, step)
-        taken.append(found.drop("_root").checkpoint())
+        taken.append(kept(found.drop("_root")))
     out = pairs.select(left, right, cost).where("false")
     for now in taken:
         out = out.unionByName(now)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import fitting, partitions
 from quillon.operators.ordered import wrapped
+from quillon.sources.shared import kept
 
 
 def lifted_line(points: DataFrame, lines: DataFrame, keys: list[str], period: float, rounds: int = 4) -> DataFrame:
@@ -36,19 +37,19 @@ def peeled(points: DataFrame, keys: list[str], slopes: list[float], period: floa
 
     track, slope, intercept, rms, n (points within the gate of the refined line).
     """
-    rest, found = points.checkpoint(), None
+    rest, found = kept(points), None
     for track in range(tracks):
         best = fitting.hough_lines(fitting.hough_votes(rest, keys, "t", "v", "w", slopes, period, bins), keys, 1).where(F.col("support") >= least)
         seed = best.select(*keys, F.element_at(F.array(*map(F.lit, slopes)), F.col("slope_index") + 1).alias("slope"), ((F.col("bin") + 0.5) * period / bins).alias("intercept"))
         around = _near(rest, seed, keys, period, gate).select(*points.columns)
-        line = lifted_line(around, seed, keys, period).where(F.col("n") >= least).checkpoint()
+        line = kept(lifted_line(around, seed, keys, period).where(F.col("n") >= least))
         if line.isEmpty():
             break
         taken = _near(rest, line.drop("n"), keys, period, gate).select(*keys, "id")
         counts = taken.groupBy(*keys).agg(F.count("*").alias("n"))
         now = line.drop("n").join(counts, keys).withColumn("track", F.lit(track))
         found = now if found is None else found.unionByName(now)
-        rest = rest.join(taken, [*keys, "id"], "left_anti").checkpoint()
+        rest = kept(rest.join(taken, [*keys, "id"], "left_anti"))
     empty = points.select(*keys).where("false").selectExpr(*keys, "0D as slope", "0D as intercept", "0D as rms", "0L as n", "0 as track")
     return empty if found is None else found.select(*keys, "track", "slope", "intercept", "rms", "n")
 
@@ -63,13 +64,13 @@ def hard_assignment(points: DataFrame, lines: DataFrame, keys: list[str], period
     for _ in range(rounds):
         near = _near(points, lines.select(*keys, "track", "slope", "intercept"), keys, period, gate)
         place = F.row_number().over(Window.partitionBy(*keys, "id").orderBy(F.abs("residual"), "track"))
-        own = near.withColumn("_r", place).where("_r = 1").select(*points.columns, "track").checkpoint()
+        own = kept(near.withColumn("_r", place).where("_r = 1").select(*points.columns, "track"))
         if before is not None:
             moved = own.select(*keys, "id", "track").join(before.select(*keys, "id", F.col("track").alias("_was")), [*keys, "id"], "full").where("not (track <=> _was)")
             if moved.isEmpty():
                 break
         before = own
-        lines = lifted_line(own, lines, [*keys, "track"], period, 1).checkpoint()
+        lines = kept(lifted_line(own, lines, [*keys, "track"], period, 1))
     return lines, before.select(*keys, "id", "track")
 
 
@@ -106,13 +107,13 @@ def seeded(points: DataFrame, lines: DataFrame, keys: list[str], period: float,
     for _ in range(rounds):
         near = _near(points, lines.select(*keys, "track", "slope", "intercept"), keys, period, gate)
         best = near.groupBy(*keys, "track", "probe").agg(F.min(F.struct(F.abs("residual").alias("r"), "id", "t", "v", "w")).alias("x"))
-        own = best.select(*keys, "track", "probe", "x.id", "x.t", "x.v", "x.w").checkpoint()
+        own = kept(best.select(*keys, "track", "probe", "x.id", "x.t", "x.v", "x.w"))
         if before is not None:
             moved = own.select(*keys, "track", "probe", "id").join(before.select(*keys, "track", "probe", F.col("id").alias("_was")), [*keys, "track", "probe"], "full").where("not (id <=> _was)")
             if moved.isEmpty():
                 break
         before = own
-        lines = lifted_line(own, lines, [*keys, "track"], period, 1).checkpoint()
+        lines = kept(lifted_line(own, lines, [*keys, "track"], period, 1))
     return lines, before.select(*keys, "track", "probe", "id")
 
 
@@ -122,21 +123,21 @@ def merged(segments: DataFrame, gap: int, gate: float) -> DataFrame:
 
     A merged group has the first one's number and start, the last one's end, and members; groups that overlap in time don't merge.
     """
-    rows = segments.withColumn("members", F.lit(1).cast("long")).checkpoint()
+    rows = kept(segments.withColumn("members", F.lit(1).cast("long")))
     while True:
         # a segment's next is the first that begins after its end
         order = Window.partitionBy("path").orderBy("a", "track")
         pairs = rows.withColumns({f"n_{c}": F.lead(c).over(order) for c in ("track", "a", "b", "fa", "fb", "members")}).where(f"n_track is not null and n_a > b and n_a - b <= {gap}")
-        pairs = pairs.withColumn("cost", (F.col("n_a") - F.col("b")) / float(gap) + F.abs(F.col("n_fa") - F.col("fb")) / gate).where("cost <= 1").checkpoint()
+        pairs = kept(pairs.withColumn("cost", (F.col("n_a") - F.col("b")) / float(gap) + F.abs(F.col("n_fa") - F.col("fb")) / gate).where("cost <= 1"))
         either = pairs.select("path", "track", "cost", F.explode(F.array("track", "n_track")).alias("s"))
         least = either.groupBy("path", "s").agg(F.min(F.struct("cost", "track")).alias("x"))
         taken = pairs.join(least.select("path", F.col("s").alias("track"), F.col("x").alias("l")), ["path", "track"]).join(least.select("path", F.col("s").alias("n_track"), F.col("x").alias("r")), ["path", "n_track"])
-        taken = taken.where("l.track = track and r.track = track").drop("l", "r", "cost").checkpoint()
+        taken = kept(taken.where("l.track = track and r.track = track").drop("l", "r", "cost"))
         if taken.isEmpty():
             return rows
         gone = taken.select("path", "track").union(taken.select("path", F.col("n_track").alias("track")))
         joined = taken.selectExpr("path", "track", "a", "n_b as b", "fa", "n_fb as fb", "members + n_members as members")
-        rows = rows.join(gone, ["path", "track"], "left_anti").unionByName(joined).checkpoint()
+        rows = kept(rows.join(gone, ["path", "track"], "left_anti").unionByName(joined))
 
 
 def best_partition(points: DataFrame, lines: DataFrame, keys: list[str], period: float, gate: float, gap: float, most: int) -> DataFrame:
@@ -151,7 +152,7 @@ def best_partition(points: DataFrame, lines: DataFrame, keys: list[str], period:
     spans = near.groupBy(*keys, "track").agg(F.min("t").alias("first"), F.max("t").alias("last"))
     # lines are numbered anew, so that those without points leave no hole
     place = (F.row_number().over(Window.partitionBy(*keys).orderBy("track")) - 1).alias("line")
-    spans = spans.join(lines.select(*keys, "track", "slope", "intercept"), [*keys, "track"]).select(*keys, "track", "first", "last", "slope", "intercept", place).checkpoint()
+    spans = kept(spans.join(lines.select(*keys, "track", "slope", "intercept"), [*keys, "track"]).select(*keys, "track", "first", "last", "slope", "intercept", place))
     sizes = spans.groupBy(*keys).agg(F.count("*").cast("int").alias("size"))
     every = partitions.set_partitions(sizes, "size", most).select(*keys, "blocks")
     mask = lambda b: F.aggregate(F.transform(F.col("blocks"), lambda x, i: F.when(x == b, F.call_function("shiftleft", F.lit(1), i)).otherwise(0)), F.lit(0), lambda s, x: s + x)
@@ -162,7 +163,7 @@ def best_partition(points: DataFrame, lines: DataFrame, keys: list[str], period:
     allowed = listed.where(joined).select(*keys, "mask", F.col("head.slope").alias("hs"), F.col("head.intercept").alias("hi"))
     own = near.select(*keys, "id", "t", "v", "track").join(spans.select(*keys, "track", "line"), [*keys, "track"]).join(allowed, keys).where("(shiftright(mask, line) & 1) = 1")
     head = F.col("hs") * F.col("t") + F.col("hi")
-    own = own.select(*keys, "mask", "id", "t", (head + wrapped(F.col("v") - head, period)).alias("y")).distinct().checkpoint()
+    own = kept(own.select(*keys, "mask", "id", "t", (head + wrapped(F.col("v") - head, period)).alias("y")).distinct())
     fit = own.groupBy(*keys, "mask").agg(F.coalesce(F.regr_slope("y", "t"), F.lit(0.0)).alias("slope"), F.coalesce(F.regr_intercept("y", "t"), F.avg("y")).alias("intercept"))
     cost = own.join(fit, [*keys, "mask"]).groupBy(*keys, "mask").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("y") - F.col("slope") * F.col("t") - F.col("intercept"))).alias("deviations"))
     # a partition with a block that isn't allowed has fewer costs than blocks

@@ -11,7 +11,7 @@ from quillon.plans.acquisition_queries import PERIOD, _vectors
 from quillon.plans.registry import query
 from quillon.plans.slice_queries import recording
 from quillon.sources import slices
-from quillon.sources.shared import ensure_checkpoint_dir
+from quillon.sources.shared import kept
 
 #: Samples of a window, of a step of the survey and of the dense stage, and of a range; windows that the survey hands on, and dense ones on each side.
 LENGTH, EVERY, DENSE, REACH, BEST = 40, 72, 8, 1024, 2
@@ -52,8 +52,7 @@ def window_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("d26_dense_acquisition")
 def dense_acquisition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole acquisition on every dense window that begins within a survey's best window, and there alone."""
-    ensure_checkpoint_dir(spark)
-    top = best_windows(window_survey(spark, sf_dir)).select("stream", F.col("start").alias("surveyed")).checkpoint()
+    top = kept(best_windows(window_survey(spark, sf_dir)).select("stream", F.col("start").alias("surveyed")))
     starts = top.select("stream", "surveyed", F.explode(F.sequence(F.col("surveyed"), F.col("surveyed") + LENGTH - 1, F.lit(DENSE).cast("long"))).alias("start"))
     dense = _windows(spark, sf_dir, DENSE).join(starts.select("stream", "start").distinct(), ["stream", "start"], "left_semi")
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> SparkSession:
@@ -15,3 +16,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> SparkSession:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
     return spark
+
+
+def kept(frame: DataFrame) -> DataFrame:
+    """The same rows, computed once, from a table in the shared folder.
+
+    For rounds: a checkpoint's size stays the estimate of the plan behind it, joins multiply these, and after a dozen rounds the planner
+    multiplies numbers of millions of digits.  A table's size is what its files have.
+    """
+    spark = ensure_checkpoint_dir(frame.sparkSession)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = held.get() if held.isDefined() else spark.conf.get("spark.checkpoint.dir")
+    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
