@@ -21,8 +21,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> SparkSession:
 def kept(frame: DataFrame) -> DataFrame:
     """The same rows, computed once, from a table in the shared folder.
 
-    For rounds: a checkpoint's size stays the estimate of the plan behind it, joins multiply these, and after a dozen rounds the planner
-    multiplies numbers of millions of digits.  A table's size is what its files have.
+    For rounds: a checkpoint hands on the estimates of the plan behind it, and after a dozen rounds of joins the planner was found standing still over
+    them.  A table's estimate is the size of its files, whatever led there.
     """
     spark = ensure_checkpoint_dir(frame.sparkSession)
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
