@@ -6,6 +6,7 @@ nothing is cut at midnight or at any other fixed time.
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -255,22 +256,35 @@ def _hints(points: DataFrame, links: DataFrame, step: float) -> DataFrame:
     return rows.select(*[c for c in points.columns if c not in ("slope", "acceleration")], F.coalesce(slope, "slope").alias("slope"), F.coalesce(bend, "acceleration").alias("acceleration"))
 
 
-def covered_paths(points: DataFrame, keys: list[str], reach: int, step: float, weights: tuple[float, float, float, float], most: tuple[float, float, float], ends: float, rounds: int = 12) -> tuple[DataFrame, bool, int]:
-    """The cover of points by paths of least cost, refitted until it stays: (keys, id, head, place), whether it stayed, and the rounds it took.
+def covered_paths(points: DataFrame, keys: list[str], reach: int, step: float, weights: tuple[float, float, float, float], most: tuple[float, float, float], ends: float, rounds: int = 12) -> DataFrame:
+    """The cover of each key's points by paths of least cost, refitted until it stays: keys, id, head, place, converged and rounds.
 
     A path costs ``ends`` and each of its links what ``link_costs`` says; a link is worth its cost below ``ends``.  After a round each point's slope and
-    acceleration are those of its path, and links are weighed again; ends when no link changes, or after ``rounds`` without a cover that stays.
+    acceleration are those of its path, and links are weighed again.  A key is done when none of its links changes (converged), or after ``rounds`` rounds, with the
+    last one's cover; only keys that aren't done go on.
     """
     points = kept(points.select(*keys, "id", "t", "f", "slope", "acceleration"))
-    before, current = None, points
-    for k in range(1, rounds + 1):
+    current, before = points, None
+    chosen: list[DataFrame] = []
+    told: list[DataFrame] = []
+    for k in range(1, max(2, rounds) + 1):
         edges = kept(link_costs(current, keys, reach, step, weights, most).where((F.col("status") == "admissible") & (F.col("cost") < ends)))
         pieces = _pieces(current, edges, keys).select("piece", "a", "b", "cost").repartition("piece").sortWithinPartitions("piece", "a", "b")
         links = kept(pieces.mapInArrow(lambda batches: _solved(batches, ends), "a long, b long, head long"))
-        sign = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sign == before or k == rounds:
-            order = linked_order(points.select(F.col("id").alias("node")), links)
-            return points.select(*keys, "id").join(order.withColumnRenamed("node", "id"), "id"), sign == before, k
-        before, current = sign, kept(_hints(current, links, step))
-    raise ValueError("at least one round is needed")
-
+        owned = links.join(points.select(*keys, F.col("id").alias("a")), "a")
+        signs = owned.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        now = kept(current.select(*keys).distinct().join(signs, keys, "left"))
+        if before is None:  # single points keep their hints, so without a link the next round would find none either
+            settled = kept(now.where("n is null").select(*keys, F.lit(True).alias("converged"), F.lit(2).alias("rounds")))
+        else:
+            same = now.join(before.withColumnsRenamed({"n": "_n", "h": "_h"}), keys).withColumn("converged", F.expr("n <=> _n and h <=> _h"))
+            settled = kept(same.where(F.col("converged") | F.lit(k >= rounds)).select(*keys, "converged", F.lit(k).alias("rounds")))
+        chosen.append(owned.join(settled.select(*keys), keys, "left_semi").select("a", "b"))
+        told.append(settled)
+        before = kept(now.join(settled.select(*keys), keys, "left_anti"))
+        if before.isEmpty():
+            break
+        current = kept(_hints(current.join(before.select(*keys), keys, "left_semi"), links, step))
+    union = lambda frames: functools.reduce(DataFrame.unionByName, frames)
+    order = linked_order(points.select(F.col("id").alias("node")), union(chosen))
+    return points.select(*keys, "id").join(order.withColumnRenamed("node", "id"), "id").join(union(told), keys)

@@ -36,9 +36,9 @@ def cover_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k23_covered_paths")
 def covered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every observation with its branch (its first observation), its place there, and whether the cover stayed when hints were refitted."""
-    found, stayed, rounds = chains.covered_paths(cover_points(ship(spark), sf_dir), ["path"], **COVER)
-    return found.select("path", "id", F.col("head").alias("branch"), "place", F.lit(stayed).alias("converged"), F.lit(rounds).alias("rounds"))
+    """Every observation with its branch (its first observation), its place there, and whether its path's cover stayed when hints were refitted, and after how many rounds."""
+    found = chains.covered_paths(cover_points(ship(spark), sf_dir), ["path"], **COVER)
+    return found.select("path", "id", F.col("head").alias("branch"), "place", "converged", "rounds")
 
 
 @query("u06_linked_branches", f"""WITH RECURSIVE {OBSERVATIONS_SQL}, n AS (SELECT id, path, t_us, lag(id) OVER w AS before, abs(cents - lag(cents) OVER w) <= 3000 AND t_us - lag(t_us) OVER w <= {8 * HOUR} AS linked FROM obs WINDOW w AS (PARTITION BY path ORDER BY t_us, id)),
