@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from quillon.operators import fitting
+from quillon.operators import filters, fitting
 from quillon.sources.tables import micros
 
 
@@ -70,9 +70,9 @@ class TrackFilter(StatefulProcessor):
         out = [(key[0], i, t, None, None, None, True) for t, i, _ in late]
         if ready:
             held = self.track.get() if self.track.exists() else None
-            before, state = (held[0], tuple(held[2:])) if held else (ready[0][0], fitting.kalman_start(ready[0][2], MEASUREMENT))
+            before, state = (held[0], tuple(held[2:])) if held else (ready[0][0], filters.kalman_start(ready[0][2], MEASUREMENT))
             for t, i, z in ready:
-                state, taken = fitting.kalman_step(state, (t - before) / 3.6e9, z, PROCESS, MEASUREMENT, GATE)
+                state, taken = filters.kalman_step(state, (t - before) / 3.6e9, z, PROCESS, MEASUREMENT, GATE)
                 before = t
                 out.append((key[0], i, t, state[0], state[1], taken, False))
             self.track.update((ready[-1][0], ready[-1][1], *state))
@@ -92,7 +92,7 @@ def filtered(stream: DataFrame, late: str = "2 hours") -> DataFrame:
     # the grouped rows carry no watermark column: with one, late rows would be dropped before the filter sees them
     rows = stream.withWatermark("ts", late).select("path", "id", "cents", "t_us", F.unix_micros("ts").alias("ts_us"))
     # the worker that sets up the state runs beside the driver and has no archive of this package: what it needs goes by value
-    modules = [importlib.import_module(x) for x in (__name__, fitting.__name__)]
+    modules = [importlib.import_module(x) for x in (__name__, filters.__name__)]
     for module in modules:
         cloudpickle.register_pickle_by_value(module)
     try:
