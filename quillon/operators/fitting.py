@@ -336,3 +336,41 @@ def potentials(edges: DataFrame) -> DataFrame:
     ends = both.join(state.select(F.col("node").alias("a"), "root", F.col("potential").alias("pa")), "a").join(state.select(F.col("node").alias("b"), F.col("potential").alias("pb")), "b")
     wrong = ends.groupBy("root").agg(F.bool_or(F.col("pb") != F.col("pa") + F.col("delta")).alias("contradictory"))
     return state.join(wrong, "root").select("node", "root", "potential", "contradictory")
+
+
+def spanning(one: np.ndarray, other: np.ndarray, linked: np.ndarray, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (a, b, delta: b = a + delta) of a spanning forest of the graph that joins one[i] and other[j] where linked, and an edge that its component's forest
+    contradicts, if there is one.  With any other edges this has the components, differences and contradictions of the whole graph.
+
+    Nodes may be on both sides; delta is other's potential less one's.
+    """
+    nodes, place = np.unique(np.concatenate([one, other]), return_inverse=True)
+    at_one, at_other = place[: len(one)], place[len(one) :]
+    row, column = (np.full(len(nodes), -1) for _ in range(2))
+    row[at_one], column[at_other] = np.arange(len(one)), np.arange(len(other))
+    across, turned = np.ascontiguousarray(linked.T), np.ascontiguousarray(delta.T)
+    root, potential = np.full(len(nodes), -1), np.zeros(len(nodes), np.int64)
+    a, b, d = [], [], []
+    for start in range(len(nodes)):
+        if root[start] >= 0:
+            continue
+        root[start], todo = start, [start]
+        while todo:
+            k = todo.pop()
+            for own, met, ends, step, sign in ((row[k], linked, at_other, delta, 1), (column[k], across, at_one, turned, -1)):
+                if own < 0:
+                    continue
+                j = np.flatnonzero(met[own])
+                j = j[root[ends[j]] < 0]
+                if len(j):
+                    new = ends[j]
+                    root[new], potential[new] = start, potential[k] + sign * step[own, j]
+                    todo.extend(new.tolist())
+                    a.append(np.full(len(j), nodes[k]))
+                    b.append(nodes[new])
+                    d.append(sign * step[own, j])
+    i, j = np.nonzero(linked & (potential[at_other][None, :] - potential[at_one][:, None] != delta))
+    _, first = np.unique(root[at_one[i]], return_index=True)
+    i, j = i[first], j[first]
+    join = lambda parts, last: np.concatenate([*parts, last]).astype(np.int64)
+    return join(a, one[i]), join(b, other[j]), join(d, delta[i, j])

@@ -6,25 +6,51 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.operators import acquisition, fitting, tracks
+from quillon.operators import acquisition, blocks, fitting, tracks
 from quillon.operators.ordered import wrapped
 from quillon.plans.acquisition_queries import _MAP, PERIOD as FRAME, _vectors, dwell_confirmation, multi_basin
 from quillon.plans.association_queries import lift_classification
-from quillon.plans.interval_queries import _days, overlap_alias_pairs
+from quillon.plans.interval_queries import _days
 from quillon.plans.registry import query
 from quillon.plans.track_queries import _SLOPES, PERIOD, _points
-from quillon.sources.shared import ensure_checkpoint_dir
+from quillon.session import ship
+from quillon.sources.shared import ensure_checkpoint_dir, kept
 from quillon.sources.tables import OBSERVATIONS_SQL, observations, table
 
 HOUR = 3_600_000_000
 KEYS = ["path", "week"]
 
 
+def alias_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the equivalent pairs that ``j09_overlap_alias_pairs`` lists, those that say the same: of each pair of blocks a spanning forest and what contradicts it."""
+    tracks = kept(_days(ensure_checkpoint_dir(ship(spark)), sf_dir).selectExpr("path % 15 as scope", "day", "track", "a", "b", "fa", "fb"))
+    period = int(PERIOD)
+
+    def work(one, other):
+        linked, delta = np.zeros((len(one["track"]), len(other["track"])), bool), np.zeros((len(one["track"]), len(other["track"])), np.int32)
+        ya, yb, yfa, yfb, y = (other[c] for c in ("a", "b", "fa", "fb", "track"))
+        for start in range(0, len(linked), 128):
+            xa, xb, xfa, xfb, x = (one[c][start : start + 128, None] for c in ("a", "b", "fa", "fb", "track"))
+            over = (x != y) & (xa < yb) & (ya < xb)
+            u, v = np.maximum(xa, ya), np.minimum(xb, yb)
+
+            def d(i, u=u, v=v, xa=xa, xb=xb, xfa=xfa, xfb=xfb):
+                t = u + i * (v - u) / 15.0
+                return (xfa + (xfb - xfa) * (t - xa) / (xb - xa)) - (yfa + (yfb - yfa) * (t - ya) / (yb - ya))
+
+            multiple = np.rint((d(7) + d(8)) / 2 / period)
+            worst = np.maximum(np.abs(d(0) - multiple * period), np.abs(d(15) - multiple * period))
+            linked[start : start + 128], delta[start : start + 128] = over & (worst <= 2500), -multiple
+        return fitting.spanning(one["track"], other["track"], linked, delta)
+
+    return blocks.each(tracks, tracks, ["scope", "day"], ("track", "track"), "a long, b long, delta long", work, once=True)
+
+
 @query("k19_alias_map")
 def alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks that are one but for whole multiples of the period: their component's least track, the multiple to it, and whether the component agrees."""
-    edges = overlap_alias_pairs(ensure_checkpoint_dir(spark), sf_dir).where("equivalent").select(F.col("left_track").alias("a"), F.col("right_track").alias("b"), (-F.col("delta")).alias("delta"))
-    return fitting.potentials(edges)
+    """Tracks that are one but for whole multiples of the period: their component's least track, the multiple to it, and whether the component agrees.
+    In a component that doesn't, the multiple is that of one way to the least track."""
+    return fitting.potentials(alias_edges(spark, sf_dir))
 
 
 @query("k20_dealiased_bank")
