@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.rounding import rounded
 from quillon.operators import aggregates as agg
 from quillon.operators import kernels
 from quillon.plans.registry import query
@@ -23,7 +24,9 @@ def window_power_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = rows.groupBy("path", F.expr(f"t_us div {HOUR}").alias("window")).agg(F.count("*").alias("n"), F.sum(F.col("cents") * F.col("cents")).alias("energy"))
     whole = agg.dense_windows(rows, "path", "t_us", HOUR).join(sums, ["path", "window"], "left")
     found = agg.power(F.col("energy"), F.col("n"))
-    whole = whole.select("path", "window", F.coalesce("n", F.lit(0)).alias("n"), "energy", F.round(found["mean_power"], 12).alias("mean_power"), F.round(found["power_db"], 6).alias("power_db"), F.col("n").isNull().alias("empty"))
+    # an hour whose observations are all zero has power, though none in decibels
+    found["power_db"] = F.when(F.col("energy") == 0, F.lit(float("-inf"))).otherwise(found["power_db"])
+    whole = whole.select("path", "window", F.coalesce("n", F.lit(0)).alias("n"), "energy", rounded(found["mean_power"], 12).alias("mean_power"), rounded(found["power_db"], 6).alias("power_db"), F.col("n").isNull().alias("empty"))
     return whole.selectExpr("path", "window", "n", "energy", "mean_power", "power_db", "count_if(empty) over (partition by path) as uncovered")
 
 
