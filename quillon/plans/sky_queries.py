@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import sky
+from quillon.functions.rounding import rounded
 from quillon.plans.registry import query
 from quillon.sources.tables import OBSERVATIONS_SQL, observations, table
 
@@ -51,7 +52,7 @@ def look_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, z = sky.geodetic_to_ecef(F.col("lat"), F.col("lon"), F.col("h"))
     ox, oy, oz = sky.geodetic_to_ecef(F.lit(48.0), F.lit(11.0), F.lit(0.0))
     az, el, reach = sky.look_angles(F.lit(48.0), F.lit(11.0), x - ox, y - oy, z - oz)
-    return rows.select("object", F.round(az, 4).alias("azimuth"), F.round(el, 4).alias("elevation"), F.round(reach, 3).alias("range_km"))
+    return rows.select("object", rounded(az, 4).alias("azimuth"), rounded(el, 4).alias("elevation"), rounded(reach, 3).alias("range_km"))
 
 
 @query("g07_two_pass_field", f"""WITH {_DIR}, u AS (SELECT *, acos(greatest(-1, least(1, cos(radians(el)) * cos(radians(50)) * cos(radians(az - 120)) + sin(radians(el)) * sin(radians(50))))) * 180 / pi() AS sep FROM dir),
