@@ -120,23 +120,35 @@ def by_key(rows: DataFrame, keys: list[str], order: list[str], columns: list[str
     types = [kinds[part.split(" ")[1]] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, parts = None, []
+        held, parts, found = None, [], []
+
+        def close() -> None:
+            found.append((*held, *fit(*[x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*parts, strict=True)])))
 
         def out() -> pa.RecordBatch:
-            found = (*held, *fit(*[np.concatenate(x) for x in zip(*parts, strict=True)]))
-            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(found, types, strict=True)], names)
+            batch = pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*found, strict=True), types, strict=True)], names)
+            found.clear()
+            return batch
 
         for batch in batches:
             own = np.stack([batch.column(k).to_numpy() for k in keys], 1)
+            values = [batch.column(c).to_numpy() for c in columns]
             bounds = np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1
             for a, b in zip([0, *bounds], [*bounds, len(own)], strict=True):
                 if b > a:
-                    if held is not None and tuple(own[a].tolist()) != held:
-                        yield out()
+                    key = tuple(own[a].tolist())
+                    if held is not None and key != held:
+                        close()
                         parts = []
-                    held = tuple(own[a].tolist())
-                    parts.append([batch.column(c).to_numpy()[a:b].copy() for c in columns])
+                    held = key
+                    parts.append([v[a:b] for v in values])
+            # a key may go on in the next batch, whose memory isn't this one's
+            if len(own):
+                parts[-1] = [v.copy() for v in parts[-1]]
+            if found:
+                yield out()
         if held is not None:
+            close()
             yield out()
 
     return rows.select(*dict.fromkeys([*keys, *order, *columns])).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

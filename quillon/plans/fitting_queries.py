@@ -84,17 +84,16 @@ def huber_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of a path and day: groups bounded by what a day holds."""
-    return _points(ship(spark), sf_dir).withColumn("day", F.floor(F.col("t") / 24))
+    return _points(ship(spark), sf_dir).withColumn("day", F.floor(F.col("t") / 24)).withColumn("v", F.col("cents").cast("double"))
 
 
 @query("k06_ransac_lines")
 def ransac_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def fit(rows: pd.DataFrame):
-        rows = rows.sort_values(["t", "id"])
-        hits, slope, intercept = fitting.ransac_line(rows["t"].to_numpy(), rows["cents"].to_numpy(float), 1000.0, 2000.0)
-        return {"n": [len(rows)], "inliers": [hits], "slope": [round(slope, 6)], "intercept": [round(intercept, 4)]}
+    def fit(t, v):
+        hits, slope, intercept = fitting.ransac_line(t, v, 1000.0, 2000.0)
+        return len(t), hits, round(slope, 6), round(intercept, 4)
 
-    return fitting.by_group(_daily(spark, sf_dir), ["path", "day"], "path long, day long, n long, inliers long, slope double, intercept double", fit, "day div 14")
+    return fitting.by_key(_daily(spark, sf_dir), ["path", "day"], ["t", "id"], ["t", "v"], "path long, day long, n long, inliers long, slope double, intercept double", fit)
 
 
 #: Reach of a pair in microseconds, partners drawn for a point, periods that a partner may be lifted; the rest as ``fitting.consensus_lines`` names it.
@@ -114,24 +113,21 @@ def consensus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k07_dp_tracks")
 def dp_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def fit(rows: pd.DataFrame):
-        rows = rows.sort_values(["t", "id"])
-        length, cost = fitting.best_chain(rows["t"].to_numpy(), rows["cents"].to_numpy(float), 12.0, 4000.0, 1.0, 0.1, 0.0002)
-        return {"n": [len(rows)], "length": [length], "cost": [round(cost, 6)]}
+    def fit(t, v):
+        length, cost = fitting.best_chain(t, v, 12.0, 4000.0, 1.0, 0.1, 0.0002)
+        return len(t), length, round(cost, 6)
 
-    return fitting.by_group(_daily(spark, sf_dir), ["path", "day"], "path long, day long, n long, length long, cost double", fit, "day div 14")
+    return fitting.by_key(_daily(spark, sf_dir), ["path", "day"], ["t", "id"], ["t", "v"], "path long, day long, n long, length long, cost double", fit)
 
 
 @query("k23_path_cover")
 def path_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def fit(rows: pd.DataFrame):
-        rows = rows.sort_values(["t", "id"])
-        t, v = rows["t"].to_numpy(), rows["cents"].to_numpy(float)
+    def fit(t, v):
         edges = [(i, j, abs(v[j] - v[i]) / 4000 + 0.15 * max(0.0, round((t[j] - t[i]) / 1.0) - 1)) for i in range(len(t)) for j in range(i + 1, len(t)) if 0 < t[j] - t[i] <= 8]
         cost, follow = fitting.path_cover(len(t), edges, 4.0)
-        return {"n": [len(t)], "edges": [sum(x >= 0 for x in follow)], "cost": [round(cost, 6)]}
+        return len(t), sum(x >= 0 for x in follow), round(cost, 6)
 
-    return fitting.by_group(_daily(spark, sf_dir), ["path", "day"], "path long, day long, n long, edges long, cost double", fit, "day div 14")
+    return fitting.by_key(_daily(spark, sf_dir), ["path", "day"], ["t", "id"], ["t", "v"], "path long, day long, n long, edges long, cost double", fit)
 
 
 @query("k27_kalman_tracks")
