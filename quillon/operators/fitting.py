@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import grouped
 from quillon.operators.filters import kalman_start, kalman_step
-from quillon.operators.pairs import near_pairs
 from quillon.sources.shared import kept
 
 
@@ -203,12 +203,49 @@ def ransac_line(t: np.ndarray, v: np.ndarray, gate: float, steepest: float) -> t
     return best
 
 
-def _draws(points: DataFrame, keys: list[str], reach: int, draws: int) -> DataFrame:
-    """Pairs (keys, i, ti, vi, j, tj, vj) of each point and the later ones within reach (of u, an integer time) that a hash of both ids draws."""
-    side = lambda s: points.select(*keys, *[F.col(c).alias(f"{s}{c}") for c in ("id", "u", "t", "v")])
-    pairs = near_pairs(side("i"), side("j"), keys, "iu", "ju", reach)
-    place = F.row_number().over(Window.partitionBy(*keys, "iid").orderBy(F.xxhash64("iid", "jid"), "jid"))
-    return pairs.withColumn("_n", place).where(F.col("_n") <= draws).drop("_n")
+def _draws(ident: np.ndarray, u: np.ndarray, reach: int, draws: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places i and j, and a hash of both ids, of each point (in order of u, an integer time) and the later ones within reach that the hash draws."""
+    found = []
+    for i, j in grouped.later(u, reach):
+        h = grouped.hashed(ident[i], ident[j])
+        own = np.lexsort((ident[j], h, i))
+        own = own[np.arange(len(own)) - np.searchsorted(i[own], i[own], "left") < draws]
+        found.append((i[own], j[own], h[own]))
+    return tuple(np.concatenate([f[n] for f in found]) if found else np.zeros(0, np.int64) for n in range(3))
+
+
+def _consensus(ident: np.ndarray, u: np.ndarray, t: np.ndarray, v: np.ndarray, reach: int, draws: int, lifts: int, period: float, gate: float, steepest: float, step: float, support: int) -> tuple[np.ndarray, float, float, float] | None:
+    """The points of one key's best line, its slope, intercept and rms."""
+    wrapped = lambda x: grouped.wrapped(x, period)
+    buckets = int(period // gate)
+    bucket = lambda x: np.floor(grouped.pmod(x, period) * buckets / period).astype(np.int64)
+    i, j, h = _draws(ident, u, reach, draws)
+    lift = np.tile(np.arange(-lifts, lifts + 1), len(i))
+    i, j, h = (np.repeat(x, 2 * lifts + 1) for x in (i, j, h))
+    slope = (v[j] + lift * period - v[i]) / (t[j] - t[i])
+    flat = np.abs(slope) <= steepest
+    i, j, h, lift, slope = i[flat], j[flat], h[flat], lift[flat], slope[flat]
+    if not len(i):
+        return None
+    used, s = np.unique(grouped.half_up(slope / step), return_inverse=True)
+    votes = np.zeros(len(used) * buckets, np.int64)
+    for start in range(0, len(t), 4096):
+        b = bucket(v[None, start : start + 4096] - (used * step)[:, None] * t[None, start : start + 4096])
+        votes += np.bincount((np.arange(len(used))[:, None] * buckets + b).ravel(), minlength=len(votes))
+    own = bucket(v[i] - used[s] * step * t[i])
+    score = sum(votes[s * buckets + (own + d) % buckets] for d in (-1, 0, 1))
+    k = np.lexsort((lift, ident[j], ident[i], h, -score))[0]
+    line = v[i[k]] - slope[k] * t[i[k]] + slope[k] * t
+    off = wrapped(v - line)
+    near = np.abs(off) <= gate
+    fit = grouped.line(t[near], (line + off)[near]) if near.any() else None
+    if fit is None:
+        return None
+    off = wrapped(v - fit[1] - fit[0] * t)
+    held = np.abs(off) <= gate
+    if held.sum() < support:
+        return None
+    return held, *fit, float(np.sqrt((off[held] ** 2).mean()))
 
 
 def consensus_lines(points: DataFrame, keys: list[str], reach: int, draws: int, lifts: int, period: float, gate: float, steepest: float, step: float, support: int, tracks: int) -> DataFrame:
@@ -219,37 +256,25 @@ def consensus_lines(points: DataFrame, keys: list[str], reach: int, draws: int,
     beside it (buckets as wide as the gate), at its slope to the next ``step``: points are counted once for each slope that hypotheses use, not for each hypothesis.  The
     one with the most (ties: the smallest hash, then ids and lift) is held against the points themselves: those within the gate are lifted to it, fitted by least
     squares, and those within the gate of the fit are the line's.  Lines with the support stay, their points go, and the rest is searched again.  Nothing
-    depends on how rows are dealt.
+    depends on how rows are dealt.  Points travel once, to where their key is; hypotheses and votes, which are many more, stay there.
     """
-    left = kept(points.select(*keys, "id", "u", "t", "v"))
-    found: DataFrame | None = None
-    wrapped = lambda x: F.pmod(x + period / 2, F.lit(period)) - period / 2
-    buckets = int(period // gate)
-    bucket = lambda slope: F.floor(F.pmod(F.col("v") - slope * F.col("t"), F.lit(period)) * buckets / period).cast("int")
-    for track in range(1, tracks + 1):
-        drawn = _draws(left, keys, reach, draws).withColumn("lift", F.explode(F.sequence(F.lit(-lifts), F.lit(lifts))))
-        drawn = drawn.withColumn("slope", (F.col("jv") + F.col("lift") * period - F.col("iv")) / (F.col("jt") - F.col("it"))).where(F.abs("slope") <= steepest)
-        drawn = kept(drawn.withColumn("s", F.round(F.col("slope") / step).cast("int")).select(*keys, "iid", "jid", "lift", F.col("it").alias("t"), F.col("iv").alias("v"), "slope", "s"))
-        votes = left.join(drawn.select(*keys, "s").distinct(), keys).groupBy(*keys, "s", bucket(F.col("s") * step).alias("b")).agg(F.count("*").alias("n"))
-        own = drawn.withColumn("b", bucket(F.col("s") * step)).select("*", F.explode(F.array(*[F.pmod(F.col("b") + d, F.lit(buckets)) for d in (-1, 0, 1)])).alias("near")).drop("b")
-        scored = own.join(votes.withColumnRenamed("b", "near"), [*keys, "s", "near"]).groupBy(*keys, "iid", "jid", "lift", "t", "v", "slope").agg(F.sum("n").alias("score"))
-        order = F.struct((-F.col("score")).alias("a"), F.xxhash64("iid", "jid").alias("b"), F.col("iid"), F.col("jid"), F.col("lift"))
-        best = scored.groupBy(*keys).agg(F.min_by(F.struct("slope", (F.col("v") - F.col("slope") * F.col("t")).alias("start")), order).alias("x")).select(*keys, "x.*")
-        rows = left.join(best, keys).withColumn("line", F.col("start") + F.col("slope") * F.col("t"))
-        near = rows.where(F.abs(wrapped(F.col("v") - F.col("line"))) <= gate).withColumn("lifted", F.col("line") + wrapped(F.col("v") - F.col("line")))
-        fits = near.groupBy(*keys).agg(F.regr_slope("lifted", "t").alias("slope"), F.regr_intercept("lifted", "t").alias("intercept")).where("slope is not null")
-        off = wrapped(F.col("v") - F.col("intercept") - F.col("slope") * F.col("t"))
-        held = left.join(fits, keys).withColumn("off", off).where(F.abs("off") <= gate)
-        sizes = held.groupBy(*keys).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("off") * F.col("off"))).alias("rms")).where(F.col("n") >= support)
-        now = kept(held.join(sizes, keys).select(*keys, F.lit(track).alias("track"), "id", "slope", "intercept", "rms"))
-        if now.isEmpty():
-            break
-        found = now if found is None else found.unionByName(now)
-        # keys without a line have no more to find
-        left = kept(left.join(now.select(*keys).distinct(), keys, "left_semi").join(now.select(*keys, "id"), [*keys, "id"], "left_anti"))
-    if found is None:
-        return left.where("false").select(*keys, F.lit(0).alias("track"), "id", *[F.lit(0.0).alias(c) for c in ("slope", "intercept", "rms")])
-    return found
+
+    def fit(ident, u, t, v):
+        left, found = np.arange(len(ident)), []
+        for track in range(1, tracks + 1):
+            best = _consensus(ident[left], u[left], t[left], v[left], reach, draws, lifts, period, gate, steepest, step, support)
+            if best is None:
+                break
+            held, *numbers = best
+            own = ident[left[held]]
+            found.append((np.full(len(own), track), own, *[np.full(len(own), x) for x in numbers]))
+            left = left[~held]
+        return [np.concatenate([f[n] for f in found]) for n in range(5)] if found else [np.zeros(0)] * 5
+
+    columns = ["id", "u", "t", "v"]
+    whole = points.select(*keys, *columns).dropna()
+    schema = ", ".join([*[f"{k} long" for k in keys], "track int, id long, slope double, intercept double, rms double"])
+    return grouped.by_keys(whole, keys, ["u", "id"], columns, schema, grouped.each_key(fit, keys, columns, [np.int32, np.int64, float, float, float]))
 
 
 def best_chain(t: np.ndarray, v: np.ndarray, reach: float, gate: float, point: float, gap: float, change: float) -> tuple[int, float]:

@@ -107,7 +107,7 @@ def consensus_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("k06_consensus_lines")
 def consensus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several lines of a path, found by drawn hypotheses and peeled."""
-    found = fitting.consensus_lines(consensus_points(spark, sf_dir), ["path"], **CONSENSUS)
+    found = fitting.consensus_lines(consensus_points(ship(spark), sf_dir), ["path"], **CONSENSUS)
     return found.select("path", "track", "id", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("rms", 4).alias("rms"))
 
 
