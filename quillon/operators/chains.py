@@ -1,20 +1,17 @@
 """Chains of points: tracks detected before they are thresholded, least-cost path covers with hints refitted, and the order along successor links.
 
-Everything is dealt by path and time and read in order, so a task holds the points within one gap, or one piece of a graph whose edges overlap in time;
-nothing is cut at midnight or at any other fixed time.
+Tracks and covers are dealt by path, and a task works on the arrays of whole paths; nothing is cut at midnight or at any other fixed time.
 """
 
 from __future__ import annotations
 
-import functools
 import heapq
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators import ordered
+from quillon.operators import grouped
 from quillon.operators.intervals import near_pairs
 from quillon.sources.shared import kept
 
@@ -49,47 +46,62 @@ def linked_order(nodes: DataFrame, links: DataFrame) -> DataFrame:
 # --- track before detect -----------------------------------------------------------------------------------------
 
 
-def _circular(x: float, period: float) -> float:
-    return abs((x + period / 2) % period - period / 2)
-
-
-def _survivors(points: DataFrame, keys: list[str], slopes: list[float], gap: float, gate: float, period: float, point: float, bend: float, wait: float) -> DataFrame:
-    """Each point's best chain that ends in it, for each slope: keys, slope_index, id, t, score, length and the point before."""
-
-    def step(held, row):
-        ident, t, f, w, s = row
-        held = [p for p in held if t - p[0] <= gap]
-        best = (w - point, 1, 0, None)
-        for bt, bf, score, length, bid in held:
-            dt = t - bt
-            if dt <= 0:
+def _best_chains(t: np.ndarray, ident: np.ndarray, f: np.ndarray, w: np.ndarray, slopes: np.ndarray, gap: float, gate: float, period: float, point: float, bend: float, wait: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, length and the place before (or -1) of each point's best chain that ends in it, for each slope; ties to the longer chain, then the smaller id."""
+    first, last = np.searchsorted(t, t - gap, "left"), np.searchsorted(t, t, "left")
+    score, length, before = np.empty((len(t), len(slopes))), np.ones((len(t), len(slopes)), np.int64), np.full((len(t), len(slopes)), -1)
+    every = np.arange(len(slopes))
+    for start in range(0, len(t), 256):
+        stop = min(start + 256, len(t))
+        many = (last - first)[start:stop]
+        j = np.repeat(np.arange(start, stop), many)
+        begin = np.cumsum(many) - many
+        i = np.arange(len(j)) - np.repeat(begin, many) + first[j]
+        dt = t[j] - t[i]
+        off = np.abs(np.mod((f[j] - f[i])[:, None] - slopes * dt[:, None] + period / 2, period) - period / 2)
+        cost = np.where((off <= gate) & (dt <= gap)[:, None], bend * (off / gate) ** 2, np.inf)
+        rest = (wait * dt)[:, None]
+        for k in range(start, stop):
+            alone = w[k] - point
+            score[k] = alone
+            n, b, lo = many[k - start], begin[k - start], first[k]
+            if not n:
                 continue
-            off = _circular(f - bf - slopes[s] * dt, period)
-            if off <= gate:
-                found = (score + w - point - bend * (off / gate) ** 2 - wait * dt, length + 1, -bid, bid)
-                if found[:3] > best[:3]:
-                    best = found
-        held.append((t, f, best[0], best[1], ident))
-        return held, (ident, t, best[0], best[1], best[3])
-
-    turned = points.withColumn("slope_index", F.explode(F.sequence(F.lit(0), F.lit(len(slopes) - 1))))
-    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString().replace('bigint', 'long')}" for k in keys)
-    return ordered.streamed(turned, [*keys, "slope_index"], ["t", "id"], ["id", "t", "f", "w", "slope_index"], f"{kinds}, slope_index int, id long, t double, score double, length int, before long", list, step)
-
-
-def _traced(survivors: DataFrame, keys: list[str]) -> DataFrame:
-    """The chain of each key and slope with the best end: read backwards, a task needs to know only which point it waits for."""
-    own = [*keys, "slope_index"]
-    ends = survivors.groupBy(*own).agg(F.max(F.struct("score", "length", (-F.col("id")).alias("m"))).alias("x")).select(*own, F.col("x.score").alias("total"), (-F.col("x.m")).alias("end"))
-    rows = survivors.join(ends, own).withColumn("late", -F.col("t")).withColumn("last", -F.col("id"))
-
-    def step(wanted, row):
-        ident, before, end, total = row
-        wanted = end if wanted == "end" else wanted
-        return (before, (ident, total)) if ident == wanted else (wanted, None)
-
-    kinds = ", ".join(f"{k} {survivors.schema[k].dataType.simpleString().replace('bigint', 'long')}" for k in own)
-    return ordered.streamed(rows, own, ["late", "last"], ["id", "before", "end", "total"], f"{kinds}, id long, total double", lambda: "end", step)
+            found = score[lo : lo + n] + w[k] - point - cost[b : b + n] - rest[b : b + n]
+            at = found.argmax(axis=0)
+            top = found[at, every]
+            if (tied := (found == top).sum(axis=0) > 1).any():
+                for s in np.flatnonzero(tied & (top > -np.inf)):
+                    equal = np.flatnonzero(found[:, s] == top[s])
+                    at[s] = equal[np.lexsort((ident[lo + equal], -length[lo + equal, s]))[0]]
+            better = top >= alone
+            score[k][better], length[k][better], before[k][better] = top[better], length[lo + at, every][better] + 1, lo + at[better]
+    return score, length, before
+
+
+def _best_track(t: np.ndarray, ident: np.ndarray, f: np.ndarray, w: np.ndarray, slopes: np.ndarray, gap: float, gate: float, period: float, point: float, bend: float, wait: float, support: int, span: float):
+    """Places of the best track's points, its slope, intercept, rms, first time and span; None without one."""
+    score, length, before = _best_chains(t, ident, f, w, slopes, gap, gate, period, point, bend, wait)
+    best = None
+    for s in range(len(slopes)):
+        top = np.flatnonzero(score[:, s] == score[:, s].max())
+        k = int(top[np.lexsort((ident[top], -length[top, s]))[0]])
+        total, chain = float(score[k, s]), []
+        while k >= 0:
+            chain.append(k)
+            k = int(before[k, s])
+        own = np.array(chain[::-1])
+        dt = t[own] - t[own[0]]
+        if len(own) < support or dt[-1] < span:
+            continue
+        lifted = f[own] + period * grouped.half_up((f[own[0]] + slopes[s] * dt - f[own]) / period)
+        fit = grouped.line(dt, lifted)
+        if fit is None:
+            continue
+        off = lifted - fit[1] - fit[0] * dt
+        if np.abs(off).max() <= gate and (best is None or (total, len(own), -s) > best[0]):
+            best = (total, len(own), -s), own, *fit, float(np.sqrt((off * off).mean())), float(t[own[0]]), float(dt[-1])
+    return best and best[1:]
 
 
 def detected_tracks(points: DataFrame, keys: list[str], slopes: list[float], gap: float, gate: float, period: float, point: float, bend: float, wait: float, support: int, span: float, tracks: int) -> DataFrame:
@@ -99,37 +111,28 @@ def detected_tracks(points: DataFrame, keys: list[str], slopes: list[float], gap
     point, ``bend`` for leaving the slope by the gate (squared), and ``wait`` for each unit of time between points; points of one time don't follow each other, and
     values are equal modulo the period.  A slope's chain is fitted by a line; it counts if it has the support and the span and no point
     of it is off by more than the gate.  The best (weight of its chain, points, slope) is a track; its points and all others within the gate of its line and its
-    time go, and the search is repeated.
+    time go, and the search is repeated.  Points travel once, to where their key is.
     """
-    left = kept(points.select(*keys, "id", "t", "f", "w"))
-    out: DataFrame | None = None
-    for track in range(1, tracks + 1):
-        survivors = kept(_survivors(left, keys, slopes, gap, gate, period, point, bend, wait))
-        chains = _traced(survivors, keys).join(left.select(*keys, "id", "t", "f"), [*keys, "id"])
-        own = [*keys, "slope_index"]
-        first = chains.groupBy(*own).agg(F.min(F.struct("t", "f")).alias("x")).select(*own, F.col("x.t").alias("t0"), F.col("x.f").alias("f0"))
-        slope = F.element_at(F.array(*map(F.lit, slopes)), F.col("slope_index") + 1)
-        chains = chains.join(first, own).withColumn("dt", F.col("t") - F.col("t0"))
-        chains = kept(chains.withColumn("lifted", F.col("f") + F.lit(period) * F.round((F.col("f0") + slope * F.col("dt") - F.col("f")) / F.lit(period))))
-        fits = chains.groupBy(*own, "t0", "total").agg(F.count("*").alias("n"), F.max("dt").alias("span"), F.regr_slope("lifted", "dt").alias("slope"), F.regr_intercept("lifted", "dt").alias("intercept"))
-        off = F.col("lifted") - F.col("intercept") - F.col("slope") * F.col("dt")
-        worst = chains.join(fits.select(*own, "slope", "intercept"), own).groupBy(*own).agg(F.max(F.abs(off)).alias("worst"), F.sqrt(F.avg(off * off)).alias("rms"))
-        good = fits.join(worst, own).where((F.col("n") >= support) & (F.col("span") >= span) & (F.col("worst") <= gate))
-        best = kept(good.groupBy(*keys).agg(F.max(F.struct("total", "n", (-F.col("slope_index")).alias("minus"), "t0", "span", "slope", "intercept", "rms")).alias("x")).select(*keys, F.lit(track).alias("track"), (-F.col("x.minus")).alias("slope_index"), "x.t0", "x.span", "x.slope", "x.intercept", "x.rms"))
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("t", "id")).alias("place")
-        found = kept(chains.join(best.select(*own, "track", "slope", "intercept", "rms"), own).select(*keys, "track", "id", place, "slope", "intercept", "rms"))
-        if found.isEmpty():
-            break
-        out = found if out is None else out.unionByName(found)
-        near = left.join(best.select(*keys, "t0", "span", "slope", "intercept"), keys, "left")
-        dt = F.col("t") - F.col("t0")
-        residual = F.abs(F.pmod(F.col("f") - F.col("intercept") - F.col("slope") * dt + period / 2, F.lit(period)) - period / 2)
-        gone = (dt >= 0) & (dt <= F.col("span")) & (residual <= gate)
-        # keys without a track have no more to find
-        left = kept(near.where(F.col("t0").isNotNull() & ~gone).select(*keys, "id", "t", "f", "w").join(found.select(*keys, "id"), [*keys, "id"], "left_anti"))
-    if out is None:
-        return left.where("false").select(*keys, F.lit(0).alias("track"), "id", F.lit(0).alias("place"), *[F.lit(0.0).alias(c) for c in ("slope", "intercept", "rms")])
-    return out
+    assumed = np.array(slopes)
+
+    def fit(ident, t, f, w):
+        left, found = np.arange(len(ident)), []
+        for track in range(1, tracks + 1):
+            best = _best_track(t[left], ident[left], f[left], w[left], assumed, gap, gate, period, point, bend, wait, support, span) if len(left) else None
+            if best is None:
+                break
+            own, slope, intercept, rms, t0, length = best
+            found.append((np.full(len(own), track), ident[left[own]], np.arange(1, len(own) + 1), *[np.full(len(own), x) for x in (slope, intercept, rms)]))
+            dt = t[left] - t0
+            gone = (dt >= 0) & (dt <= length) & (np.abs(grouped.wrapped(f[left] - intercept - slope * dt, period)) <= gate)
+            gone[own] = True
+            left = left[~gone]
+        return [np.concatenate([x[n] for x in found]) for n in range(6)] if found else [np.zeros(0)] * 6
+
+    columns = ["id", "t", "f", "w"]
+    whole = points.select(*keys, *columns).dropna()
+    schema = ", ".join([*[f"{k} long" for k in keys], "track int, id long, place int, slope double, intercept double, rms double"])
+    return grouped.by_keys(whole, keys, ["t", "id"], columns, schema, grouped.each_key(fit, keys, columns, [np.int32, np.int64, np.int32, float, float, float]))
 
 
 # --- least-cost path cover ---------------------------------------------------------------------------------------
@@ -184,30 +187,6 @@ def matched(edges: list[tuple[int, int, float]], ends: float) -> dict[int, int]:
     return follow
 
 
-def _solved(batches: Iterator[pa.RecordBatch], ends: float) -> Iterator[pa.RecordBatch]:
-    """Chosen links with the first point of their chain.  Edges come piece by piece, a task holds one, and no chain leaves its piece."""
-    key, held = None, []
-
-    def out(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
-        follow, rows = matched(found, ends), []
-        for head in follow.keys() - set(follow.values()):
-            a = head
-            while a in follow:
-                rows.append((a, follow[a], head))
-                a = follow[a]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["a", "b", "head"])
-
-    for batch in batches:
-        for own, *edge in zip(batch.column("piece").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("cost").to_pylist(), strict=True):
-            if own != key:
-                if held:
-                    yield out(held)
-                key, held = own, []
-            held.append(tuple(edge))
-    if held:
-        yield out(held)
-
-
 def link_costs(points: DataFrame, keys: list[str], reach: int, step: float, weights: tuple[float, float, float, float], most: tuple[float, float, float]) -> DataFrame:
     """keys, a, b, status, missed and cost of the pairs of points at most ``reach`` apart in time.
 
@@ -225,35 +204,38 @@ def link_costs(points: DataFrame, keys: list[str], reach: int, step: float, weig
     return pairs.select(*keys, F.col("xid").alias("a"), F.col("yid").alias("b"), "xt", "yt", status.alias("status"), missed.cast("long").alias("missed"), cost.alias("cost"))
 
 
-def _pieces(points: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """edges with piece: points in order fall apart where no edge goes across, and edges of different pieces have no point in common."""
-    far = edges.groupBy("a").agg(F.max("yt").alias("far"))
-    order = Window.partitionBy(*keys).orderBy("t", "id")
-    reach = F.max("far").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = points.select(*keys, "id", "t").join(far.withColumnRenamed("a", "id"), "id", "left")
-    rows = rows.withColumn("new", F.when(F.coalesce(reach, F.lit(-(1 << 62))) < F.col("t"), F.col("id")))
-    rows = rows.withColumn("piece", F.last("new", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return edges.join(rows.select(F.col("id").alias("a"), "piece"), "a")
-
-
-def _hints(points: DataFrame, links: DataFrame, step: float) -> DataFrame:
-    """points with slope and acceleration of a least-squares parabola (a line for two points) through their chain; single points keep theirs."""
-    heads = links.select(F.col("b").alias("id"), "head").union(links.where("a = head").select(F.col("a").alias("id"), "head"))
-    rows = points.join(heads, "id", "left").withColumn("head", F.coalesce("head", "id"))
-    start = rows.groupBy("head").agg(F.min("t").alias("t0"), F.count("*").alias("n"), F.avg("f").alias("mean"))
-    rows = rows.join(start, "head").withColumn("u", (F.col("t") - F.col("t0")) / F.lit(step)).withColumn("g", F.col("f") - F.col("mean"))
-    sums = rows.where("n > 1").groupBy("head").agg(*[F.sum(F.pow("u", F.lit(float(k)))).alias(f"s{k}") for k in range(5)], *[F.sum(F.pow("u", F.lit(float(k))) * F.col("g")).alias(f"y{k}") for k in range(3)])
-    s0, s1, s2, s3, s4, y0, y1, y2 = (F.col(c) for c in ("s0", "s1", "s2", "s3", "s4", "y0", "y1", "y2"))
-    line = (s0 * y1 - s1 * y0) / (s0 * s2 - s1 * s1)
-    # the parabola by the sums about the means of u and u^2
-    a, b, c = s2 - s1 * s1 / s0, s3 - s1 * s2 / s0, s4 - s2 * s2 / s0
-    p, q = y1 - s1 * y0 / s0, y2 - s2 * y0 / s0
-    det = a * c - b * b
-    curved = (s0 > 2) & (F.abs(det) > 1e-9 * a * c)
-    fits = sums.select("head", F.when(curved, (p * c - q * b) / det).otherwise(line).alias("c1"), F.when(curved, (a * q - b * p) / det).otherwise(0.0).alias("c2"))
-    rows = rows.join(fits, "head", "left")
-    slope, bend = F.col("c1") + 2 * F.col("c2") * F.col("u"), 2 * F.col("c2")
-    return rows.select(*[c for c in points.columns if c not in ("slope", "acceleration")], F.coalesce(slope, "slope").alias("slope"), F.coalesce(bend, "acceleration").alias("acceleration"))
+def _links(ident: np.ndarray, t: np.ndarray, f: np.ndarray, slope: np.ndarray, acceleration: np.ndarray, reach: int, step: float, weights: tuple[float, float, float, float], most: tuple[float, float, float], ends: float) -> list[tuple[int, int, float]]:
+    """The links of one key's points that are admissible and cost less than ``ends``, as ``link_costs`` has them."""
+    found = []
+    for i, j in grouped.later(t, reach):
+        dt = (t[j] - t[i]) / step
+        off = np.abs(f[j] - f[i] - slope[i] * dt - 0.5 * acceleration[i] * dt * dt)
+        turn, bend = np.abs(slope[j] - slope[i]), np.abs(acceleration[j] - acceleration[i])
+        missed = np.maximum(np.rint(dt) - 1, 0.0)
+        cost = weights[0] * off / most[0] + weights[1] * turn / most[1] + weights[2] * bend / most[2] + weights[3] * missed
+        own = np.flatnonzero((off <= most[0]) & (turn <= most[1]) & (bend <= most[2]) & (cost < ends))
+        found += zip(ident[i[own]].tolist(), ident[j[own]].tolist(), cost[own].tolist(), strict=True)
+    return found
+
+
+def _hints(chain: np.ndarray, t: np.ndarray, f: np.ndarray, slope: np.ndarray, acceleration: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes and accelerations of least-squares parabolas (lines for two points) through the chains (numbers of each point's); single points keep theirs."""
+    n = np.bincount(chain)
+    t0 = np.full(len(n), np.iinfo(np.int64).max)
+    np.minimum.at(t0, chain, t)
+    u, g = (t - t0[chain]) / step, f - (np.bincount(chain, f) / n)[chain]
+    s0, s1, s2, s3, s4 = (np.bincount(chain, u**k) for k in range(5))
+    y0, y1, y2 = (np.bincount(chain, u**k * g) for k in range(3))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        line = (s0 * y1 - s1 * y0) / (s0 * s2 - s1 * s1)
+        # the parabola by the sums about the means of u and u^2
+        a, b, c = s2 - s1 * s1 / s0, s3 - s1 * s2 / s0, s4 - s2 * s2 / s0
+        p, q = y1 - s1 * y0 / s0, y2 - s2 * y0 / s0
+        det = a * c - b * b
+        curved = (s0 > 2) & (np.abs(det) > 1e-9 * a * c)
+        c1, c2 = np.where(curved, (p * c - q * b) / det, line), np.where(curved, (a * q - b * p) / det, 0.0)
+    several = (n > 1)[chain]
+    return np.where(several, c1[chain] + 2 * c2[chain] * u, slope), np.where(several, 2 * c2[chain], acceleration)
 
 
 def covered_paths(points: DataFrame, keys: list[str], reach: int, step: float, weights: tuple[float, float, float, float], most: tuple[float, float, float], ends: float, rounds: int = 12) -> DataFrame:
@@ -261,30 +243,33 @@ def covered_paths(points: DataFrame, keys: list[str], reach: int, step: float, w
 
     A path costs ``ends`` and each of its links what ``link_costs`` says; a link is worth its cost below ``ends``.  After a round each point's slope and
     acceleration are those of its path, and links are weighed again.  A key is done when none of its links changes (converged), or after ``rounds`` rounds, with the
-    last one's cover; only keys that aren't done go on.
+    last one's cover.  Points travel once, to where their key is; their links, which are weighed anew in each round, stay there.
     """
-    points = kept(points.select(*keys, "id", "t", "f", "slope", "acceleration"))
-    current, before = points, None
-    chosen: list[DataFrame] = []
-    told: list[DataFrame] = []
-    for k in range(1, max(2, rounds) + 1):
-        edges = kept(link_costs(current, keys, reach, step, weights, most).where((F.col("status") == "admissible") & (F.col("cost") < ends)))
-        pieces = _pieces(current, edges, keys).select("piece", "a", "b", "cost").repartition("piece").sortWithinPartitions("piece", "a", "b")
-        links = kept(pieces.mapInArrow(lambda batches: _solved(batches, ends), "a long, b long, head long"))
-        owned = links.join(points.select(*keys, F.col("id").alias("a")), "a")
-        signs = owned.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
-        now = kept(current.select(*keys).distinct().join(signs, keys, "left"))
-        if before is None:  # single points keep their hints, so without a link the next round would find none either
-            settled = kept(now.where("n is null").select(*keys, F.lit(True).alias("converged"), F.lit(2).alias("rounds")))
-        else:
-            same = now.join(before.withColumnsRenamed({"n": "_n", "h": "_h"}), keys).withColumn("converged", F.expr("n <=> _n and h <=> _h"))
-            settled = kept(same.where(F.col("converged") | F.lit(k >= rounds)).select(*keys, "converged", F.lit(k).alias("rounds")))
-        chosen.append(owned.join(settled.select(*keys), keys, "left_semi").select("a", "b"))
-        told.append(settled)
-        before = kept(now.join(settled.select(*keys), keys, "left_anti"))
-        if before.isEmpty():
-            break
-        current = kept(_hints(current.join(before.select(*keys), keys, "left_semi"), links, step))
-    union = lambda frames: functools.reduce(DataFrame.unionByName, frames)
-    order = linked_order(points.select(F.col("id").alias("node")), union(chosen))
-    return points.select(*keys, "id").join(order.withColumnRenamed("node", "id"), "id").join(union(told), keys)
+
+    def fit(ident, t, f, slope, acceleration):
+        place_of = {x: k for k, x in enumerate(ident.tolist())}
+        before = None
+        for k in range(1, max(2, rounds) + 1):
+            follow = matched(_links(ident, t, f, slope, acceleration, reach, step, weights, most, ends), ends)
+            head, place = ident.copy(), np.zeros(len(ident), np.int64)
+            for start in follow.keys() - set(follow.values()):
+                a, n = start, 0
+                while a in follow:
+                    a, n = follow[a], n + 1
+                    head[place_of[a]], place[place_of[a]] = start, n
+            # single points keep their hints, so without a link the next round would find none either
+            if not follow and before is None:
+                converged, k = True, 2
+                break
+            converged = follow == before
+            if converged or k >= max(2, rounds):
+                break
+            before = follow
+            slope, acceleration = _hints(np.unique(head, return_inverse=True)[1], t, f, slope, acceleration, step)
+        return ident, head, place, np.full(len(ident), converged), np.full(len(ident), k)
+
+    columns = ["id", "t", "f", "slope", "acceleration"]
+    # a point without a time or value has no links, but is a path
+    whole = points.select(*keys, "id", F.coalesce("t", F.lit(0)).alias("t"), F.when(F.col("t").isNotNull(), F.col("f")).alias("f"), "slope", "acceleration").dropna(subset=[*keys, "id"])
+    schema = ", ".join([*[f"{k} long" for k in keys], "id long, head long, place long, converged boolean, rounds int"])
+    return grouped.by_keys(whole, keys, ["t", "id"], columns, schema, grouped.each_key(fit, keys, columns, [np.int64, np.int64, np.int64, bool, np.int32]))
