@@ -93,9 +93,8 @@ def lift_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("k18_seeded_assignment")
 def seeded_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines seeded from votes, each taking one candidate of every probe (an hour) within the gate, refitted until no choice changes."""
-    points = _points(ensure_checkpoint_dir(spark), sf_dir).withColumn("probe", F.floor("t"))
-    votes = fitting.hough_lines(fitting.hough_votes(points, KEYS, "t", "v", "w", _SLOPES, PERIOD, 16), KEYS, 2)
-    seeds = votes.select(*KEYS, F.col("rank").alias("track"), F.element_at(F.array(*map(F.lit, _SLOPES)), F.col("slope_index") + 1).alias("slope"), ((F.col("bin") + 0.5) * PERIOD / 16).alias("intercept"))
+    points = _points(ensure_checkpoint_dir(ship(spark)), sf_dir).withColumn("probe", F.floor("t"))
+    seeds = tracks.voted_lines(points, KEYS, _SLOPES, PERIOD, 16, 2)
     lines, own = tracks.seeded(points, seeds, KEYS, PERIOD, 400.0)
     counts = own.groupBy(*KEYS, "track").agg(F.count("*").alias("probes"), F.min("id").alias("first_id"))
     return lines.join(counts, [*KEYS, "track"]).where("probes > 2").select(*KEYS, "track", "probes", "first_id", F.round("slope", 5).alias("slope"), F.round("intercept", 3).alias("intercept"))
@@ -175,7 +174,7 @@ def scan_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("k08_residual_partition")
 def residual_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines proposed by votes, each through what the ones before left, and put together by the least description length."""
-    points = _points(ensure_checkpoint_dir(spark), sf_dir)
-    lines = tracks.peeled(points, KEYS, _SLOPES, PERIOD, 16, 300.0, 4, 4)
+    points = _points(ensure_checkpoint_dir(ship(spark)), sf_dir)
+    lines = kept(tracks.peeled(points, KEYS, _SLOPES, PERIOD, 16, 300.0, 4, 4))
     found = tracks.best_partition(points, lines, KEYS, PERIOD, 300.0, 72.0, 4)
     return found.select(*KEYS, "blocks", "n", F.round("mdl", 4).alias("mdl"), F.round("deviations", 3).alias("deviations"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.operators import kernels, partitions, tracks
 from quillon.plans.catalog_queries import _S, _products, _sessions
 from quillon.plans.registry import query
+from quillon.session import ship
 from quillon.plans.track_queries import PERIOD, _points
 from quillon.sources.tables import OBSERVATIONS_SQL, SAMPLES_SQL, observations, samples, table
 
@@ -167,7 +168,7 @@ def trajectory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("k17_joint_polynomials")
 def joint_polynomials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By path and week the degree, 1 or 2, whose fit jointly with whole multiples of the period has the smaller criterion."""
-    fits = [tracks.lifted_polynomial(_points(spark, sf_dir), ["path", "week"], PERIOD, degree).withColumn("degree", F.lit(degree)) for degree in (1, 2)]
+    fits = [tracks.lifted_polynomial(_points(ship(spark), sf_dir), ["path", "week"], PERIOD, degree).withColumn("degree", F.lit(degree)) for degree in (1, 2)]
     both = fits[0].unionByName(fits[1]).withColumn("k", F.row_number().over(Window.partitionBy("path", "week").orderBy("bic", "degree"))).where("k = 1")
     return both.select("path", "week", "degree", "n", F.round("a0", 3).alias("a0"), F.round("a1", 5).alias("a1"), F.round("a2", 7).alias("a2"), F.round("rms", 3).alias("rms"), F.round("held_rms", 3).alias("held_rms"))
 

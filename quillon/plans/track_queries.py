@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.operators import fitting, kernels, tracks
+from quillon.operators import kernels, tracks
 from quillon.plans.registry import query
+from quillon.session import ship
 from quillon.sources.shared import ensure_checkpoint_dir
 from quillon.sources.tables import OBSERVATIONS_SQL, SAMPLES_SQL, observations, samples
 
@@ -31,14 +32,13 @@ def lifted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k05_peeled_tracks")
 def peeled_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks.peeled(_points(ensure_checkpoint_dir(spark), sf_dir), ["path", "week"], _SLOPES, PERIOD, 16, 300.0, 4, 3)
+    return tracks.peeled(_points(ship(spark), sf_dir), ["path", "week"], _SLOPES, PERIOD, 16, 300.0, 4, 3)
 
 
 @query("k15_hard_assignment")
 def hard_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _points(ensure_checkpoint_dir(spark), sf_dir)
-    votes = fitting.hough_lines(fitting.hough_votes(points, ["path", "week"], "t", "v", "w", _SLOPES, PERIOD, 16), ["path", "week"], 3)
-    seeds = votes.select("path", "week", F.col("rank").alias("track"), F.element_at(F.array(*map(F.lit, _SLOPES)), F.col("slope_index") + 1).alias("slope"), ((F.col("bin") + 0.5) * PERIOD / 16).alias("intercept"))
+    points = _points(ensure_checkpoint_dir(ship(spark)), sf_dir)
+    seeds = tracks.voted_lines(points, ["path", "week"], _SLOPES, PERIOD, 16, 3)
     lines, own = tracks.hard_assignment(points, seeds, ["path", "week"], PERIOD, 400.0)
     members = own.groupBy("path", "week", "track").agg(F.count("*").alias("members"))
     return lines.join(members, ["path", "week", "track"]).select("path", "week", "track", "members", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("rms", 4).alias("rms"))
