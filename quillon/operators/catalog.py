@@ -119,22 +119,24 @@ def topological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     behind one, and has no level.  An edge to a node that isn't there is an error.  Rounds are kept in the checkpoint folder.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
+    # a round's sides may be small, and rounds are many: none is sent through the driver to be broadcast
+    without = lambda rows, gone, key: rows.join(gone.hint("merge"), key, "left_anti")
     edges = edges.select("node", "needs").distinct().checkpoint()
-    missing = edges.join(nodes.select(F.col("node").alias("needs")), "needs", "left_anti").head(1)
+    missing = without(edges, nodes.select(F.col("node").alias("needs")), "needs").head(1)
     if missing:
         raise ValueError(f"node {missing[0]['node']} needs {missing[0]['needs']}, which isn't there")
     rest, open_edges, level = nodes.select("node").distinct().checkpoint(), edges, 0
     done = None
     while True:
-        free = rest.join(open_edges.select("node").distinct(), "node", "left_anti").checkpoint()
+        free = without(rest, open_edges.select("node").distinct(), "node").checkpoint()
         if free.isEmpty():
             break
         now = free.select("node", F.lit(level).alias("level"), F.lit(False).alias("cyclic"))
         done = now if done is None else done.union(now)
         if level % 16 == 15:
             done = done.checkpoint()
-        rest = rest.join(free, "node", "left_anti").checkpoint()
-        open_edges = open_edges.join(free.select(F.col("node").alias("needs")), "needs", "left_anti").checkpoint()
+        rest = without(rest, free, "node").checkpoint()
+        open_edges = without(open_edges, free.select(F.col("node").alias("needs")), "needs").checkpoint()
         level += 1
     left = rest.select("node", F.lit(None).cast("int").alias("level"), F.lit(True).alias("cyclic"))
     return left if done is None else done.union(left)
