@@ -50,7 +50,47 @@ def by_keys(rows: DataFrame, keys: list[str], order: list[str], columns: list[st
         if held:
             yield done({c: np.concatenate([p[c] for p in parts]) for c in wanted})
 
-    return rows.select(*wanted).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    # as many tasks as a shuffle has: what one does follows from the work, not from the bytes of what it reads
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*wanted).repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def in_step(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: str, start, step) -> DataFrame:
+    """A recurrence over each key's rows in order, like ``ordered.streamed``, with the keys of a batch side by side: ``step(state, columns)`` takes arrays with an entry
+    for each key and gives the new state (a tuple of arrays) and the arrays that come out, ``start(n)`` the state of n keys before their first row.
+
+    A task holds a batch and one state a key of it, however long a key is.  schema: the keys, then what comes out; columns are numbers, null as NaN.
+    """
+    fields = [tuple(part.split(" ")) for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(k).to_pylist() for k in keys]
+            named = list(zip(*own, strict=True))
+            starts = np.array([0, *[i for i in range(1, len(named)) if named[i] != named[i - 1]]])
+            sizes = np.diff(np.append(starts, len(named)))
+            values = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+            state = start(len(starts))
+            if named[0] == held:
+                for s, x in zip(state, last, strict=True):
+                    s[0] = x
+            out: list[np.ndarray] = []
+            for k in range(int(sizes.max())):
+                which = np.flatnonzero(sizes > k)
+                at = starts[which] + k
+                new, found = step(tuple(s[which] for s in state), [v[at] for v in values])
+                for s, x in zip(state, new, strict=True):
+                    s[which] = x
+                out = out or [np.empty(len(named), f.dtype) for f in found]
+                for o, f in zip(out, found, strict=True):
+                    o[at] = f
+            held, last = named[-1], [s[-1].copy() for s in state]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *[pa.array(o, _KINDS[kind]) for o, (_, kind) in zip(out, fields[len(keys) :], strict=True)]], [name for name, _ in fields])
+
+    return rows.select(*dict.fromkeys([*keys, *order, *columns])).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def each_key(fit, keys: list[str], columns: list[str], kinds: list[type]):

@@ -81,6 +81,45 @@ class FrameFilter:
         return (t, x, p, t if corrected else turned), (ident, bool(taken), *off.tolist(), *x.tolist(), math.sqrt(max(p[0, 0], 0.0)), slip, corrected)
 
 
+    def starts(self, n: int) -> tuple[np.ndarray, ...]:
+        """``start`` of n paths: whether there was a row, its time, the states, their covariance, and when a correction was found."""
+        return np.zeros(n, bool), np.zeros(n), np.zeros((n, 5)), np.zeros((n, 5, 5)), np.full(n, -math.inf)
+
+    def steps(self, state: tuple[np.ndarray, ...], row: list[np.ndarray]) -> tuple[tuple[np.ndarray, ...], list[np.ndarray]]:
+        """``step`` of many paths side by side."""
+        there, before, x, p, turned = state
+        ident, t, *measured, coherence = row
+        z, sigma, n = np.stack(measured, 1).astype(float), np.array(self.deviations), len(t)
+        seen = [0, 1, 3]
+        first_x = np.zeros((n, 5))
+        first_x[:, seen] = z
+        first_p = np.diag([sigma[0] ** 2, sigma[1] ** 2, self.acceleration**2, sigma[2] ** 2, self.densities[1]])
+        dt = np.where(there, t - before, 0.0)
+        f, noise = np.zeros((n, 5, 5)), np.zeros((n, 5, 5))
+        for at, order, density in ((0, 3, self.densities[0]), (3, 2, self.densities[1])):
+            for a in range(order):
+                for b in range(order):
+                    i, j = order - 1 - a, order - 1 - b
+                    noise[:, at + a, at + b] = density * dt ** (i + j + 1) / ((i + j + 1) * math.factorial(i) * math.factorial(j))
+                    if b >= a:
+                        f[:, at + a, at + b] = dt ** (b - a) / math.factorial(b - a)
+        x = np.where(there[:, None], (f @ x[:, :, None])[:, :, 0], first_x)
+        p = np.where(there[:, None, None], f @ p @ f.transpose(0, 2, 1) + noise, first_p)
+        off = z - x[:, seen]
+        off[:, 0] = (off[:, 0] + 0.5) % 1.0 - 0.5
+        taken = coherence >= self.least
+        slip = taken & (np.abs(off[:, 0]) >= self.slip)
+        corrected = taken & (np.abs(off[:, 1]) >= self.turn) & (t - turned >= self.apart)
+        r = np.zeros((n, 3, 3))
+        r[:, [0, 1, 2], [0, 1, 2]] = (sigma / np.where(taken, coherence, 1.0)[:, None]) ** 2
+        gain = np.linalg.solve(p[:, seen][:, :, seen] + r, p[:, seen]).transpose(0, 2, 1)
+        rest = np.repeat(np.eye(5)[None], n, 0)
+        rest[:, :, seen] -= gain
+        x = np.where(taken[:, None], x + (gain @ off[:, :, None])[:, :, 0], x)
+        p = np.where(taken[:, None, None], rest @ p @ rest.transpose(0, 2, 1) + gain @ r @ gain.transpose(0, 2, 1), p)
+        return (np.ones(n, bool), t, x, p, np.where(corrected, t, turned)), [ident, taken, *off.T, *x.T, np.sqrt(np.maximum(p[:, 0, 0], 0.0)), slip, corrected]
+
+
 class CarrierFilter:
     """Kalman filter with the states phase, rate, acceleration, frame phase and drift; irregular steps and Joseph updates.
 

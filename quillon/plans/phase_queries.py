@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import ordered, phase
+from quillon.operators import grouped, ordered, phase
 from quillon.plans.registry import query
 from quillon.session import ship
 from quillon.sources.tables import observations
@@ -34,7 +34,7 @@ def frame_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = ("phase", "rate", "acceleration", "frame", "drift")
     schema = ", ".join(["path long", "id long", "taken boolean", *[f"{c} double" for c in ("phase_off", "rate_off", "frame_off", *states, "phase_sigma")], "slip boolean", "corrected boolean"])
     rows = _rows(spark, sf_dir).withColumn("speed", F.pmod(F.col("code"), F.lit(517.0)) / 517.0 - 0.5)
-    found = ordered.streamed(rows, ["path"], ["t", "id"], ["id", "t", "carrier", "speed", "frame", "coherence"], schema, work.start, work.step)
+    found = grouped.in_step(rows, ["path"], ["t", "id"], ["id", "t", "carrier", "speed", "frame", "coherence"], schema, work.starts, work.steps)
     return found.select("path", "id", "taken", *[F.round(c, 6).alias(c) for c in ("phase_off", "rate_off", "frame_off", *states, "phase_sigma")], "slip", "corrected")
 
 

@@ -47,3 +47,51 @@ def test_voted_lines_are_those_of_the_votes(spark):
     votes = fitting.hough_lines(fitting.hough_votes(points, ["key"], "t", "v", "w", slopes, 500.0, 16), ["key"], 3)
     want = {(r.key, r.rank, slopes[r.slope_index], (r.bin + 0.5) * 500 / 16) for r in votes.collect()}
     assert {tuple(r) for r in tracks.voted_lines(points, ["key"], slopes, 500.0, 16, 3).collect()} == want
+
+
+def test_probes_are_listed_after_sessions_travel(spark, sf_dir, tmp_path):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    extra = orders.limit(40).withColumn("o_totalprice", F.col("o_totalprice") + 3)
+    orders.union(extra).write.parquet(f"{tmp_path}/orders.parquet")
+    found = registry.queries()["p01_probe_schedule"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate") and "Window" not in plan
+    want = {}
+    for r in orders.union(extra).selectExpr("o_orderkey as k", "cast(bround(o_totalprice, 0) as bigint) % 7 + 1 as n").collect():
+        want.setdefault(r.k, []).extend((s, w, o) for s in range(r.n) for w in range(2) for o in (0, 25))
+    got = {}
+    for r in found.orderBy("session", "place").collect():
+        assert r.source_count == len(want[r.session]) and r.place == len(got.setdefault(r.session, []))
+        got[r.session].append(r.start_ms)
+    assert got == {k: [s * 1000 + w * 500 + o for s, w, o in sorted(v)[:20]] for k, v in want.items()}
+
+
+def test_rounds_of_levels_send_nothing_to_the_driver(spark, monkeypatch):
+    from quillon.operators import catalog
+
+    frame = type(spark.range(1))
+    plans, checkpoint = [], frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or checkpoint(self, *a))
+    edges = [(i, i // 2) for i in range(1, 64)]
+    catalog.topological(spark.range(64).toDF("node"), spark.createDataFrame(edges, "node long, needs long")).collect()
+    joins = [p for p in plans if "Join" in p]
+    # small sides would be broadcast when they are known to be small, unless the join is told to merge
+    assert len(joins) > 10 and all("strategy=merge" in p for p in joins)
+
+
+def test_paths_side_by_side_are_filtered_as_one_by_one(spark):
+    from quillon.operators import ordered, phase
+
+    rng = np.random.default_rng(8)
+    n = 400
+    rows = [(int(k), i, float(t), *map(float, z), float(c)) for i, (k, t, z, c) in enumerate(zip(rng.integers(0, 9, n) ** 2, rng.uniform(0, 300, n), rng.uniform(-0.5, 0.5, (n, 3)), rng.uniform(0, 1, n), strict=True))]
+    frame = spark.createDataFrame(rows, "path long, id long, t double, a double, b double, c double, w double")
+    kinds = ["path long", "id long", "taken boolean", *[f"x{i} double" for i in range(9)], "slip boolean", "corrected boolean"]
+    work, columns = phase.FrameFilter(), ["id", "t", "a", "b", "c", "w"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
+    try:
+        one, other = ({r.id: tuple(r) for r in run(frame, ["path"], ["t", "id"], columns, ", ".join(kinds), *steps).collect()} for run, steps in ((ordered.streamed, (work.start, work.step)), (grouped.in_step, (work.starts, work.steps))))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert one.keys() == other.keys() and len(one) == n
+    assert all(other[i] == pytest.approx(one[i], abs=1e-9) for i in one)
