@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillon.operators import acquisition, intervals
 from quillon.plans.registry import query
 from quillon.session import ship
+from quillon.sources.shared import kept
 from quillon.sources.tables import SAMPLES_SQL, table
 
 PERIOD = 8
@@ -76,13 +77,12 @@ def full_acquisition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "outcome", "rank", "epoch", *[F.round(c, 6).alias(c) for c in ("frequency", "margin", "verify", "conditioned", "acquire")])
 
 
-@query("d17_multi_basin")
-def multi_basin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every method's score, control and margin in each basin of a vector."""
+def _basins(spark: SparkSession, sf_dir: str, most: int = acquisition.BASINS) -> DataFrame:
+    """Every method's score, control and margin in the first ``most`` basins of a vector."""
 
     def work(frames, x, t, scores):
         rows = []
-        for r, d in enumerate(acquisition.acquired(frames, x, t, scores)[1], 1):
+        for r, d in enumerate(acquisition.acquired(frames, x, t, scores)[1][:most], 1):
             exact, control = (acquisition.methods(*acquisition.symbols(x, p, frames, d["epoch"], d["frequency"], 2)) for p in (t, np.roll(t, acquisition.ROLL)))
             rows += [(r, d["frequency"], name, exact[name], control[name], exact[name] - control[name]) for name in acquisition.METHODS]
         return rows
@@ -91,10 +91,25 @@ def multi_basin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "rank", "method", *[F.round(c, 6).alias(c) for c in ("frequency", "exact", "control", "margin")])
 
 
+@query("d17_multi_basin")
+def multi_basin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every method's score, control and margin in each basin of a vector."""
+    return _basins(spark, sf_dir)
+
+
+def best_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best basins alone, searched once for all that is asked of them."""
+    return kept(_basins(spark, sf_dir, 1))
+
+
 @query("d27_dwell_confirmation")
 def dwell_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of the grid method in the best basin over the gate, confirmed by a later one of the same label near in frequency; the earlier is reported."""
-    best = multi_basin(spark, sf_dir).where(f"rank = 1 and method = 'glrt' and margin >= {GATE}")
+    return confirmed(spark, sf_dir, best_basins(spark, sf_dir))
+
+
+def confirmed(spark: SparkSession, sf_dir: str, basins: DataFrame) -> DataFrame:
+    best = basins.where(f"method = 'glrt' and margin >= {GATE}")
     hits = best.join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
     side = lambda s: hits.select("label", *[F.col(c).alias(f"{s}_{c}") for c in ("vec_id", "frequency")])
     pairs = intervals.near_pairs(side("x"), side("y"), ["label"], "x_vec_id", "y_vec_id", REACH)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import acquisition, blocks, fitting, tracks
 from quillon.operators.ordered import wrapped
-from quillon.plans.acquisition_queries import _MAP, PERIOD as FRAME, _vectors, dwell_confirmation, multi_basin
+from quillon.plans.acquisition_queries import _MAP, PERIOD as FRAME, _vectors, best_basins, confirmed
 from quillon.plans.association_queries import lift_classification
 from quillon.plans.interval_queries import _days
 from quillon.plans.registry import query
@@ -149,7 +149,7 @@ def merged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trajectory_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trajectories of a label's best basins by method and degree: rows over the method's gate (three scaled deviations of its negative margins)
     fitted by a line and a parabola, the better by criterion marked."""
-    rows = multi_basin(spark, sf_dir).where("rank = 1")
+    rows = best_basins(spark, sf_dir)
     noise = rows.where("margin < 0").groupBy("method").agg(F.median(F.abs("margin")).alias("mad"))
     over = rows.join(noise, "method", "left").where("margin > 3 * 1.4826D * coalesce(mad, 0D)")
     points = over.join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id").selectExpr("label", "method", "cast(vec_id as double) / 100 as t", "frequency * 1000 as v")
@@ -164,8 +164,9 @@ def trajectory_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("k32_scan_chain")
 def scan_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the scan on: confirmed hits, the label's line through their frequencies, and what lifts gain at them in replay."""
-    hits = dwell_confirmation(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
-    best = multi_basin(spark, sf_dir).where("rank = 1 and method = 'glrt'").select("vec_id", "frequency", "margin")
+    basins = best_basins(spark, sf_dir)
+    hits = confirmed(spark, sf_dir, basins).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    best = basins.where("method = 'glrt'").select("vec_id", "frequency", "margin")
     rows = hits.join(best, "vec_id").join(lift_replay(spark, sf_dir).select("vec_id", "lift", "delta"), "vec_id")
     found = rows.groupBy("label").agg(F.count("*").alias("hits"), F.regr_slope("frequency", F.col("vec_id").cast("double")).alias("slope"), F.avg("margin").alias("margin"), F.avg("delta").alias("gain"), F.count_if(F.col("lift") != 0).alias("lifted"))
     return found.select("label", "hits", F.round("slope", 9).alias("slope"), F.round("margin", 5).alias("margin"), F.round("gain", 5).alias("gain"), "lifted")

@@ -95,3 +95,13 @@ def test_paths_side_by_side_are_filtered_as_one_by_one(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert one.keys() == other.keys() and len(one) == n
     assert all(other[i] == pytest.approx(one[i], abs=1e-9) for i in one)
+
+
+@pytest.mark.parametrize("name", ["k16_trajectory_bank", "k32_scan_chain"])
+def test_basins_are_searched_once(spark, sf_dir, name, monkeypatch):
+    from quillon.plans import acquisition_queries
+
+    each, calls = acquisition_queries._basins, []
+    monkeypatch.setattr(acquisition_queries, "_basins", lambda *a: calls.append(a[2:]) or each(*a))
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert calls == [(1,)] and plan.count("MapInArrow") == (name == "k32_scan_chain")
