@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -52,36 +53,38 @@ class TrackFilter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = [(int(t), int(i), float(z)) for frame in rows for t, i, z in zip(frame["t_us"], frame["id"], frame["cents"], strict=True)]
-        last = self.track.get()[:2] if self.track.exists() else None
+        held = self.track.get()
+        last = held[:2] if held else None
         late = sorted(x for x in new if last is not None and x[:2] < last)
-        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        waiting = [tuple(x) for x in self.waiting.get()]
         waiting += [x for x in new if last is None or x[:2] >= last]
-        yield self._passed(key, waiting, timerValues.getCurrentWatermarkInMs(), late)
+        yield from self._passed(key, held, waiting, timerValues.getCurrentWatermarkInMs(), late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        yield self._passed(key, waiting, timerValues.getCurrentWatermarkInMs(), [])
+        yield from self._passed(key, self.track.get(), [tuple(x) for x in self.waiting.get()], timerValues.getCurrentWatermarkInMs(), [])
 
-    def _passed(self, key, waiting: list[tuple], watermark: int, late: list[tuple]) -> pd.DataFrame:
-        """Filters what the watermark has passed, keeps the rest and asks to be called when the watermark reaches the first of it."""
+    def _passed(self, key, held: tuple | None, waiting: list[tuple], watermark: int, late: list[tuple]) -> Iterator[pd.DataFrame]:
+        """Filters what the watermark has passed, keeps the rest and asks to be called when the watermark reaches the first of it.  Gives a frame only if there are rows:
+        paths are many, and most calls for one find nothing to give out."""
         waiting.sort()
         ready = [x for x in waiting if x[0] <= watermark * 1000]
         rest = waiting[len(ready) :]
-        out = [(key[0], i, t, None, None, None, True) for t, i, _ in late]
+        out = [(i, t, None, None, None, True) for t, i, _ in late]
         if ready:
-            held = self.track.get() if self.track.exists() else None
             before, state = (held[0], tuple(held[2:])) if held else (ready[0][0], filters.kalman_start(ready[0][2], MEASUREMENT))
             for t, i, z in ready:
                 state, taken = filters.kalman_step(state, (t - before) / 3.6e9, z, PROCESS, MEASUREMENT, GATE)
                 before = t
-                out.append((key[0], i, t, state[0], state[1], taken, False))
+                out.append((i, t, state[0], state[1], taken, False))
             self.track.update((ready[-1][0], ready[-1][1], *state))
         if rest:
             self.waiting.put(rest)
             self.handle.registerTimer(max(watermark + 1, rest[0][0] // 1000 + 1))
-        else:
+        elif ready:
             self.waiting.clear()
-        return pd.DataFrame(out, columns=["path", "id", "t_us", "level", "rate", "taken", "late"]).astype({"level": "float64", "rate": "float64", "taken": "object", "late": "bool"})
+        if out:
+            ids, times, level, rate, taken, was_late = zip(*out, strict=True)
+            yield pd.DataFrame({"path": [key[0]] * len(out), "id": ids, "t_us": times, "level": np.array(level, float), "rate": np.array(rate, float), "taken": np.array(taken, object), "late": np.array(was_late, bool)})
 
     def close(self) -> None:
         pass

@@ -80,3 +80,30 @@ print('ran')
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ran" in run.stdout, run.stderr[-3000:]
+
+
+def test_paths_without_rows_to_give_out_give_no_frame():
+    class Held:
+        def get(self):
+            return None
+
+    class Waiting:
+        def get(self):
+            return iter(())
+
+        def put(self, rows):
+            self.rows = rows
+
+    class Timers:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 0
+
+        def registerTimer(self, at):  # noqa: N802
+            self.at = at
+
+    work = tracks.TrackFilter()
+    work.track, work.waiting, work.handle = Held(), Waiting(), Timers()
+    work.track.exists = work.waiting.exists = lambda: False
+    frame = tracks.pd.DataFrame({"t_us": [5_000_000, 2_000_000], "id": [1, 2], "cents": [3, 4]})
+    assert list(work.handleInputRows((7,), iter([frame]), Timers())) == []
+    assert work.waiting.rows == [(2_000_000, 2, 4.0), (5_000_000, 1, 3.0)] and work.handle.at == 2001
