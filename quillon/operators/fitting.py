@@ -3,25 +3,166 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from quillon.operators import grouped
 from quillon.operators.filters import kalman_start, kalman_step
 from quillon.sources.shared import kept
 
 
+#: Bin of a point without a time or a value: beyond any other, so that it comes last among equals, as null does in SQL.
+_NO_BIN = (1 << 31) - 1
+
+
+class _Cells(NamedTuple):
+    """Cells of some keys, in order of key, slope and bin: summed weight, how many weights there were, and points."""
+
+    key: np.ndarray
+    slope: np.ndarray
+    bin: np.ndarray
+    votes: np.ndarray
+    known: np.ndarray
+    support: np.ndarray
+
+    def take(self, which: np.ndarray) -> _Cells:
+        return _Cells(*[x[which] for x in self])
+
+    def summed(self) -> _Cells:
+        order = np.lexsort((self.bin, self.slope, self.key))
+        key, slope, place, *counts = self.take(order)
+        if not len(key):
+            return self
+        at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (slope[1:] != slope[:-1]) | (place[1:] != place[:-1])))
+        return _Cells(key[at], slope[at], place[at], *[np.add.reduceat(x, at) for x in counts])
+
+    def ranked(self) -> tuple[_Cells, np.ndarray]:
+        """The cells of each key, most votes first (ties to more support, then smaller slope and bin; without weights last), and their ranks from 1."""
+        found = self.take(np.lexsort((self.bin, self.slope, -self.support, -self.votes, self.known == 0, self.key)))
+        return found, np.arange(len(found.key)) - np.searchsorted(found.key, found.key, "left") + 1
+
+    def columns(self) -> list[pa.Array]:
+        """slope_index, bin, votes and support."""
+        return [pa.array(self.slope, pa.int32()), pa.array(self.bin, pa.int32(), mask=self.bin == _NO_BIN), pa.array(self.votes, mask=self.known == 0), pa.array(self.support, pa.int64())]
+
+
+def _below(x: np.ndarray, period: float) -> np.ndarray:
+    """x less whole periods, rounded as SQL's x - period * floor(x / period) is."""
+    return x - period * np.floor(x / period)
+
+
+def _voting(points: DataFrame, keys: list[str], time: str, value: str, weight: str, slopes: list[float], period: float, bins: int, more: str, out, gate: float | None = None) -> DataFrame:
+    """Votes of each key's points, counted in one ordered pass.  Points travel once, one row each, and a task holds the cells of one batch's keys: neither the cells of a
+    table nor the points of a key are in memory at a time.  Rows are those of ``out``, a function of finished keys' cells, of the cells that their first
+    line leaves and of which keys have a null, which gives each row's key and the columns that ``more`` names after the keys.
+
+    gate: points farther than this from the line of their key's first cell vote a second time, by themselves.  For this each point comes
+    twice, the second time when all of its key have been counted.
+    """
+    turns = np.array(slopes)
+    integer = isinstance(points.schema[weight].dataType, IntegralType)
+    kind = np.int64 if integer else np.float64
+
+    def cells(g, t, v, w, known):
+        with np.errstate(invalid="ignore"):
+            place = np.floor(_below(v[:, None] - turns * t[:, None], period) * bins / period).ravel()
+        place = np.where(np.isfinite(place), place, _NO_BIN).astype(np.int64)
+        repeat = lambda x: np.repeat(x, len(turns))
+        return _Cells(repeat(g), np.tile(np.arange(len(turns)), len(g)), place, repeat(w), repeat(known), np.ones(len(place), np.int64))
+
+    def both(one: _Cells, other: _Cells) -> _Cells:
+        return _Cells(*map(np.concatenate, zip(one, other, strict=True))).summed()
+
+    def beyond(counted: _Cells, g, t, v, n):
+        first, rank = counted.ranked()
+        first = first.take((rank == 1) & (first.bin != _NO_BIN))
+        slope, middle = np.full(n, np.nan), np.full(n, np.nan)
+        slope[first.key], middle[first.key] = turns[first.slope], (first.bin + 0.5) * period / bins
+        with np.errstate(invalid="ignore"):
+            return np.abs(_below(v - slope[g] * t - middle[g] + period / 2, period) - period / 2) > gate
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = _Cells(*[np.zeros(0, x) for x in (np.int64, np.int64, np.int64, kind, np.int64, np.int64)])
+        head, counted, left = None, empty, empty
+
+        def done(own: list[pa.Array], starts: np.ndarray, counted: _Cells, left: _Cells) -> pa.RecordBatch:
+            heads = [c.take(pa.array(starts)) for c in own]
+            null = np.logical_or.reduce([h.is_null().to_numpy(zero_copy_only=False) for h in heads])
+            key, columns = out(counted, left, null)
+            return pa.RecordBatch.from_arrays([*[h.take(pa.array(key)) for h in heads], *columns], names)
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            # the key that the last batch ended with comes first, with the cells it has so far
+            own = [pa.concat_arrays([h, c]) for h, c in zip(head, batch.columns, strict=False)] if head else batch.columns[: len(keys)]
+            new = np.zeros(len(own[0]) - 1, bool)
+            for c in own:
+                for x in (c.fill_null(0).to_numpy(zero_copy_only=False), c.is_null().to_numpy(zero_copy_only=False)):
+                    new |= x[1:] != x[:-1]
+            starts, g = np.append(0, np.flatnonzero(new) + 1), np.append(0, np.cumsum(new))[-n:]
+            t, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_t", "_v"))
+            w, known = batch.column("_w").fill_null(0).to_numpy(zero_copy_only=False).astype(kind), batch.column("_w").is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+            again = batch.column("_again").to_numpy(zero_copy_only=False) == 1
+            counted = both(counted, cells(*[x[~again] for x in (g, t, v, w, known)]))
+            if again.any():
+                again[again] = beyond(counted, g[again], t[again], v[again], len(starts))
+                left = both(left, cells(*[x[again] for x in (g, t, v, w, known)]))
+            last = len(starts) - 1
+            if last:
+                yield done(own, starts[:-1], counted.take(counted.key < last), left.take(left.key < last))
+            head = [pa.array(c[-1:].to_pylist(), c.type) for c in own]
+            counted, left = (x.take(x.key == last)._replace(key=np.zeros((x.key == last).sum(), np.int64)) for x in (counted, left))
+        if head:
+            yield done(head, np.zeros(1, np.int64), counted, left)
+
+    kinds = [points.schema[k].dataType.simpleString() for k in keys]
+    schema = ", ".join([*[f"`{k}` {x}" for k, x in zip(keys, kinds, strict=True)], more.replace("number", "long" if integer else "double")])
+    names = [*keys, *[part.split(" ")[0] for part in more.split(", ")]]
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = points.select(*keys, F.col(time).cast("double").alias("_t"), F.col(value).cast("double").alias("_v"), F.col(weight).alias("_w")).repartition(n, *keys)
+    rows = dealt.withColumn("_again", F.lit(0) if gate is None else F.explode(F.array(F.lit(0), F.lit(1))))
+    return rows.sortWithinPartitions(*keys, "_again").mapInArrow(run, schema)
+
+
 def hough_votes(points: DataFrame, keys: list[str], time: str, value: str, weight: str, slopes: list[float], period: float, bins: int) -> DataFrame:
-    """Summed weight of each (slope, intercept bin); intercepts are taken modulo the period.  A point votes once a slope, so rows
-    are points times slopes before the sums, which start in each task."""
-    turned = points.withColumn("slope_index", F.explode(F.sequence(F.lit(0), F.lit(len(slopes) - 1))))
-    slope = F.element_at(F.array(*map(F.lit, slopes)), F.col("slope_index") + 1)
-    intercept = F.pmod(F.col(value) - slope * F.col(time), F.lit(period))
-    return turned.withColumn("bin", F.floor(intercept * bins / period).cast("int")).groupBy(*keys, "slope_index", "bin").agg(F.sum(weight).alias("votes"), F.count("*").alias("support"))
+    """Summed weight of each (slope, intercept bin); intercepts are taken modulo the period.  A point votes once a slope, in the task that its key is dealt to.
+    Keys are numbers; null is a key, too."""
+    return _voting(points, keys, time, value, weight, slopes, period, bins, "slope_index int, bin int, votes number, support long", lambda cells, left, null: (cells.key, cells.columns()))
+
+
+def hough_best(points: DataFrame, keys: list[str], time: str, value: str, weight: str, slopes: list[float], period: float, bins: int, k: int) -> DataFrame:
+    """``hough_lines`` of ``hough_votes``, ranked where they are counted."""
+
+    def out(cells, left, null):
+        found, rank = cells.ranked()
+        found, rank = found.take(rank <= k), rank[rank <= k]
+        return found.key, [*found.columns(), pa.array(rank, pa.int32())]
+
+    return _voting(points, keys, time, value, weight, slopes, period, bins, "slope_index int, bin int, votes number, support long, rank int", out)
+
+
+def hough_banks(points: DataFrame, keys: list[str], time: str, value: str, weight: str, slopes: list[float], period: float, bins: int, k: int, apart: int, gate: float) -> DataFrame:
+    """Banks of lines of each key: the first k cells by votes ("ranked"), the first whose slope is at least ``apart`` places from the first cell's ("alternate"), and the first
+    by the votes of points farther than the gate from the first cell's line ("residual").  A key with a null has ranked lines alone."""
+
+    def out(cells, left, null):
+        found, rank = cells.ranked()
+        best = found.slope[rank == 1]  # every key has cells
+        other, place = found.take((np.abs(found.slope - best[found.key]) >= apart) & ~null[found.key]).ranked()
+        rest, order = left.take(~null[left.key]).ranked()
+        banks = [("ranked", found.take(rank <= k), rank[rank <= k]), ("alternate", other.take(place == 1), place[place == 1]), ("residual", rest.take(order == 1), order[order == 1])]
+        rows = _Cells(*map(np.concatenate, zip(*[b[1] for b in banks], strict=True)))
+        return rows.key, [pa.array([name for name, _, r in banks for _ in r], pa.string()), pa.array(np.concatenate([r for _, _, r in banks]), pa.int32()), *rows.columns()]
+
+    return _voting(points, keys, time, value, weight, slopes, period, bins, "bank string, rank int, slope_index int, bin int, votes number, support long", out, gate)
 
 
 def hough_lines(votes: DataFrame, keys: list[str], k: int) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import acquisition, blocks, fitting, tracks
-from quillon.operators.ordered import wrapped
 from quillon.plans.acquisition_queries import _MAP, PERIOD as FRAME, _vectors, best_basins, confirmed
 from quillon.plans.association_queries import lift_classification
 from quillon.plans.interval_queries import _days
@@ -111,15 +110,7 @@ rc AS (SELECT *, row_number() OVER (PARTITION BY path, week ORDER BY votes DESC,
 SELECT path, week, 'ranked' AS bank, r::INT AS rank, slope_index, bin, votes, support FROM a WHERE r <= 3 UNION ALL SELECT path, week, 'alternate', 1, slope_index, bin, votes, support FROM alt WHERE r = 1 UNION ALL SELECT path, week, 'residual', 1, slope_index, bin, votes, support FROM rc WHERE r = 1""")
 def line_banks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three banks of lines by path and week: the first three by votes; the best whose slope is another; and the best through what the first line leaves."""
-    points = _points(spark, sf_dir)
-    votes = fitting.hough_votes(points, KEYS, "t", "v", "w", _SLOPES, PERIOD, 16)
-    out = lambda rows, bank: rows.select(*KEYS, F.lit(bank).alias("bank"), "rank", "slope_index", "bin", "votes", "support")
-    first = fitting.hough_lines(votes, KEYS, 1).select(*KEYS, F.col("slope_index").alias("bs"), F.col("bin").alias("bb"))
-    other = fitting.hough_lines(votes.join(first, KEYS).where("abs(slope_index - bs) >= 2"), KEYS, 1)
-    line = F.element_at(F.array(*map(F.lit, _SLOPES)), F.col("bs") + 1) * F.col("t") + (F.col("bb") + 0.5) * PERIOD / 16
-    left = points.join(first, KEYS).where(F.abs(wrapped(F.col("v") - line, PERIOD)) > 300).select(*points.columns)
-    residual = fitting.hough_lines(fitting.hough_votes(left, KEYS, "t", "v", "w", _SLOPES, PERIOD, 16), KEYS, 1)
-    return out(fitting.hough_lines(votes, KEYS, 3), "ranked").union(out(other, "alternate")).union(out(residual, "residual"))
+    return fitting.hough_banks(_points(ship(spark), sf_dir), KEYS, "t", "v", "w", _SLOPES, PERIOD, 16, 3, 2, 300.0)
 
 
 @query("k34_track_accounting", f"""WITH {OBSERVATIONS_SQL}, r AS (SELECT path, (t_us - 1704067200000000) // 604800000000 AS week, cents >= 5000 AS baseline, cents - 40 * (k - 50) >= 5000 AS replay FROM obs),

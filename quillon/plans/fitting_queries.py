@@ -28,14 +28,14 @@ _P = f"{OBSERVATIONS_SQL}, pts AS (SELECT id, path, k, cents, (t_us - {_START})
 @query("k03_hough_votes", f"""WITH {_P}, v AS (SELECT path, s::INT AS slope_index, k, cents - (s * 10.0::DOUBLE - 60) * t AS x FROM pts, range(13) AS r(s))
 SELECT path, slope_index, floor((x - 22727 * floor(x / 22727)) * 64 / 22727)::INT AS bin, sum(k)::BIGINT AS votes, count(*) AS support FROM v GROUP BY 1, 2, 3""")
 def hough_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fitting.hough_votes(_points(spark, sf_dir), ["path"], "t", "cents", "k", _SLOPES, 22727.0, 64)
+    return fitting.hough_votes(_points(ship(spark), sf_dir), ["path"], "t", "cents", "k", _SLOPES, 22727.0, 64)
 
 
 @query("k03_hough_lines", f"""WITH {_P}, v AS (SELECT path, s::INT AS slope_index, k, cents - (s * 10.0::DOUBLE - 60) * t AS x FROM pts, range(13) AS r(s)),
 c AS (SELECT path, slope_index, floor((x - 22727 * floor(x / 22727)) * 64 / 22727)::INT AS bin, sum(k)::BIGINT AS votes, count(*) AS support FROM v GROUP BY 1, 2, 3)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY votes DESC, support DESC, slope_index, bin)::INT AS rank FROM c) WHERE rank <= 4""")
 def hough_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fitting.hough_lines(hough_votes(spark, sf_dir), ["path"], 4)
+    return fitting.hough_best(_points(ship(spark), sf_dir), ["path"], "t", "cents", "k", _SLOPES, 22727.0, 64, 4)
 
 
 @query("k10_ols_lines", f"WITH {_P} SELECT path, count(*) AS n, round(regr_slope(cents, t), 6) AS slope, round(regr_intercept(cents, t), 4) AS intercept, round(regr_r2(cents, t), 6) AS r2 FROM pts GROUP BY 1")
