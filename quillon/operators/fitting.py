@@ -516,6 +516,38 @@ def potentials(edges: DataFrame) -> DataFrame:
     return state.join(wrong, "root").select("node", "root", "potential", "contradictory")
 
 
+def forest(n: int, links, at_once: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Root (the least node) and potential of nodes 0 to n - 1, and for each contradictory component an edge (a, b, delta: b = a + delta) that contradicts these.
+
+    ``links`` is a function of two arrays of nodes that gives two matrices: whether they are linked, and by what the second's potential exceeds the first's.  Who has been
+    reached isn't looked for again, and a component that contradicts itself isn't looked through: so links are computed between few, where most nodes are in a few
+    such components, and between all of a component where it agrees.
+    """
+    root, potential, edges = np.full(n, -1), np.zeros(n, np.int64), []
+    free = np.arange(n)
+    while len(free):
+        start, free = free[0], free[1:]
+        root[start], reached, done = start, np.array([start]), 0
+        while done < len(reached) and len(free):
+            now = reached[done : done + max(1, at_once // len(free))]
+            done += len(now)
+            linked, delta = links(now, free)
+            found = np.flatnonzero(linked.any(axis=0))
+            by = linked[:, found].argmax(axis=0)
+            new = free[found]
+            root[new], potential[new] = start, potential[now[by]] + delta[by, found]
+            reached, free = np.concatenate([reached, new]), np.delete(free, found)
+        step = max(1, at_once // len(reached))
+        for k in range(0, len(reached) if len(reached) > 1 else 0, step):
+            now = reached[k : k + step]
+            linked, delta = links(now, reached)
+            i, j = np.nonzero(linked & (potential[reached] - potential[now][:, None] != delta))
+            if len(i):
+                edges.append((now[i[0]], reached[j[0]], delta[i[0], j[0]]))
+                break
+    return root, potential, tuple(np.array([e[k] for e in edges], np.int64) for k in range(3))
+
+
 def spanning(one: np.ndarray, other: np.ndarray, linked: np.ndarray, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges (a, b, delta: b = a + delta) of a spanning forest of the graph that joins one[i] and other[j] where linked, and an edge that its component's forest
     contradicts, if there is one.  With any other edges this has the components, differences and contradictions of the whole graph.
@@ -523,32 +555,10 @@ def spanning(one: np.ndarray, other: np.ndarray, linked: np.ndarray, delta: np.n
     Nodes may be on both sides; delta is other's potential less one's.
     """
     nodes, place = np.unique(np.concatenate([one, other]), return_inverse=True)
-    at_one, at_other = place[: len(one)], place[len(one) :]
-    row, column = (np.full(len(nodes), -1) for _ in range(2))
-    row[at_one], column[at_other] = np.arange(len(one)), np.arange(len(other))
-    across, turned = np.ascontiguousarray(linked.T), np.ascontiguousarray(delta.T)
-    root, potential = np.full(len(nodes), -1), np.zeros(len(nodes), np.int64)
-    a, b, d = [], [], []
-    for start in range(len(nodes)):
-        if root[start] >= 0:
-            continue
-        root[start], todo = start, [start]
-        while todo:
-            k = todo.pop()
-            for own, met, ends, step, sign in ((row[k], linked, at_other, delta, 1), (column[k], across, at_one, turned, -1)):
-                if own < 0:
-                    continue
-                j = np.flatnonzero(met[own])
-                j = j[root[ends[j]] < 0]
-                if len(j):
-                    new = ends[j]
-                    root[new], potential[new] = start, potential[k] + sign * step[own, j]
-                    todo.extend(new.tolist())
-                    a.append(np.full(len(j), nodes[k]))
-                    b.append(nodes[new])
-                    d.append(sign * step[own, j])
-    i, j = np.nonzero(linked & (potential[at_other][None, :] - potential[at_one][:, None] != delta))
-    _, first = np.unique(root[at_one[i]], return_index=True)
-    i, j = i[first], j[first]
-    join = lambda parts, last: np.concatenate([*parts, last]).astype(np.int64)
-    return join(a, one[i]), join(b, other[j]), join(d, delta[i, j])
+    met, rise = np.zeros((len(nodes), len(nodes)), bool), np.zeros((len(nodes), len(nodes)), np.int64)
+    at = np.ix_(place[: len(one)], place[len(one) :])
+    met[at], rise[at] = linked, delta
+    both, turned = met | met.T, np.where(met, rise, -rise.T)
+    root, potential, (a, b, d) = forest(len(nodes), lambda i, j: (both[np.ix_(i, j)], turned[np.ix_(i, j)]))
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return np.concatenate([nodes[root[own]], nodes[a]]), np.concatenate([nodes[own], nodes[b]]), np.concatenate([potential[own], d])

@@ -21,35 +21,48 @@ KEYS = ["path", "week"]
 
 
 def alias_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the equivalent pairs that ``j09_overlap_alias_pairs`` lists, those that say the same: of each pair of blocks a spanning forest and what contradicts it."""
+    """Of the equivalent pairs that ``j09_overlap_alias_pairs`` lists, what says the same: of each two blocks the edges from components' least tracks, and one that
+    contradicts these if there is any (wrong).  sure: a scope and day's only block, with its components whole and a row for each track in them."""
     tracks = kept(_days(ensure_checkpoint_dir(ship(spark)), sf_dir).selectExpr("path % 15 as scope", "day", "track", "a", "b", "fa", "fb"))
     period = int(PERIOD)
 
     def work(one, other):
-        linked, delta = np.zeros((len(one["track"]), len(other["track"])), bool), np.zeros((len(one["track"]), len(other["track"])), np.int32)
-        ya, yb, yfa, yfb, y = (other[c] for c in ("a", "b", "fa", "fb", "track"))
-        for start in range(0, len(linked), 128):
-            xa, xb, xfa, xfb, x = (one[c][start : start + 128, None] for c in ("a", "b", "fa", "fb", "track"))
-            over = (x != y) & (xa < yb) & (ya < xb)
+        nodes, at = np.unique(np.concatenate([one["track"], other["track"]]), return_index=True)
+        ends = {c: np.concatenate([one[c], other[c]])[at] for c in ("a", "b", "fa", "fb")}
+
+        def links(i, j):
+            (xa, xb, xfa, xfb), (ya, yb, yfa, yfb) = (ends[c][i][:, None] for c in ends), (ends[c][j] for c in ends)
+            over = (nodes[i][:, None] != nodes[j]) & (xa < yb) & (ya < xb)
             u, v = np.maximum(xa, ya), np.minimum(xb, yb)
 
-            def d(i, u=u, v=v, xa=xa, xb=xb, xfa=xfa, xfb=xfb):
-                t = u + i * (v - u) / 15.0
+            def d(k):
+                t = u + k * (v - u) / 15.0
                 return (xfa + (xfb - xfa) * (t - xa) / (xb - xa)) - (yfa + (yfb - yfa) * (t - ya) / (yb - ya))
 
             multiple = np.rint((d(7) + d(8)) / 2 / period)
             worst = np.maximum(np.abs(d(0) - multiple * period), np.abs(d(15) - multiple * period))
-            linked[start : start + 128], delta[start : start + 128] = over & (worst <= 2500), -multiple
-        return fitting.spanning(one["track"], other["track"], linked, delta)
+            return over & (worst <= 2500), -multiple.astype(np.int64)
+
+        root, potential, (a, b, delta) = fitting.forest(len(nodes), links)
+        own = np.flatnonzero(np.bincount(root, minlength=len(nodes))[root] > 1)
+        sure = int(one["_nx"][0]) == 1
+        wrong = np.isin(root[own], root[a]) if sure else np.zeros(len(own), bool)
+        if sure:
+            a, b, delta = a[:0], b[:0], delta[:0]
+        n = len(own) + len(a)
+        return nodes[np.concatenate([root[own], a])], nodes[np.concatenate([own, b])], np.concatenate([potential[own], delta]), np.concatenate([wrong, a == a]).astype(np.int32), np.full(n, sure, np.int32)
 
-    return blocks.each(tracks, tracks, ["scope", "day"], ("track", "track"), "a long, b long, delta long", work, once=True)
+    return blocks.each(tracks, tracks, ["scope", "day"], ("track", "track"), "a long, b long, delta long, wrong int, sure int", work, blocks.WHOLE, once=True)
 
 
 @query("k19_alias_map")
 def alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks that are one but for whole multiples of the period: their component's least track, the multiple to it, and whether the component agrees.
     In a component that doesn't, the multiple is that of one way to the least track."""
-    return fitting.potentials(alias_edges(spark, sf_dir))
+    found = kept(alias_edges(spark, sf_dir))
+    whole = found.where("sure = 1").selectExpr("b as node", "a as root", "delta as potential", "wrong = 1 as contradictory")
+    parts = found.where("sure = 0 and a <> b")
+    return whole if parts.isEmpty() else whole.unionByName(fitting.potentials(parts))
 
 
 @query("k20_dealiased_bank")
